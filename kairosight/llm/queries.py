@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import bpe_trie, packing, quality_rules
 from .runtime import table
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_trie.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_bpe_trie": op9_bpe_trie,
 }
 ORACLE: dict[str, str] = {}
