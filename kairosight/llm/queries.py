@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe_trie, jaccard_join, lbl_model, packing, quality_rules, substring_dedup
+from . import bpe_trie, jaccard_join, lbl_model, packing, quality_rules, substring_dedup, token_counts
 from .runtime import table
 
 
@@ -28,6 +28,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.query(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.query(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_quality_rules": op7_quality_rules,
+    "op8_token_counts": op8_token_counts,
     "op9_bpe_trie": op9_bpe_trie,
     "op10_substring_dedup": op10_substring_dedup,
     "pipeline": corpus_pipeline.run,
