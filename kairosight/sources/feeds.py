@@ -43,7 +43,7 @@ def _walk(value, name: str) -> Iterator[str]:
 
 def nested(df: DataFrame, payload: str, name: str, carry: list[str]) -> DataFrame:
     """carry columns and `value`: every string under a key of JSON payloads, at any depth; bad JSON has none."""
-    schema = df.select(*carry, F.lit("").alias("value")).schema
+    schema = df.select(*carry, F.lit(None).cast("string").alias("value")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +63,7 @@ def nested(df: DataFrame, payload: str, name: str, carry: list[str]) -> DataFram
 
 def structured(pages: DataFrame, html: str, carry: list[str], least_body: int = 80) -> DataFrame:
     """headline, published and body of the objects of a page's JSON-LD scripts, nested ones too; short bodies are null."""
-    schema = pages.select(*carry, *(F.lit("").alias(c) for c in ("headline", "published", "body"))).schema
+    schema = pages.select(*carry, *(F.lit(None).cast("string").alias(c) for c in ("headline", "published", "body"))).schema
 
     def flat(v) -> Iterator[dict]:
         stack = [v]
