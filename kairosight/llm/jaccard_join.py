@@ -15,8 +15,9 @@ loses no pair, because m + 1 good partitions cannot all be explained by m of the
 Candidates that share a signature are never expanded into all pairs.  Members of a group are first
 compared with one hub of the group (the one in most groups).  Only where a group still falls into
 several components, members of different components are compared, in blocks of bounded size.
-512-bit parity sketches give a lower bound of the difference, which drops candidates without loss.
-What remains is verified on whole sets, which stream past the set of the hub.
+Parity sketches give a lower bound of the difference, which drops candidates without loss: first one of
+512 bits, then a sharp one of at least four bits a shingle.  What remains is verified on whole sets.  Sketches
+and sets of the members stream past those of the hub.
 
 Equality of shingles is equality of 64-bit hashes.  Defined cases: a null, empty or blank text has no
 shingles and links with nothing; rows with equal sets are one class; rows with a null id get the
@@ -39,6 +40,10 @@ from . import components, runtime, words
 from .words import U
 
 SKETCH = [f"w{i}" for i in range(8)]
+#: From this size on a sketch of 512 bits no longer tells unrelated sets apart, and passages that many texts share would pair them.
+LARGE = 600
+#: Shingles left out of the domain of large sets: the most frequent of those in one of 2,000 sampled texts or more.  They never decide.
+COMMON, COMMON_SHARE, SAMPLE = 1 << 16, 0.0005, 16_384
 #: Members of a block that is compared at once.
 BLOCK = 1024
 #: Bits of the filter that spares most texts of the second reading; it never decides.
@@ -84,9 +89,18 @@ def bands(rule: Rule, up_to: int) -> tuple[Band, ...]:
     return tuple(out)
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) rows of sets given as sorted (text, hash) rows."""
-    size = np.bincount(doc, minlength=n_docs)
+def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, rule: Rule, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, signature) rows of sets given as sorted (text, hash) rows; size: of the whole sets.
+
+    common: sorted hashes that bands of large sets leave out of their domain.  Any part of the domain may be left out:
+    what remains of two sets differs no more than the sets do.
+    """
+    n_docs = len(size)
+    rare = np.ones(len(h), bool)
+    if common is not None and len(common):
+        at = np.searchsorted(common, h)
+        at[at == len(common)] = 0
+        rare = common[at] != h
     table = bands(rule, max(1, 1 << int(size.max(initial=1)).bit_length() + 1))
     highs = np.array([b.high for b in table])
     parts, slacks = np.array([b.partitions for b in table]), np.array([b.slack for b in table])
@@ -103,7 +117,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, rule: Rule) -> tuple
         if not n1.any():
             continue
         first = np.concatenate([[0], np.cumsum(n1)])
-        use = n1[doc] > 0
+        use = (n1[doc] > 0) & (rare | (lows[band[doc]] < LARGE))
         d, v = doc[use], h[use]
         block = first[d] + ((high32[use] * n1[d].astype(np.uint64)) >> U(32)).astype(np.int64)
         cell = block * 3 + third[use].astype(np.int64)
@@ -143,37 +157,55 @@ def sketches(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
     return np.packbits(parity.reshape(n_docs, 512), axis=1, bitorder="little").view(np.uint64)
 
 
-def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-    offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+def sharp_sketches(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Parity of the shingles in a power of two of cells, four a shingle at least; a larger sketch folds into a smaller one."""
+    spread = words.mix(h ^ U(0x7FB5D329728EA185))
+    first = np.concatenate([[0], np.cumsum(size)])
+    out = []
+    for i, n in enumerate(size.tolist()):
+        cells = max(512, 1 << (4 * n - 1).bit_length())
+        at = (spread[first[i] : first[i + 1]] & U(cells - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes())
+    return out
 
 
 def prepare(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n (shingles), key (class), sketch words and signatures of each row; one pass over the text."""
+    """doc_id, n (shingles), key (class) and sketches of each row; one pass over the text."""
+
+    def run(batch: pa.RecordBatch):
+        for part in words.chunks(batch, "text", words.PIECE):
+            doc, h = words.shingles(words.words(*words.column(part, "text"), fold=True), rule.shingle)
+            size = np.bincount(doc, minlength=part.num_rows)
+            sketch = sketches(doc, h, part.num_rows)
+            arrays = [part.column(0), pa.array(size), pa.array(class_keys(doc, h, size).view(np.int64)), *(pa.array(sketch[:, i].view(np.int64)) for i in range(8)), pa.array(sharp_sketches(doc, h, size), pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "key", *SKETCH, "sharp"])
+
+    schema = "doc_id bigint, n bigint, key bigint, " + ", ".join(f"{w} bigint" for w in SKETCH) + ", sharp binary"
+    return runtime.map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, schema)
+
+
+def signed(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(signature, key) rows; a task signs a class it has met before only once, as far as it remembers."""
     runtime.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signed: set[int] = set()
+        met: set[int] = set()
         for batch in batches:
             for part in words.chunks(batch, "text", words.PIECE):
-                n_docs = part.num_rows
                 doc, h = words.shingles(words.words(*words.column(part, "text"), fold=True), rule.shingle)
-                size = np.bincount(doc, minlength=n_docs)
+                size = np.bincount(doc, minlength=part.num_rows)
                 key = class_keys(doc, h, size)
-                sketch = sketches(doc, h, n_docs)
-                new = np.zeros(n_docs, bool)
+                new = np.zeros(part.num_rows, bool)
                 for i, k in enumerate(key.tolist()):
-                    if k not in signed:
+                    if k not in met:
                         new[i] = True
-                        if len(signed) < REMEMBERED:
-                            signed.add(k)
+                        if len(met) < REMEMBERED:
+                            met.add(k)
                 use = new[doc]
-                owner, sig = signatures(doc[use], h[use], n_docs, rule)
-                arrays = [part.column(0), pa.array(size), pa.array(key.view(np.int64)), *(pa.array(sketch[:, i].view(np.int64)) for i in range(8)), _lists(owner, sig, n_docs)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "key", *SKETCH, "signatures"])
+                owner, sig = signatures(doc[use], h[use], np.where(new, size, 0), rule)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(key[owner].view(np.int64))], names=["signature", "key"])
 
-    schema = "doc_id bigint, n bigint, key bigint, " + ", ".join(f"{w} bigint" for w in SKETCH) + ", signatures array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(run, "signature bigint, key bigint")
 
 
 def shared(signed: DataFrame) -> DataFrame:
@@ -263,15 +295,19 @@ def _across(members: DataFrame, rule: Rule) -> DataFrame:
             second = np.flatnonzero(col["own"] == col["j"][0])
             words_ = np.column_stack([col[w] for w in SKETCH]).view(np.uint64)
             n, rep, comp = col["n"], col["rep"], col["component"]
-            for x in first.tolist():
-                ys = second[(comp[second] != comp[x]) & (rep[second] > rep[x])] if col["i"][0] == col["j"][0] else second[comp[second] != comp[x]]
-                if not len(ys):
-                    continue
-                both = n[ys] + n[x]
-                ys = ys[(100 * np.minimum(n[ys], n[x]) >= rule.percent * np.maximum(n[ys], n[x])) & (np.bitwise_count(words_[ys] ^ words_[x]).sum(1).astype(np.int64) <= rule.most(both))]
-                a = rep[x]
-                found.update((min(a, b), max(a, b)) for b in rep[ys].tolist())
-            if len(found) > 100_000:
+            same = col["i"][0] == col["j"][0]
+            step = max(1, (1 << 18) // max(1, len(second)))
+            for at in range(0, len(first), step):
+                x, y = first[at : at + step, None], second[None, :]
+                may = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= rule.percent * np.maximum(n[x], n[y]))
+                if same:
+                    may &= rep[x] < rep[y]
+                i, j = np.nonzero(may)
+                i, j = first[at + i], second[j]
+                near = np.bitwise_count(words_[i] ^ words_[j]).sum(1).astype(np.int64) <= rule.most(n[i] + n[j])
+                a, b = rep[i[near]], rep[j[near]]
+                found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+            if len(found) > 500_000:
                 yield out()
         if found:
             yield out()
@@ -279,9 +315,52 @@ def _across(members: DataFrame, rule: Rule) -> DataFrame:
     return dealt.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of ids whose texts link, from whole sets."""
+def _past_hubs(pairs: DataFrame, bodies: DataFrame, fits, first: str, second: str) -> DataFrame:
+    """(first, second, key_a, key_b) of the pairs (a, b) for which fits(body of a, body of b); b's bodies stream past a's.
+
+    A hub's pairs are dealt to 64 groups, each with a copy of its body.
+    """
+    keyed = pairs.select("a", "b", "key_a", "key_b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("salt"))
+    members = keyed.join(bodies.select(F.col("rep").alias("b"), F.col("key").alias("key_b"), "body"), ["b", "key_b"]).select("a", "key_a", "salt", F.lit(1).alias("kind"), "b", "key_b", "body")
+    hubs = keyed.select("a", "key_a", "salt").distinct().join(bodies.select(F.col("rep").alias("a"), F.col("key").alias("key_a"), "body"), ["a", "key_a"]).select("a", "key_a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), F.col("key_a").alias("key_b"), "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
+        for batch in batches:
+            keep = []
+            for i, (a, kind, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 3, 6)), strict=True)):
+                if kind == 0:
+                    hub, own = a, body
+                elif hub != a:
+                    raise ValueError("a hub's body is missing")
+                elif fits(own, body):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in (0, 4, 1, 5)], names=[first, second, "key_a", "key_b"])
+
+    schema = f"{first} bigint, {second} bigint, key_a bigint, key_b bigint"
+    return members.union(hubs).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, schema)
+
+
+def _sharpened(pairs: DataFrame, sharp: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that the sharp sketches leave; sharp: rep, key, body (the size, then the sketch)."""
+
+    def fits(x: bytes, y: bytes) -> bool:
+        sizes = int.from_bytes(x[:8], "big") + int.from_bytes(y[:8], "big")
+        a, b = np.frombuffer(x, np.uint64, offset=8), np.frombuffer(y, np.uint64, offset=8)
+        if len(a) > len(b):
+            a, b = b, a
+        while len(b) > len(a):
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+        return int(np.bitwise_count(a ^ b).sum()) <= rule.most(sizes)
+
+    return _past_hubs(pairs, sharp, fits, "a", "b")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, sharp: DataFrame, rule: Rule) -> DataFrame:
+    """(u, v) of the pairs (a, b) of ids whose texts link, from whole sets."""
     spark = docs.sparkSession
+    pairs = runtime.durable(_sharpened(pairs, sharp, rule), "likely")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     from_one = place("rep") + 1  # bitmap functions count from 1
@@ -300,56 +379,41 @@ def _verify(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
         for part in words.chunks(batch, "text", words.PIECE) if batch.num_rows else ():
             doc, h = words.shingles(words.words(*words.column(part, "text"), fold=True), rule.shingle)
             size = np.bincount(doc, minlength=part.num_rows)
-            key = class_keys(doc, h, size)
             first = np.concatenate([[0], np.cumsum(size)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key.view(np.int64)), pa.array([h[first[i] : first[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], names=["rep", "key", "shingles"])
-
-    read = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", place(F.col("doc_id").cast("bigint")).alias("place"))
-    content = runtime.map_batches(read, sets, "rep bigint, key bigint, shingles binary")
-    keyed = pairs.select("a", "b", "key_a", "key_b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("salt"))
-    members = keyed.join(content.select(F.col("rep").alias("b"), F.col("key").alias("key_b"), "shingles"), ["b", "key_b"]).select("a", "key_a", "salt", F.lit(1).alias("kind"), "b", "shingles")
-    hubs = keyed.select("a", "key_a", "salt").distinct().join(content.select(F.col("rep").alias("a"), F.col("key").alias("key_a"), "shingles"), ["a", "key_a"]).select("a", "key_a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "shingles")
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(class_keys(doc, h, size).view(np.int64)), pa.array([h[first[i] : first[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], names=["rep", "key", "body"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, None
-        for batch in batches:
-            us, vs = [], []
-            for a, kind, b, body in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5)), strict=True):
-                x = np.frombuffer(body, np.uint64)
-                if kind == 0:
-                    hub, own = a, x
-                    continue
-                if hub != a:
-                    raise ValueError("a hub's set is missing")
-                at = np.searchsorted(own, x)
-                at[at == len(own)] = 0
-                both = int((own[at] == x).sum())
-                if 100 * both >= rule.percent * (len(own) + len(x) - both):
-                    us.append(a)
-                    vs.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+    def fits(x: bytes, y: bytes) -> bool:
+        own, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        at = np.searchsorted(own, other)
+        at[at == len(own)] = 0
+        both = int((own[at] == other).sum())
+        return 100 * both >= rule.percent * (len(own) + len(other) - both)
 
-    return members.union(hubs).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, "u bigint, v bigint")
+    read = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", place(F.col("doc_id").cast("bigint")).alias("place"))
+    content = runtime.map_batches(read, sets, "rep bigint, key bigint, body binary")
+    content = content.join(needed, "rep", "left_semi").dropDuplicates(["rep", "key"])
+    return _past_hubs(pairs, content, fits, "u", "v").select("u", "v")
 
 
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, class_key, component_id of each row of docs."""
-    prepared = runtime.durable(prepare(docs, rule), "signed")
+    prepared = runtime.durable(prepare(docs, rule), "prepared")
     classes = prepared.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    groups = runtime.durable(shared(prepared.select("key", F.explode("signatures").alias("signature")).select("signature", "key")), "shared")
+    groups = runtime.durable(shared(signed(docs, rule)), "shared")
     popular = groups.groupBy("key").agg(F.count(F.lit(1)).alias("popularity"))
-    one = prepared.where("doc_id is not null").select("key", "doc_id", "n", *SKETCH)
+    one = prepared.where("doc_id is not null").select("key", "doc_id", "n", *SKETCH, "sharp")
     reps = classes.where("rep is not null").withColumnRenamed("rep", "doc_id")
     nodes = popular.join(reps, "key").join(one, ["key", "doc_id"]).dropDuplicates(["key"]).withColumnRenamed("doc_id", "rep")
-    nodes = runtime.durable(nodes.select("key", "rep", "popularity", "n", *SKETCH), "nodes")
-    members = runtime.durable(groups.join(nodes, "key"), "members")
+    nodes = runtime.durable(nodes.select("key", "rep", "popularity", "n", *SKETCH, "sharp"), "nodes")
+    sharp = nodes.select("rep", "key", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "sharp").alias("body"))
+    members = groups.join(nodes.drop("sharp"), "key")
 
     hub = members.groupBy("signature").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("order"), "key", "n", *SKETCH)).alias("hub"))
     differ, may = _near(rule, F.col("n"), F.col("hub.n"), [F.col(w) for w in SKETCH], [F.col(f"hub.{w}") for w in SKETCH])
     to_hub = members.join(hub, "signature").where(F.col("rep") != -F.col("hub.order")).withColumn("differ", differ).where(may)
     best = to_hub.groupBy("rep", "key").agg(F.min(F.struct("differ", (-F.col("hub.order")).alias("a"), F.col("hub.key").alias("key_a"))).alias("best"))
     pairs = runtime.durable(best.select(F.col("best.a").alias("a"), F.col("rep").alias("b"), F.col("best.key_a").alias("key_a"), F.col("key").alias("key_b")), "to-hubs")
-    links = runtime.durable(_verify(pairs, docs, rule), "links")
+    links = runtime.durable(_verify(pairs, docs, sharp, rule), "links")
 
     found = runtime.durable(components.components(links), "components")
     labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -357,7 +421,7 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     keys = nodes.select("rep", "key")
     more = runtime.durable(more.join(keys.select(F.col("rep").alias("a"), F.col("key").alias("key_a")), "a").join(keys.select(F.col("rep").alias("b"), F.col("key").alias("key_b")), "b"), "across")
     if not more.isEmpty():
-        others = runtime.durable(_verify(more, docs, rule), "links")
+        others = runtime.durable(_verify(more, docs, sharp, rule), "links")
         if not others.isEmpty():
             found = runtime.durable(components.components(links.union(others)), "components")
 

@@ -62,7 +62,7 @@ def test_signatures_lose_no_link(rule):
     rows = corpus(11, 40)
     sets = [np.sort(np.array([hash(s) & (1 << 63) - 1 for s in shingles(t, rule.shingle)], np.uint64)) for _, t in rows]
     doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    owner, sig = J.signatures(doc, np.concatenate(sets), len(sets), rule)
+    owner, sig = J.signatures(doc, np.concatenate(sets), np.array([len(s) for s in sets]), rule)
     signed = [set(sig[owner == i].tolist()) for i in range(len(sets))]
     n = 0
     for a, b in combinations(range(len(sets)), 2):
