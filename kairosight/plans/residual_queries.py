@@ -10,7 +10,12 @@ from .bank_queries import GRID, THETA, R, T
 from .registry import query, table
 
 SAMPLE = ["series_id", "start"]
-KEYS = ("series_id", F.col("start").cast("bigint").alias("start"), F.col("step").cast("bigint").alias("step"))
+
+
+def keys(n: int = 3) -> list:
+    """The first n of series_id, start and step."""
+    return ["series_id", F.col("start").cast("bigint").alias("start"), F.col("step").cast("bigint").alias("step")][:n]
+
 
 _PROFILE = f"""WITH {X.STEPS}, prof AS (SELECT isodow(ts) - 1 AS dow, hour(ts) * 2 + (minute(ts) >= 30)::INT AS hod, avg(r) AS mean FROM steps GROUP BY 1, 2)"""
 _D = f"""{_PROFILE}, c AS (SELECT s.*, mean FROM steps s JOIN prof ON dow = isodow(ts) - 1 AND hod = hour(ts) * 2 + (minute(ts) >= 30)::INT),
@@ -36,7 +41,7 @@ def ag6(spark, d):
 
 @query("jn7_calendar_lookup", f"{_D} SELECT series_id, start, step, round(calendar, 6) AS calendar FROM d")
 def jn7(spark, d):
-    return detrended(spark, d).select(*KEYS, R("calendar").alias("calendar"))
+    return detrended(spark, d).select(*keys(), R("calendar").alias("calendar"))
 
 
 @query("ag7_detrended_thresholds", f"{_LIM} SELECT round(sigma, 6) AS sigma, round(threshold, 6) AS threshold FROM lim")
@@ -49,14 +54,14 @@ p AS (SELECT *, CASE WHEN mask THEN d ELSE 0 END AS spike, r - slow - CASE WHEN
 SELECT series_id, start, step, mask AS spike_mask, round(spike, 6) AS spike, round(raw - avg(raw) OVER w, 6) AS shape, round(slow + avg(raw) OVER w, 6) AS slow FROM p WINDOW w AS (PARTITION BY series_id, start)""")
 def ma3(spark, d):
     x = detrended(spark, d)
-    return residual.parts(x, residual.thresholds(x, 0.1), SAMPLE).select(*KEYS, "spike_mask", R("spike").alias("spike"), R("shape").alias("shape"), R("slow").alias("slow"))
+    return residual.parts(x, residual.thresholds(x, 0.1), SAMPLE).select(*keys(), "spike_mask", R("spike").alias("spike"), R("shape").alias("shape"), R("slow").alias("slow"))
 
 
 @query("ops6_top_spikes", f"{_D} SELECT series_id, start, step, round(d, 6) AS d FROM d QUALIFY row_number() OVER (PARTITION BY series_id, start ORDER BY abs(d) DESC, step) <= 2")
 def ops6(spark, d):
     x = detrended(spark, d)
     none = residual.thresholds(x, 0.1).select(F.lit(0.0).alias("sigma"), F.lit(0.0).alias("threshold"))
-    return residual.parts(x, none, SAMPLE, share=0.3).where("spike_mask").select(*KEYS, R("d").alias("d"))
+    return residual.parts(x, none, SAMPLE, share=0.3).where("spike_mask").select(*keys(), R("d").alias("d"))
 
 
 _MAG = f"WITH {X.STEPS}, m AS (SELECT series_id, start, avg(abs(r)) AS magnitude FROM steps GROUP BY 1, 2)"
@@ -64,19 +69,19 @@ _MAG = f"WITH {X.STEPS}, m AS (SELECT series_id, start, avg(abs(r)) AS magnitude
 
 @query("ag30_residual_magnitude", f"{_MAG} SELECT series_id, start, round(magnitude, 6) AS magnitude FROM m")
 def ag30(spark, d):
-    return residual.magnitudes(X.steps(spark, d), SAMPLE).select(*KEYS[:2], R("magnitude").alias("magnitude"))
+    return residual.magnitudes(X.steps(spark, d), SAMPLE).select(*keys(2), R("magnitude").alias("magnitude"))
 
 
 @query("ops8_hard_weights", f"""{_MAG}, h AS (SELECT m.*, magnitude >= (SELECT quantile_cont(magnitude, 0.9) FROM m) AS hard FROM m), n AS (SELECT count(*) FILTER (hard) AS a, count(*) FILTER (NOT hard) AS b FROM h)
 SELECT series_id, start, hard, round(CASE WHEN hard THEN 0.4 / a ELSE 0.6 / b END, 9) AS weight FROM h, n""")
 def ops8(spark, d):
-    return residual.hard_weights(residual.magnitudes(X.steps(spark, d), SAMPLE), 0.1, 0.4).select(*KEYS[:2], "hard", R("weight", 9).alias("weight"))
+    return residual.hard_weights(residual.magnitudes(X.steps(spark, d), SAMPLE), 0.1, 0.4).select(*keys(2), "hard", R("weight", 9).alias("weight"))
 
 
 @query("ops10_boosted_weights", f"""{_MAG}, h AS (SELECT m.*, CASE WHEN magnitude >= (SELECT quantile_cont(magnitude, 0.9) FROM m) THEN 3.0 ELSE 1.0 END AS raw FROM m)
 SELECT series_id, start, round(raw / (SELECT avg(raw) FROM h), 6) AS weight FROM h""")
 def ops10(spark, d):
-    return residual.boosted_weights(residual.magnitudes(X.steps(spark, d), SAMPLE)).select(*KEYS[:2], R("weight").alias("weight"))
+    return residual.boosted_weights(residual.magnitudes(X.steps(spark, d), SAMPLE)).select(*keys(2), R("weight").alias("weight"))
 
 
 @query("ops9_weighted_sample")
@@ -216,7 +221,7 @@ def ma13(spark, d):
 
 
 _EPOCHS = """WITH ep AS (SELECT event_type AS run, day(ts) AS epoch, avg(value) AS val_mae, 50.0 AS base_mae, avg(value) FILTER (user_id % 2 = 0) AS active_mae, avg(value) FILTER (user_id % 3 = 0) AS blank_mae, avg(value) FILTER (user_id % 5 = 0) AS perm_mae FROM events GROUP BY 1, 2),
-gt AS (SELECT *, val_mae < base_mae AS b, active_mae < blank_mae - 1 OR active_mae < perm_mae - 1 AS n FROM ep),
+gt AS (SELECT *, val_mae < base_mae AS b, coalesce(active_mae < blank_mae - 1, false) OR coalesce(active_mae < perm_mae - 1, false) AS n FROM ep),
 g AS (SELECT *, CASE WHEN b AND n THEN 'pass' WHEN NOT b AND NOT n THEN 'fail:base+news' WHEN NOT b THEN 'fail:base' ELSE 'fail:news' END AS gate FROM gt)"""
 
 
