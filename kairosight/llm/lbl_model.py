@@ -276,8 +276,16 @@ def fit(docs: DataFrame, setting: Setting = Setting()) -> tuple[DataFrame, Head,
     train = docs.where("not held_out")
     table = runtime.durable(counts(train), "counts")
     n, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = table.orderBy(F.desc("n"), "hash").limit(HEAD).toPandas()
-    head = head_of(list(zip(top["hash"].tolist(), top["n"].tolist(), strict=True)), n, distinct, setting)
+    # the most frequent words by sixteenths of a power of two: as many whole steps as HEAD holds
+    level = F.floor(F.log2("n") * 16)
+    least, room = None, HEAD
+    for r in sorted(table.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        room -= r.words
+        if room < 0:
+            break
+        least = r.level
+    top = [] if least is None else [tuple(r) for r in table.where(level >= least).select("hash", "n").collect()]
+    head = head_of(sorted(top, key=lambda r: (-r[1], r[0])), n, distinct, setting)
     known = np.bincount(head.index, head.count + 0.5, setting.vocabulary + 1)
     known[0] = max(head.total - known[1:].sum(), 0.5)
     model = Model(setting, np.maximum(known, 0.25) / np.maximum(known, 0.25).sum())
