@@ -321,6 +321,13 @@ def tx25(spark, d):
     return table(spark, d, "documents").select("doc_id", text.extract_summary(F.col("text")).alias("summary"))
 
 
+@query("tx27_line_content", "SELECT page_id, 'First line ' || page_id || chr(10) || 'Second' AS t FROM pages")
+def tx27(spark, d):
+    i = F.col("page_id").cast("string")
+    t = F.concat(F.lit("My Title\n12 March 2024\n3 min read\n\n First line "), i, F.lit("\r\nSecond\nShare this\nafter "), i)
+    return table(spark, d, "pages").select("page_id", text.line_content(t, F.lit("my title")).alias("t"))
+
+
 @query("tx28_task_names", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'run_' || event_id || '_x' ELSE 'plain' END AS base, CASE WHEN event_id % 2 = 0 THEN '1e-4' ELSE '' END AS rate, 'a-b_c' AS part FROM events")
 def tx28(spark, d):
     i = F.col("event_id").cast("string")
