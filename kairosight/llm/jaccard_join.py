@@ -42,8 +42,8 @@ from .words import U
 SKETCH = [f"w{i}" for i in range(8)]
 #: From this size on a sketch of 512 bits no longer tells unrelated sets apart, and passages that many texts share would pair them.
 LARGE = 600
-#: Shingles left out of the domain of large sets: the most frequent of those in one of 2,000 sampled texts or more.  They never decide.
-COMMON, COMMON_SHARE, SAMPLE = 1 << 16, 0.0005, 16_384
+#: Shingles left out of the domain of large sets: the most frequent ones among those in some large sets of a sample of texts.  They never decide.
+COMMON, COMMON_HITS, SAMPLE = 1 << 17, 5, 20_000
 #: Members of a block that is compared at once.
 BLOCK = 1024
 #: Bits of the filter that spares most texts of the second reading; it never decides.
@@ -76,7 +76,7 @@ class Band:
 def bands(rule: Rule, up_to: int) -> tuple[Band, ...]:
     out, low = [], 1
     while low <= up_to:
-        high = max(low, int(low * (100 / rule.percent) ** 3))
+        high = max(low, int(low * (100 / rule.percent) ** 1.5))
         k = rule.most(2 * high)
         least = k // 2 + 1
         slack = 0
@@ -184,9 +184,37 @@ def prepare(docs: DataFrame, rule: Rule) -> DataFrame:
     return runtime.map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, schema)
 
 
-def signed(docs: DataFrame, rule: Rule) -> DataFrame:
+def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """Sorted hashes of shingles that many large sets share, from a sample of texts of fixed size; equal texts of a task count once."""
+    n = docs.count()
+    part = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, n))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, met = [], set()
+        for batch in batches:
+            for chunk in words.chunks(batch, "text", words.PIECE):
+                doc, h = words.shingles(words.words(*words.column(chunk, "text"), fold=True), rule.shingle)
+                size = np.bincount(doc, minlength=chunk.num_rows)
+                new = size >= LARGE
+                for i, k in enumerate(class_keys(doc, h, size).tolist()):
+                    if k in met:
+                        new[i] = False
+                    met.add(k)
+                held.append(h[new[doc]])
+        if held:
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["h", "n"])
+
+    runtime.ship(docs.sparkSession)
+    counted = part.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_HITS)
+    top = counted.orderBy(F.desc("n"), "h").limit(COMMON).select("h").collect()
+    return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
+
+
+def signed(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
     """(signature, key) rows; a task signs a class it has met before only once, as far as it remembers."""
     runtime.ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -202,7 +230,7 @@ def signed(docs: DataFrame, rule: Rule) -> DataFrame:
                         if len(met) < REMEMBERED:
                             met.add(k)
                 use = new[doc]
-                owner, sig = signatures(doc[use], h[use], np.where(new, size, 0), rule)
+                owner, sig = signatures(doc[use], h[use], np.where(new, size, 0), rule, sent.value)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(key[owner].view(np.int64))], names=["signature", "key"])
 
     return docs.select("text").mapInArrow(run, "signature bigint, key bigint")
@@ -272,11 +300,16 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _across(members: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) that share a signature, lie in different components and may link; compared block by block."""
+def _across(groups: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) that share a signature, lie in different components and may link; compared block by block.
+
+    groups: signature, key; nodes: key, rep, component, n and sketch.  Groups within one component go before sketches are joined.
+    """
+    members = groups.join(nodes.select("key", "component"), "key")
     sizes = members.groupBy("signature").agg(F.count(F.lit(1)).alias("g"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     blocks = F.ceil(F.col("g") / BLOCK).cast("int")
-    cut = members.join(sizes.select("signature", "g"), "signature").withColumn("c", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("c")).cast("int"))
+    left = groups.join(sizes.select("signature", "g"), "signature")
+    cut = left.join(nodes, "key").withColumn("c", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("c")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select(
         "signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "component", "n", *SKETCH
     )
@@ -399,7 +432,7 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, class_key, component_id of each row of docs."""
     prepared = runtime.durable(prepare(docs, rule), "prepared")
     classes = prepared.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    groups = runtime.durable(shared(signed(docs, rule)), "shared")
+    groups = runtime.durable(shared(signed(docs, rule, common_shingles(docs, rule))), "shared")
     popular = groups.groupBy("key").agg(F.count(F.lit(1)).alias("popularity"))
     one = prepared.where("doc_id is not null").select("key", "doc_id", "n", *SKETCH, "sharp")
     reps = classes.where("rep is not null").withColumnRenamed("rep", "doc_id")
@@ -416,8 +449,8 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     links = runtime.durable(_verify(pairs, docs, sharp, rule), "links")
 
     found = runtime.durable(components.components(links), "components")
-    labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = _across(labelled, rule).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    labelled = nodes.drop("sharp", "popularity").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    more = _across(groups, runtime.durable(labelled, "labelled"), rule).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     keys = nodes.select("rep", "key")
     more = runtime.durable(more.join(keys.select(F.col("rep").alias("a"), F.col("key").alias("key_a")), "a").join(keys.select(F.col("rep").alias("b"), F.col("key").alias("key_b")), "b"), "across")
     if not more.isEmpty():
