@@ -87,6 +87,18 @@ def snk7(spark, d):
     return etl.merged_by_url(a, b, "url", "pos").select("pos", "v")
 
 
+@query("snk7_merge_all_pages", """WITH a AS (SELECT page_id AS pos, 'http://s/' || page_id AS url, 'old' AS v FROM pages WHERE page_id % 3 <> 2), b AS (SELECT page_id AS pos, 'http://s/' || page_id || '/?x' AS url, 'new' || page_id AS v FROM pages WHERE page_id % 3 <> 0),
+n AS (SELECT max(pos) + 1 AS n FROM a)
+SELECT a.pos, coalesce(b.v, a.v) AS v FROM a LEFT JOIN b ON b.url = a.url || '/?x' UNION ALL SELECT b.pos + n, b.v FROM b, n WHERE b.url NOT IN (SELECT url || '/?x' FROM a)""")
+def snk7_all(spark, d):
+    """Every page is old, incoming or both: a third each stays, is appended and is replaced in its place."""
+    p = table(spark, d, "pages")
+    u = F.concat(F.lit("http://s/"), F.col("page_id").cast("string"))
+    a = p.where("page_id % 3 <> 2").select(F.col("page_id").alias("pos"), u.alias("url"), F.lit("old").alias("v"))
+    b = p.where("page_id % 3 <> 0").select(F.col("page_id").alias("pos"), F.concat(u, F.lit("/?x")).alias("url"), F.concat(F.lit("new"), F.col("page_id").cast("string")).alias("v"))
+    return etl.merged_by_url(a, b, "url", "pos").select("pos", "v")
+
+
 @query("st1_union_all", "SELECT 'a' AS part, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'b', count(*) FROM orders WHERE o_orderkey % 2 <> 0")
 def st1(spark, d):
     o = table(spark, d, "orders").select("o_orderkey")

@@ -21,3 +21,10 @@ def test_ops18_thins_every_user(spark):
     rows = same_as_sql(spark, "ops18_cadence_all_users", "events")
     users = spark.read.parquet(f"{FOLDER}/events.parquet").select("user_id").distinct().count()
     assert len({r[0] for r in rows}) == users == 150
+
+
+def test_snk7_merges_every_page(spark):
+    rows = same_as_sql(spark, "snk7_merge_all_pages", "pages")
+    assert len(rows) == 250
+    assert sum(v == "old" for _, v in rows) == 84
+    assert {v for _, v in rows if v != "old"} == {f"new{i}" for i in range(250) if i % 3}
