@@ -52,6 +52,24 @@ def _position(df: DataFrame, order: list) -> DataFrame:
     return inner.join(F.broadcast(before), "__p").withColumn("position", F.col("__i") + F.col("__before")).drop("__p", "__i", "__before")  # one row a partition
 
 
+def placed(df: DataFrame, first: str, second: str, tie: str, width: int = 1 << 16) -> DataFrame:
+    """df with place: every row numbered from 1 by first and second descending (nulls last), then by the whole number tie.
+
+    Rows are numbered inside groups of equal keys and a range of ties; sums of the counts of the groups before are
+    added.  Only the distinct values of first meet in one task.
+    """
+    keys = [first, second, "__b"]
+    keyed = df.withColumn("__b", F.floor(F.col(tie) / width))
+    groups = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    ahead = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    outer = groups.groupBy(first).agg(F.sum("__n").alias("__n")).select(F.col(first).alias("__f"), ahead(Window.orderBy(F.desc(first))).alias("__outer"))
+    inner = groups.withColumn("__inner", ahead(Window.partitionBy(first).orderBy(F.desc(second), "__b")))
+    starts = inner.join(outer, F.col(first).eqNullSafe(F.col("__f"))).select(*(F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)), (F.col("__outer") + F.col("__inner")).alias("__start"))
+    numbered = keyed.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(tie)))
+    same = [F.col(k).eqNullSafe(F.col(f"__s{i}")) for i, k in enumerate(keys)]
+    return numbered.join(starts, same).withColumn("place", F.col("__start") + F.col("__i")).select(*df.columns, "place")
+
+
 def by_ratio(df: DataFrame, order: list, train: float, val: float, test: float) -> DataFrame:
     """df with split: the first floor(n * train) rows in order, then floor(n * val), then the rest."""
     total = train + val + test

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, times
-from ..operators import bank, etl, news
+from ..operators import bank, etl, news, splits
 from . import fixtures as X
 from .bank_queries import R, T
 from .registry import query, table
@@ -60,6 +60,12 @@ def ops15(spark, d):
     return top.select("pos", F.row_number().over(Window.orderBy(F.desc("date"), F.desc("title"), "pos")).cast("bigint").alias("place"))
 
 
+@query("ops15_sorted_all", f"WITH {_ART} SELECT pos, row_number() OVER (ORDER BY date DESC, title DESC, pos) AS place FROM art")
+def ops15_all(spark, d):
+    """The place of every article by date and title."""
+    return splits.placed(articles(spark, d).select("pos", "date", "title"), "date", "title", "pos").select("pos", F.col("place").cast("bigint").alias("place"))
+
+
 @query("ops16_longest_candidate", f"WITH {_ART} SELECT pos, CASE WHEN length(title) >= length(url) THEN title WHEN length(lang) > length(url) THEN lang ELSE url END AS best FROM art")
 def ops16(spark, d):
     longest = F.aggregate(F.array("title", "url", "lang"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
