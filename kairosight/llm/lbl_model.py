@@ -2,11 +2,14 @@
 
 A context is predicted as the sum of one vector for the previous word and one for the word before it;
 the score of an output is the product of that with the output's vector, plus a bias.  Outputs are the most
-frequent training words and one `unknown`, whose probability is shared among all other words in proportion
-to their smoothed counts.  A word outside the vocabulary still tells something as a context: its last two
-bytes choose one of 512 vectors.  The word before the previous one is coarser, one of 96 classes.  There are
-thus a fixed number of contexts, and batched matrix products give all their normalisers once, so that
-probabilities of tokens are exactly normalised at the price of a product of two short vectors.
+frequent training words and one `unknown`.  A word outside them chooses one of 512 context vectors by its last two
+bytes.  The word before the previous one is coarser, one of 96 classes.  There are thus a fixed number of contexts
+of this flat model, and batched matrix products give all their normalisers once, so that probabilities are exactly
+normalised at the price of a product of two short vectors.
+
+The probability of `unknown` is shared by a tree over every word that training has `least` times (`word_tree`), which
+grows with the corpus; words below that share a leaf in proportion to their smoothed counts.  After such a word the
+flat model is mixed with a tree over its outputs that sees the word's own context vector, the more the oftener it was seen.
 
 Training reads every training document whole.  Each task starts from the same parameters and takes one pass
 over its rows with its own steps; parameters are then averaged, weighted by tokens, in grouped sums.  Counts of
@@ -27,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import runtime, words
+from . import runtime, word_tree, words
 from .words import U
 
 END = np.uint64(0x1F83D9ABFB41BD6B)
-#: Words whose counts are sent to all tasks: 16 bytes each.
+#: So many words' counts are sent to all tasks at least, and those of all learned words.
 HEAD = 1 << 17
 COLUMNS = 16
 
@@ -46,6 +49,9 @@ class Setting:
     rate: float = 0.03
     rounds: int = 1
     seed: int = 7
+    least: int = 16
+    tree_rate: float = 0.05
+    trust: float = 50.0
 
 
 SUFFIXES, COARSE_OWN, COARSE_SUFFIX = 512, 32, 64
@@ -54,11 +60,12 @@ COARSE = COARSE_OWN + COARSE_SUFFIX + 1
 
 @dataclass
 class Head:
-    """Counts of the most frequent training words, sorted by hash, and the vocabulary's index of each (0: unknown)."""
+    """Counts of the most frequent training words, sorted by hash, the vocabulary's index of each (0: unknown) and its leaf (0: none)."""
 
     hash: np.ndarray
     count: np.ndarray
     index: np.ndarray
+    leaf: np.ndarray
     n: int
     distinct: int
 
@@ -75,13 +82,14 @@ class Head:
         return self.n + 0.5 * (self.distinct + 1)
 
 
-def head_of(rows: list[tuple[int, int]], n: int, distinct: int, setting: Setting) -> Head:
-    """rows: (hash as bigint, count), most frequent first."""
-    h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    count = np.array([r[1] for r in rows], np.int64)
-    index = np.where(np.arange(len(h)) < setting.vocabulary, np.arange(len(h)) + 1, 0)
+def head_of(h: np.ndarray, count: np.ndarray, n: int, distinct: int, setting: Setting) -> Head:
+    """h: hashes as bigint, count: their counts, in any order."""
+    by = np.lexsort((h, -count))  # most frequent first
+    h, count, place = h[by].view(np.uint64), count[by], np.arange(len(h))
+    index = np.where(place < setting.vocabulary, place + 1, 0)
+    leaf = np.where((place >= setting.vocabulary) & (count >= setting.least), place - setting.vocabulary + 1, 0)
     order = np.argsort(h)
-    return Head(h[order], count[order], index[order].astype(np.int64), n, distinct)
+    return Head(h[order], count[order], index[order], leaf[order], n, distinct)
 
 
 class Tokens:
@@ -102,6 +110,7 @@ class Tokens:
         suffix[~is_end] = (last * 37 + before * 101) % SUFFIXES
         self.row = head.find(self.hash)
         self.out = np.where(self.row >= 0, head.index[self.row] if len(head.index) else 0, 0)
+        self.leaf = np.where(self.row >= 0, head.leaf[self.row] if len(head.leaf) else 0, 0)
         size = setting.vocabulary + 1
         fine = np.where(self.out > 0, self.out, size + suffix)
         coarse = np.where((self.out > 0) & (self.out < COARSE_OWN), self.out, COARSE_OWN + suffix % COARSE_SUFFIX)
@@ -115,6 +124,13 @@ class Tokens:
             self.two[2:] = coarse[:-2]
             self.two[begin] = COARSE - 1
             self.two[np.minimum(self.first[:-1] + 1, total - 1)] = COARSE - 1
+        # the tree's contexts: a learned word's own, else as above; how far to trust the own one
+        self.own = self.one.copy()
+        self.trust = np.zeros(total)
+        after = np.flatnonzero((self.leaf > 0) & ~is_end) + 1
+        self.own[after] = size + SUFFIXES + self.leaf[after - 1]
+        seen = head.count[self.row[after - 1]]
+        self.trust[after] = seen / (seen + setting.trust)
 
 
 class Model:
@@ -241,28 +257,51 @@ def counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _train(train: DataFrame, head: Head, model: Model, setting: Setting) -> None:
+def tree_of(head: Head, model: Model) -> word_tree.Tree:
+    """The untrained tree: smoothed unigrams."""
+    leaves = np.bincount(head.leaf, (head.count + 0.5) * (head.leaf > 0), 1)
+    leaves[0] = rest_of(head)
+    return word_tree.Tree(len(model.one), COARSE, model.unigram, leaves, model.setting.seed)
+
+
+def rest_of(head: Head) -> float:
+    """Smoothed count of all words that are neither outputs nor leaves."""
+    return max(head.total - (head.count[(head.index > 0) | (head.leaf > 0)] + 0.5).sum(), 0.5)
+
+
+def _train(train: DataFrame, head: Head, model: Model, tree: word_tree.Tree, setting: Setting) -> None:
     """One round: every task takes a pass over its rows; the average of the results becomes the model."""
     spark = train.sparkSession
-    sent = spark.sparkContext.broadcast((head, model))
+    sent = spark.sparkContext.broadcast((head, model, tree))
     names = [f"x{i}" for i in range(COLUMNS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
 
-        head, shared = sent.value
+        head, shared, start = sent.value
         own = copy.deepcopy(shared)
+        grown = word_tree.TreeTrainer(copy.deepcopy(start), setting.tree_rate)
         trainer = own.trainer(TaskContext.get().partitionId())
         for batch in batches:
             for part in words.chunks(batch, "text", words.PIECE):
-                trainer.read(Tokens(*words.column(part, "text"), head, setting))
+                t = Tokens(*words.column(part, "text"), head, setting)
+                trainer.read(t)
+                for i, leaf, kind in ((t.trust > 0, t.out, 0), (t.out == 0, t.leaf, 1)):
+                    i = trainer.rng.permutation(np.flatnonzero(i))
+                    grown.read(t.own[i], t.two[i], leaf[i], kind)
         if trainer.tokens:
             rows = own.rows().astype(np.float64) * trainer.tokens
-            arrays = [pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), trainer.tokens)), *(pa.array(rows[:, i].copy()) for i in range(COLUMNS))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "tokens", *names])
-
-    schema = "row bigint, tokens bigint, " + ", ".join(f"{x} double" for x in names)
-    mean = train.select("text").mapInArrow(run, schema).groupBy("row").agg(*((F.sum(x) / F.sum("tokens")).alias(x) for x in names))
+            arrays = [pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), trainer.tokens)), *(pa.array(rows[:, i].copy()) for i in range(COLUMNS)), pa.nulls(len(rows), pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "tokens", *names, "part"])
+            for block, part in grown.changes(start):
+                arrays = [pa.array([block]), pa.array([trainer.tokens]), *(pa.nulls(1, pa.float64()) for _ in names), pa.array([part], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "tokens", *names, "part"])
+
+    schema = "row bigint, tokens bigint, " + ", ".join(f"{x} double" for x in names) + ", part binary"
+    trained = runtime.durable(train.select("text").mapInArrow(run, schema), "trained")
+    blocks = trained.where("part is not null").select("row", "part")
+    word_tree.load(tree, blocks.groupBy("row").applyInArrow(word_tree.averaged, "row bigint, part binary").toArrow())
+    mean = trained.where("part is null").groupBy("row").agg(*((F.sum(x) / F.sum("tokens")).alias(x) for x in names))
     found = mean.toPandas()  # one row for each parameter row: a fixed number
     if len(found):
         rows = np.empty((len(found), COLUMNS))
@@ -271,8 +310,18 @@ def _train(train: DataFrame, head: Head, model: Model, setting: Setting) -> None
     sent.unpersist()
 
 
-def fit(docs: DataFrame, setting: Setting = Setting()) -> tuple[DataFrame, Head, Model]:
-    """Counts of all training words (a table), the head and the trained model, from docs(text, held_out)."""
+def log_probability(t: Tokens, model: Model, tree: word_tree.Tree, z: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each token's output and, for unknown ones, its leaf of the tree."""
+    own = model.log_probability(t.one, t.two, t.out, z)
+    i = np.flatnonzero(t.trust > 0)
+    own[i] = np.logaddexp(np.log1p(-t.trust[i]) + own[i], np.log(t.trust[i]) + tree.log_probability(t.own[i], t.two[i], t.out[i], 0))
+    i = np.flatnonzero(t.out == 0)
+    own[i] += tree.log_probability(t.own[i], t.two[i], t.leaf[i], 1)
+    return own
+
+
+def fit(docs: DataFrame, setting: Setting = Setting()) -> tuple[DataFrame, Head, Model, word_tree.Tree]:
+    """Counts of all training words (a table), the head, the trained model and tree, from docs(text, held_out)."""
     train = docs.where("not held_out")
     table = runtime.durable(counts(train), "counts")
     n, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -284,26 +333,28 @@ def fit(docs: DataFrame, setting: Setting = Setting()) -> tuple[DataFrame, Head,
         if room < 0:
             break
         least = r.level
-    top = [] if least is None else [tuple(r) for r in table.where(level >= least).select("hash", "n").collect()]
-    head = head_of(sorted(top, key=lambda r: (-r[1], r[0])), n, distinct, setting)
+    sent = F.col("n") >= setting.least if least is None else (level >= least) | (F.col("n") >= setting.least)
+    top = table.where(sent).select("hash", "n").toArrow()  # 16 bytes a learned word
+    head = head_of(top.column("hash").to_numpy(), top.column("n").to_numpy(), n, distinct, setting)
     known = np.bincount(head.index, head.count + 0.5, setting.vocabulary + 1)
     known[0] = max(head.total - known[1:].sum(), 0.5)
     model = Model(setting, np.maximum(known, 0.25) / np.maximum(known, 0.25).sum())
+    tree = tree_of(head, model)
     for _ in range(setting.rounds if n else 0):
-        _train(train, head, model, setting)
-    return table, head, model
+        _train(train, head, model, tree, setting)
+    return table, head, model, tree
 
 
-def score(docs: DataFrame, table: DataFrame, head: Head, model: Model) -> DataFrame:
+def score(docs: DataFrame, table: DataFrame, head: Head, model: Model, tree: word_tree.Tree) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs(doc_id, text, held_out)."""
     spark, setting = docs.sparkSession, model.setting
-    outside = max(head.total - (head.count[head.index > 0] + 0.5).sum(), 0.5)
-    sent = spark.sparkContext.broadcast((head, model, model.normalisers()))
+    outside = rest_of(head)
+    sent = spark.sparkContext.broadcast((head, model, tree, model.normalisers()))
     runtime.ship(spark)
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, base double, score double, tail array<bigint>, tail_n array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, model, z = sent.value
+        head, model, tree, z = sent.value
         row = TaskContext.get().partitionId() << 40
         base_of = np.log10(head.count + 0.5)
         for batch in batches:
@@ -313,8 +364,8 @@ def score(docs: DataFrame, table: DataFrame, head: Head, model: Model) -> DataFr
                 doc = np.repeat(np.arange(n_docs), np.diff(t.first))
                 there = t.row >= 0
                 base = np.where(there, base_of[t.row] if len(base_of) else 0.0, 0.0)
-                own = model.log_probability(t.one, t.two, t.out, z) / np.log(10)
-                own = own + np.where(t.out == 0, base - np.log10(outside), 0.0)
+                own = log_probability(t, model, tree, z) / np.log(10)
+                own = own + np.where((t.out == 0) & (t.leaf == 0), base - np.log10(outside), 0.0)
                 per_doc = lambda x: np.bincount(doc, x, n_docs)
                 n_tokens = np.diff(t.first)
                 key = np.flatnonzero(~there)

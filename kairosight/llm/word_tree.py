@@ -1,0 +1,138 @@
+"""The part of the language model that grows with the corpus: a binary tree over all learned words.
+
+A learned word is one that training has at least `least` times and that is not among the outputs of the flat model.
+Each has a context vector of its own and is a leaf of a complete binary tree; a node turns right with the logistic
+of its vector times the context's, plus the log ratio of the training counts below it.  Before training the tree
+is thus the smoothed unigram, and a word costs one product a level, whatever the number of words, with no normaliser.
+Leaf 0 is all other words.  A second, small tree over the outputs of the flat model lets the words that are
+learned only here tell as contexts what comes next.
+
+Tasks train from the same parameters; what they changed is averaged, row by row, weighted by how often they met the row.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+
+COLUMNS = 8
+BLOCK = 1 << 12
+_FORM = np.dtype([("at", "<u2"), ("n", "<f4"), ("x", "<f2", COLUMNS)])
+
+
+def _turns(mass: np.ndarray) -> tuple[int, np.ndarray]:
+    """Levels of the tree over leaves of these masses, and the log odds of a right turn of each node (1 is the root)."""
+    levels = max(len(mass) - 1, 0).bit_length()
+    below = np.zeros(2 << levels)
+    below[1 << levels : (1 << levels) + len(mass)] = mass
+    for k in range(levels - 1, -1, -1):
+        below[1 << k : 2 << k] = below[2 << k : 4 << k].reshape(-1, 2).sum(1)
+    pairs = np.log(np.maximum(below, 1e-300)).reshape(-1, 2)
+    return levels, np.clip(pairs[:, 1] - pairs[:, 0], -40, 40).astype(np.float32)
+
+
+class Tree:
+    """Context vectors by row of `one` (then one for each learned word) and of `two`; node vectors of both trees."""
+
+    def __init__(self, n_one: int, n_two: int, outputs: np.ndarray, leaves: np.ndarray, seed: int):
+        rng = np.random.Generator(np.random.PCG64([seed, 1]))
+        self.levels, turns = zip(_turns(outputs), _turns(leaves), strict=True)
+        self.offset = (0, len(turns[0]))
+        self.bias = np.concatenate(turns)
+        self.own = n_one
+        self.one = rng.normal(0, 0.3, (n_one + len(leaves) - 1, COLUMNS)).astype(np.float32)
+        self.two = rng.normal(0, 0.3, (n_two, COLUMNS)).astype(np.float32)
+        self.node = np.zeros((len(self.bias), COLUMNS), np.float32)
+
+    def path(self, leaf: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes from the root to each leaf, and 1 or -1 for a right or left turn."""
+        k = np.arange(self.levels[tree], 0, -1)
+        code = (leaf + (1 << self.levels[tree]))[:, None]
+        return (code >> k) + self.offset[tree], (((code >> (k - 1)) & 1) * 2 - 1).astype(np.float32)
+
+    def log_probability(self, one: np.ndarray, two: np.ndarray, leaf: np.ndarray, tree: int) -> np.ndarray:
+        """Natural log of the probability of each leaf of the outputs (0) or the words (1) after its context."""
+        out = np.zeros(len(leaf))
+        for at in range(0, len(leaf), 1 << 14):
+            i = slice(at, at + (1 << 14))
+            node, turn = self.path(leaf[i], tree)
+            q = self.one[one[i]] + self.two[two[i]]
+            s = turn * (np.einsum("ikj,ij->ik", self.node[node], q) + self.bias[node])
+            out[i] = -np.log1p(np.exp(np.minimum(-s, 60))).sum(1, dtype=np.float64)
+        return out
+
+
+class TreeTrainer:
+    """Adagrad with a step size a row; gradients of a batch are summed for each row that it meets."""
+
+    def __init__(self, tree: Tree, rate: float, batch: int = 1 << 14):
+        self.t, self.rate, self.batch = tree, rate, batch
+        self.names = ("one", "two", "node")
+        self.met = {k: np.zeros(len(getattr(tree, k)), np.float32) for k in self.names}
+        self.squares = {k: np.full(len(getattr(tree, k)), 1e-2, np.float32) for k in self.names}
+
+    def _add(self, name: str, row: np.ndarray, g: np.ndarray) -> None:
+        table, squares, met = getattr(self.t, name), self.squares[name], self.met[name]
+        flag = np.zeros(len(table), bool)
+        flag[row] = True
+        rows = np.flatnonzero(flag)
+        small = np.empty(len(table), np.int32)
+        small[rows] = np.arange(len(rows), dtype=np.int32)
+        at = small[row]
+        n = np.bincount(at, minlength=len(rows))
+        total = np.stack([np.bincount(at, g[:, j], len(rows)) for j in range(COLUMNS)], 1).astype(np.float32)
+        total /= np.sqrt(n)[:, None].astype(np.float32)
+        squares[rows] += (total * total).mean(1)
+        table[rows] += self.rate * total / np.sqrt(squares[rows])[:, None]
+        met[rows] += n
+
+    def read(self, one: np.ndarray, two: np.ndarray, leaf: np.ndarray, tree: int) -> None:
+        t = self.t
+        if not t.levels[tree]:
+            return
+        for at in range(0, len(leaf), self.batch):
+            i = slice(at, at + self.batch)
+            node, turn = t.path(leaf[i], tree)
+            q = t.one[one[i]] + t.two[two[i]]
+            v = t.node[node]
+            s = turn * (np.einsum("ikj,ij->ik", v, q) + t.bias[node])
+            g = turn / (1 + np.exp(np.minimum(s, 60)))
+            g_q = np.einsum("ik,ikj->ij", g, v)
+            self._add("node", node.ravel(), (g[:, :, None] * q[:, None, :]).reshape(-1, COLUMNS))
+            self._add("one", one[i], g_q)
+            self._add("two", two[i], g_q)
+
+    def changes(self, start: Tree):
+        """(block, bytes) of the rows met: blocks of all tables are numbered one after the other."""
+        block = 0
+        for name in self.names:
+            met, old, new = self.met[name], getattr(start, name), getattr(self.t, name)
+            for at in range(0, len(met), BLOCK):
+                rows = at + np.flatnonzero(met[at : at + BLOCK])
+                if len(rows):
+                    out = np.empty(len(rows), _FORM)
+                    out["at"], out["n"], out["x"] = rows - at, met[rows], new[rows] - old[rows]
+                    yield block, out.tobytes()
+                block += 1
+
+
+def averaged(rows: pa.Table) -> pa.Table:
+    """One row of the mean changes of a block from all tasks' rows of it: (row bigint, part binary)."""
+    total, n = np.zeros((BLOCK, COLUMNS)), np.zeros(BLOCK)
+    for part in rows.column("part"):
+        x = np.frombuffer(part.as_buffer(), _FORM)
+        total[x["at"]] += x["x"].astype(np.float64) * x["n"][:, None]
+        n[x["at"]] += x["n"]
+    at = np.flatnonzero(n)
+    out = np.empty(len(at), _FORM)
+    out["at"], out["n"], out["x"] = at, n[at], total[at] / n[at][:, None]
+    return pa.table({"row": pa.array([rows.column("row")[0].as_py()], pa.int64()), "part": pa.array([out.tobytes()], pa.binary())})
+
+
+def load(tree: Tree, found: pa.Table) -> None:
+    """Add the mean changes of all blocks."""
+    tables = [(getattr(tree, k), at) for k in ("one", "two", "node") for at in range(0, len(getattr(tree, k)), BLOCK)]
+    for row, part in zip(found.column("row"), found.column("part"), strict=True):
+        x = np.frombuffer(part.as_buffer(), _FORM)
+        table, at = tables[row.as_py()]
+        table[at + x["at"].astype(np.int64)] += x["x"].astype(np.float32)

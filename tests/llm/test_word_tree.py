@@ -1,0 +1,51 @@
+import numpy as np
+import pytest
+
+from kairosight.llm import lbl_model as L
+from kairosight.llm import word_tree as W
+
+
+def test_untrained_tree_is_the_unigram_and_any_tree_is_normalised():
+    rng = np.random.default_rng(3)
+    leaves = rng.integers(1, 50, 37).astype(float)
+    tree = W.Tree(5, 4, np.full(6, 1 / 6), leaves, 1)
+    at = lambda i: (np.full(37, i), np.full(37, i % 4), np.arange(37), 1)
+    assert np.exp(tree.log_probability(*at(2))) == pytest.approx(leaves / leaves.sum(), rel=1e-4)
+    tree.node[...] = rng.normal(0, 1, tree.node.shape)
+    for i in (0, 3, 30):
+        assert np.exp(tree.log_probability(*at(i))).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_every_frequent_word_is_learned():
+    """Beyond the outputs of the flat model, each word seen often enough has a leaf and a context of its own."""
+    setting = L.Setting(vocabulary=3, least=4)
+    count = np.array([100, 90, 80, 9, 4, 3, 7])
+    head = L.head_of(np.arange(7) + 1, count, int(count.sum()), 7, setting)
+    assert sorted(head.leaf[head.leaf > 0]) == [1, 2, 3]
+    assert len(L.tree_of(head, L.Model(setting, np.full(4, 0.25))).one) == 4 + L.SUFFIXES + 1 + 3
+
+
+def test_a_rare_word_is_learned_after_its_context():
+    """Leaf 9 of 40 always follows context 2."""
+    tree = W.Tree(4, 1, np.full(4, 0.25), np.ones(40), 1)
+    trainer, rng = W.TreeTrainer(tree, 0.1), np.random.default_rng(1)
+    for _ in range(300):
+        one = rng.integers(0, 4, 256)
+        trainer.read(one, np.zeros(256, int), np.where(one == 2, 9, rng.integers(0, 40, 256)), 1)
+    p = np.exp(tree.log_probability(np.array([2, 1]), np.zeros(2, int), np.array([9, 9]), 1))
+    assert p[0] > 0.5 > 0.1 > p[1]
+
+
+def test_changes_of_tasks_are_averaged_by_rows_met(spark):
+    start = W.Tree(4, 1, np.full(4, 0.25), np.ones(5000), 1)
+    parts = []
+    for n, x in ((1, 4.0), (3, 8.0)):
+        own = W.TreeTrainer(W.Tree(4, 1, np.full(4, 0.25), np.ones(5000), 1), 0.1)
+        own.t.one[4500] += x
+        own.met["one"][4500] = n
+        parts += own.changes(start)
+    df = spark.createDataFrame(parts, "row long, part binary")
+    before = start.one.copy()
+    W.load(start, df.groupBy("row").applyInArrow(W.averaged, "row bigint, part binary").toArrow())
+    assert start.one[4500] - before[4500] == pytest.approx(np.full(W.COLUMNS, 7.0), abs=0.01)
+    assert np.array_equal(np.delete(start.one, 4500, 0), np.delete(before, 4500, 0))
