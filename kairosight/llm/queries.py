@@ -49,7 +49,7 @@ def op9_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.query(table(spark, sf_dir, "documents"))
+    return substring_dedup.query(table(spark, sf_dir, "documents"), substring_dedup.WHOLE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

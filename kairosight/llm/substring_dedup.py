@@ -2,7 +2,8 @@
 
 A text is cut into sentences: after a line break, and after . ! or ? before white space.  A span
 starts at every sentence and takes the following ones until it has two sentences and 20 words, or
-40 words (so that a passage in one long sentence counts as well).  Each span is hashed from its
+40 words (so that a passage in one long sentence counts as well).  With Rule.both, a sentence that alone has 40
+words starts two spans: itself, and the run of two sentences from there.  Each span is hashed from its
 words; spans are joined globally by hash, and every sentence that lies in a span other than the
 first one with its hash goes.  First is the smallest doc_id, in a document the earliest place.
 
@@ -30,13 +31,17 @@ from .words import U
 
 @dataclass(frozen=True)
 class Rule:
-    """A span is complete with this many sentences and words, or with so many words."""
+    """A span is complete with this many sentences and words, or with so many words; both: with either, where they differ."""
 
     sentences: int = 2
     words: int = 20
     enough_words: int = 40
+    both: bool = False
 
 
+#: What the registered query uses; the pipeline keeps Rule().
+WHOLE = Rule(both=True)
+
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
@@ -53,6 +58,7 @@ class Spans:
     hash: np.ndarray
     doc: np.ndarray
     again: np.ndarray  # whether its text has an equal span before
+    run: np.ndarray  # 1 for the longer of two spans that start together
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, rule: Rule) -> Spans:
@@ -76,15 +82,22 @@ def spans(data: np.ndarray, offsets: np.ndarray, rule: Rule) -> Spans:
     by_count = np.maximum(np.arange(k) + rule.sentences, np.searchsorted(total, total[:k] + rule.words))
     stop = np.minimum(by_count, np.searchsorted(total, total[:k] + rule.enough_words))
     last = np.searchsorted(doc[full], doc[full], "right")  # sentences of the text end here
-    ok = np.flatnonzero(stop <= last)
-    begin_word, end_word = word[full[ok]], word[full[np.maximum(stop[ok], 1) - 1] + 1]
-    h = _run_hashes(w.hash, begin_word, end_word)
-    d = doc[full[ok]]
+    origin, ends, hashes = [], [], []
+    for to in (stop, np.where(by_count > stop, by_count, k + 1)) if rule.both else (stop,):
+        ok = np.flatnonzero(to <= last)
+        origin.append(ok)
+        ends.append(to[ok])
+        hashes.append(_run_hashes(w.hash, word[full[ok]], word[full[np.maximum(to[ok], 1) - 1] + 1]))
+    run = np.repeat(np.arange(len(origin)), [len(x) for x in origin])
+    origin, stop, h = map(np.concatenate, (origin, ends, hashes))
+    order = np.lexsort((run, origin))
+    origin, stop, h, run = origin[order], stop[order], h[order], run[order]
+    d = doc[full[origin]]
     key = words.mix(h + d.astype(np.uint64) * U(0x9E3779B97F4A7C15))
     order = np.argsort(key, kind="stable")
-    again = np.zeros(len(ok), bool)
+    again = np.zeros(len(origin), bool)
     again[order[1:][key[order][1:] == key[order][:-1]]] = True
-    return Spans(start, end, first, full[ok], full[np.maximum(stop[ok], 1) - 1] + 1 if len(ok) else ok, h, d, again)
+    return Spans(start, end, first, full[origin], full[np.maximum(stop, 1) - 1] + 1 if len(origin) else origin, h, d, again, run)
 
 
 _ROLL = 0xC6A4A7935BD1E995 & ~3 | 3
@@ -115,7 +128,7 @@ def _spans_table(docs: DataFrame, rule: Rule) -> DataFrame:
         for part in words.chunks(batch, "text"):
             s = spans(*words.column(part, "text"), rule)
             new = ~s.again
-            at = s.at[new] - s.first[s.doc[new]]
+            at = 2 * (s.at[new] - s.first[s.doc[new]]) + s.run[new]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(s.doc[new])), pa.array(s.hash[new].view(np.int64)), pa.array(at.astype(np.int32))], names=["doc_id", "hash", "place"])
 
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -123,7 +136,7 @@ def _spans_table(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def repeated(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(doc_id, places): for each document with repeats of others, the sentences at which such spans start."""
+    """(doc_id, places): for each document with repeats of others, twice the sentences at which such spans start, plus the run."""
     found = runtime.durable(_spans_table(docs, rule), "spans")
     firsts = found.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").select("hash", "first_doc")
     later = found.join(firsts, "hash").where("doc_id > first_doc")
@@ -145,8 +158,8 @@ def _rewrite(docs: DataFrame, carry: list[str], rule: Rule, extra: str) -> DataF
             sizes = np.diff(np.asarray(lists.offsets)) if len(lists) else np.zeros(0, np.int64)
             sizes = np.where(np.asarray(lists.is_valid()), sizes, 0)
             owner = np.repeat(np.arange(part.num_rows), sizes)
-            named = s.first[owner] + flat  # sentence indexes
-            index = np.searchsorted(s.at, named)
+            named = 2 * s.first[owner] + flat
+            index = np.searchsorted(2 * s.at + s.run, named)
             gone = np.union1d(index, np.flatnonzero(s.again))
             change = np.zeros(len(s.start) + 1, np.int64)
             np.add.at(change, s.at[gone], 1)
