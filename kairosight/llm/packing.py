@@ -12,7 +12,6 @@ column names are packed row by row; an empty table gives no sequences.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,18 +27,51 @@ from . import runtime, words
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END = 0
-#: Words kept with their ids in a worker; beyond it the memo starts anew, results stay the same.
-MEMO = 500_000
+#: Ids and words that a worker remembers (some 120 MB); beyond either the memo starts anew, results stay the same.
+MEMO_IDS, MEMO_WORDS = 12_000_000, 3_000_000
+#: Words given to the library as one text, with spaces between.
+TOGETHER = 256
+
+
+class Memo:
+    """Word hash -> place and number of its ids: a large sorted table and a small recent one that is merged now and then."""
+
+    def __init__(self):
+        self.tables = [np.zeros((3, 0), np.int64), np.zeros((3, 0), np.int64)]
+
+    def __len__(self) -> int:
+        return sum(t.shape[1] for t in self.tables)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """(place, number) of each hash; a place of -1 where it is not known."""
+        out = np.full((2, len(h)), -1)
+        for t in self.tables:
+            own = t[0].view(np.uint64)
+            at = np.searchsorted(own, h)
+            met = at < len(own)
+            met[met] = own[at[met]] == h[met]
+            out[:, met] = t[1:, at[met]]
+        return out
+
+    def add(self, h: np.ndarray, place: np.ndarray, n: np.ndarray) -> None:
+        """New hashes, sorted."""
+        large, small = self.tables
+        small = self._merged(small, np.stack([h.view(np.int64), place, n]))
+        if 4 * small.shape[1] > large.shape[1]:
+            large, small = self._merged(large, small), np.zeros((3, 0), np.int64)
+        self.tables = [large, small]
 
-_LETTER = "a-zªµºß-öø-ÿ"
-_NUMBER = "0-9²³¹¼½¾"
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\t\n\r {_LETTER}{_NUMBER}]+")
-#: Texts of other characters, or that may hold special tokens, go to the library whole.
-_STRANGE = re.compile("[^\t\n\r -~¡-ÿ]|<\\|")
+    @staticmethod
+    def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.insert(a, np.searchsorted(a[0].view(np.uint64), b[0].view(np.uint64)), b, axis=1)
 
 
 class Tokens:
-    """Token ids of texts as little-endian bytes, through a memo of words."""
+    """Token ids of texts through a memo of white-space words, looked up by hash for a whole batch at once.
+
+    The tokenizer drops white space and no token crosses it, so a text's ids are its words' ids in order; only
+    words not met before go to the library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,22 +79,53 @@ class Tokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo: dict[str, bytes] = {}
-
-    @staticmethod
-    def _body(ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if _STRANGE.search(t) else _SPLIT.findall(t.lower()) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [w for w in set().union(*(s for s in split if s)) if w not in self.memo]
-        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.memo[w] = self._body(e.ids)
-        get = self.memo.__getitem__
-        for t, s in zip(texts, split, strict=True):
-            yield self._body(self.library.encode(t, add_special_tokens=False).ids) if s is None else b"".join(map(get, s))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.memo, self.ids, self.used = Memo(), np.zeros(1 << 16, np.uint32), 0
+
+    def _encoded(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these words one after the other, and the number of ids of each."""
+        body = data.tobytes()
+        text = [body[s:e].decode("utf-8") for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        groups = [text[at : at + TOGETHER] for at in range(0, len(text), TOGETHER)]
+        ids, n = [], []
+        for own, e in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+            where = np.fromiter((x[0] for x in e.offsets), np.int64, len(e.ids))  # in characters
+            ids.append(np.array(e.ids, np.uint32))
+            n.append(np.bincount(np.searchsorted(ends, where, "right"), minlength=len(own)))
+        return np.concatenate(ids), np.concatenate(n)
+
+    def _learn(self, data: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Remember these words, whose hashes are sorted and new."""
+        found, n = self._encoded(data, start, end)
+        if self.used + len(found) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used // 2, 2 * len(found)), np.uint32)])
+        self.ids[self.used : self.used + len(found)] = found
+        self.memo.add(h, self.used + np.cumsum(n) - n, n)
+        self.used += len(found)
+
+    def encode(self, batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with its end token, and where each text's ids begin."""
+        data, offsets = words.column(batch, name)
+        w = words.words(data, offsets, fold=False)
+        if self.used > MEMO_IDS or len(self.memo) > MEMO_WORDS:
+            self._clear()
+        u, first, word = np.unique(w.hash, return_index=True, return_inverse=True)
+        place, n = self.memo.find(u)
+        if (place < 0).any():
+            new = place < 0
+            self._learn(data, u[new], w.start[first[new]], w.end[first[new]])
+            place, n = self.memo.find(u)
+        place, n = place[word], n[word]
+        ends = np.cumsum(n)
+        begin = np.concatenate([[0], ends])[w.first] + np.arange(len(offsets))
+        out = np.full(int(begin[-1]), END, np.uint32)
+        inside = np.ones(len(out), bool)
+        inside[begin[1:] - 1] = False
+        out[inside] = self.ids[np.repeat(place - (ends - n), n) + np.arange(int(n.sum()))]
+        return out, begin
 
 
 _tokens: dict[str, Tokens] = {}
@@ -88,30 +151,30 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, i
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         coder = tokens(path)
         for batch in batches:
-            for part in words.chunks(batch, "text", 1 << 20):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                row, piece, start, length, crc, rank, body = [], [], [], [], [], [], []
-                for i, b in enumerate(coder.encode(texts)):
-                    b += END.to_bytes(4, "little")
-                    for k, at in enumerate(range(0, len(b), 4 * capacity)):
-                        own = b[at : at + 4 * capacity]
-                        n = len(own) // 4
-                        row.append(i)
-                        piece.append(k)
-                        start.append(at // 4)
-                        length.append(n)
-                        crc.append(zlib.crc32(own))
-                        rank.append(seen[n])
-                        seen[n] += 1
-                        if ids:
-                            body.append(np.frombuffer(own, "<u4").astype(np.int32))
-                arrays = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())]
+            for part in words.chunks(batch, "text", 2 * words.PIECE):
+                ids_, begin = coder.encode(part, "text")
+                count = -(-np.diff(begin) // capacity)
+                row = np.repeat(np.arange(part.num_rows), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(np.diff(begin)[row] - start, capacity)
+                at = begin[row] + start
+                body = memoryview(ids_.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(body[4 * s : 4 * (s + n)]) for s, n in zip(at.tolist(), length.tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                run_of = length[order]
+                nth = np.arange(len(row)) - np.searchsorted(run_of, run_of)
+                rank = np.empty(len(row), np.int64)
+                rank[order] = seen[run_of] + nth
+                seen += np.bincount(length, minlength=capacity + 1)
+                arrays = [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), task, np.int32)), pa.array(rank)]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
                 if ids:
-                    arrays, names = [*arrays, pa.array(body, pa.list_(pa.int32()))], [*names, "ids"]
+                    ends = np.append(at, begin[-1]).astype(np.int32)
+                    arrays, names = [*arrays, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids_.astype(np.int32)))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint"
