@@ -198,6 +198,7 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
+runtime.remembers(_codecs.clear)
 
 
 def codec(path: str | None = None) -> Codec:

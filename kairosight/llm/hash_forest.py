@@ -130,7 +130,6 @@ def _usable(vector: Column) -> Column:
 
 def search(rows: DataFrame, is_query: Column, k: int = 5, forest: Forest = Forest(), vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row that is a query."""
-    runtime.ship(rows.sparkSession)
     usable = rows.where(F.col(vec_id).isNotNull() & _usable(F.col(vector))).select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     n, n_queries, size = usable.agg(F.count(F.lit(1)), F.count_if("q"), F.max(F.size("v"))).first()
     shards, blocks = max(1, -(-n // forest.shard)), max(1, -(-n_queries // forest.block))
@@ -156,7 +155,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, forest: Forest = Fores
                 s += score.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    found = runtime.map_tasks(dealt, run, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import components, runtime, words
 from .words import U
@@ -205,15 +206,13 @@ def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
             u, c = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["h", "n"])
 
-    runtime.ship(docs.sparkSession)
-    counted = part.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_HITS)
+    counted = runtime.map_tasks(part, run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_HITS)
     top = counted.orderBy(F.desc("n"), "h").limit(COMMON).select("h").collect()
     return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
 
 
 def signed(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
     """(signature, key) rows; a task signs a class it has met before only once, as far as it remembers."""
-    runtime.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +232,7 @@ def signed(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
                 owner, sig = signatures(doc[use], h[use], np.where(new, size, 0), rule, sent.value)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(key[owner].view(np.int64))], names=["signature", "key"])
 
-    return docs.select("text").mapInArrow(run, "signature bigint, key bigint")
+    return runtime.map_tasks(docs.select("text"), run, "signature bigint, key bigint")
 
 
 def shared(signed: DataFrame) -> DataFrame:
@@ -264,8 +263,7 @@ def shared(signed: DataFrame) -> DataFrame:
         if carried_shared:
             yield out(carry)
 
-    runtime.ship(signed.sparkSession)
-    return signed.repartition("signature").sortWithinPartitions("signature", "key").mapInArrow(run, "signature bigint, key bigint")
+    return runtime.map_tasks(signed.repartition("signature").sortWithinPartitions("signature", "key"), run, "signature bigint, key bigint")
 
 
 def _near(rule: Rule, n_a: Column, n_b: Column, a: list[Column], b: list[Column]) -> tuple[Column, Column]:
@@ -304,13 +302,19 @@ def _across(groups: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) that share a signature, lie in different components and may link; compared block by block.
 
     groups: signature, key; nodes: key, rep, component, n and sketch.  Groups within one component go before sketches are joined.
+    Blocks of a group's largest component come first and meet the others' blocks only, so a large group of near copies
+    with a few strangers costs as many comparisons as it has members, for each block of strangers.
     """
     members = groups.join(nodes.select("key", "component"), "key")
-    sizes = members.groupBy("signature").agg(F.count(F.lit(1)).alias("g"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
-    left = groups.join(sizes.select("signature", "g"), "signature")
-    cut = left.join(nodes, "key").withColumn("c", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("c")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select(
+    parts = members.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("g"))
+    sizes = parts.groupBy("signature").agg(F.max(F.struct("g", "component")).alias("top"), F.sum("g").alias("g"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    sizes = sizes.select("signature", F.col("top.component").alias("largest"), blocks(F.col("top.g")).alias("cl"), blocks(F.col("g") - F.col("top.g")).alias("cs"))
+    inside, spread = F.col("component") == F.col("largest"), F.xxhash64("rep")
+    own = F.when(inside, F.pmod(spread, F.col("cl"))).otherwise(F.col("cl") + F.pmod(spread, F.col("cs"))).cast("int")
+    cut = groups.join(sizes, "signature").join(nodes, "key").withColumn("own", own)
+    meets = F.sequence(F.when(inside, F.col("cl")).otherwise(F.lit(0)), F.col("cl") + F.col("cs") - 1)
+    dealt = cut.withColumn("other", F.explode(meets)).select(
         "signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "component", "n", *SKETCH
     )
 
@@ -345,7 +349,7 @@ def _across(groups: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         if found:
             yield out()
 
-    return dealt.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+    return runtime.map_tasks(dealt.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j"), run, "a bigint, b bigint").distinct()
 
 
 def _past_hubs(pairs: DataFrame, bodies: DataFrame, fits, first: str, second: str) -> DataFrame:
@@ -372,7 +376,7 @@ def _past_hubs(pairs: DataFrame, bodies: DataFrame, fits, first: str, second: st
             yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in (0, 4, 1, 5)], names=[first, second, "key_a", "key_b"])
 
     schema = f"{first} bigint, {second} bigint, key_a bigint, key_b bigint"
-    return members.union(hubs).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, schema)
+    return runtime.map_tasks(members.union(hubs).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind"), run, schema)
 
 
 def _sharpened(pairs: DataFrame, sharp: DataFrame, rule: Rule) -> DataFrame:
@@ -464,9 +468,21 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def representatives(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The rows of docs that stay when one document of each group does: the one with the smallest id, and rows without an id."""
-    keep = join(docs, rule).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").union(docs.join(keep, docs["doc_id"] == keep["doc_id"], "left_semi"))
+    """The rows of docs that stay when one document of each group does: the one with the smallest id, and rows without an id.
+
+    Where rows repeat that id, the least of them by all columns stays.
+    """
+    found = runtime.durable(join(docs, rule).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    without = docs.where(docs["doc_id"].isNull())
+    kept = docs.join(found, docs["doc_id"] == found["doc_id"], "left_semi")
+    again = found.where("n > 1")
+    if again.isEmpty():
+        return without.union(kept)
+    once = kept.join(again, docs["doc_id"] == again["doc_id"], "left_anti")
+    many = kept.join(again, docs["doc_id"] == again["doc_id"], "left_semi")
+    own = "nth" + "_" * max(map(len, docs.columns))  # no column of docs
+    nth = F.row_number().over(Window.partitionBy(many["doc_id"]).orderBy(*(many[c] for c in docs.columns)))
+    return without.union(once).union(many.withColumn(own, nth).where(F.col(own) == 1).select(*docs.columns))
 
 
 def query(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

@@ -227,7 +227,6 @@ def _folds(docs: DataFrame) -> DataFrame:
 
 def counts(train: DataFrame) -> DataFrame:
     """(hash, n) of every training token, over all training texts."""
-    runtime.ship(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sums = [], []
@@ -254,7 +253,7 @@ def counts(train: DataFrame) -> DataFrame:
             u, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["hash", "n"])
 
-    return train.select("text").mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    return runtime.map_tasks(train.select("text"), run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def tree_of(head: Head, model: Model) -> word_tree.Tree:
@@ -298,7 +297,7 @@ def _train(train: DataFrame, head: Head, model: Model, tree: word_tree.Tree, set
                 yield pa.RecordBatch.from_arrays(arrays, names=["row", "tokens", *names, "part"])
 
     schema = "row bigint, tokens bigint, " + ", ".join(f"{x} double" for x in names) + ", part binary"
-    trained = runtime.durable(train.select("text").mapInArrow(run, schema), "trained")
+    trained = runtime.durable(runtime.map_tasks(train.select("text"), run, schema), "trained")
     blocks = trained.where("part is not null").select("row", "part")
     word_tree.load(tree, blocks.groupBy("row").applyInArrow(word_tree.averaged, "row bigint, part binary").toArrow())
     mean = trained.where("part is null").groupBy("row").agg(*((F.sum(x) / F.sum("tokens")).alias(x) for x in names))
@@ -350,7 +349,6 @@ def score(docs: DataFrame, table: DataFrame, head: Head, model: Model, tree: wor
     spark, setting = docs.sparkSession, model.setting
     outside = rest_of(head)
     sent = spark.sparkContext.broadcast((head, model, tree, model.normalisers()))
-    runtime.ship(spark)
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, base double, score double, tail array<bigint>, tail_n array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +382,7 @@ def score(docs: DataFrame, table: DataFrame, head: Head, model: Model, tree: wor
                 row += n_docs
                 yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "n_tokens", "head_known", "base", "score", "tail", "tail_n"])
 
-    first = runtime.durable(docs.select("doc_id", "text", "held_out").mapInArrow(run, schema), "scored")
+    first = runtime.durable(runtime.map_tasks(docs.select("doc_id", "text", "held_out"), run, schema), "scored")
     tail = first.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("hash"), F.col("t.tail_n").alias("times"))
     joined = tail.join(table, "hash", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("c"))
     rest = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))

@@ -129,6 +129,7 @@ class Tokens:
 
 
 _tokens: dict[str, Tokens] = {}
+runtime.remembers(_tokens.clear)
 
 
 def tokens(path: str | None = None) -> Tokens:
@@ -147,7 +148,6 @@ def tokens(path: str | None = None) -> Tokens:
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, task and rank: rank counts pieces of a length in a task from 0."""
-    runtime.ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, i
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + (", ids array<int>" if ids else ""))
+    return runtime.map_tasks(docs.select("doc_id", "text"), run, schema + (", ids array<int>" if ids else ""))
 
 
 class Capacities:

@@ -152,17 +152,28 @@ def passes(bits, policy: str = CURRENT):
     return bits.bitwiseAND(F.lit(POLICIES[policy])) == F.lit(0)
 
 
-def keep(docs: DataFrame, policy: str = CURRENT, limits: Limits = Limits()) -> DataFrame:
-    """The rows of docs that the policy keeps, with their columns and nothing else."""
-    mask = POLICIES[policy]
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
+def ledger_with_rows(docs: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, str]:
+    """docs with one more column, a struct of the measurements and fail_bits, stored as a table; and that column's name."""
+    name = "ledger"
+    while name in docs.columns:
+        name += "_"
+    fields = [*MEASURES, "fail_bits"]
+    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in docs.dtypes), f"{name} struct<{', '.join(f'{x}: bigint' for x in fields)}>"])
 
     def run(batch: pa.RecordBatch):
         for part in words.chunks(batch, "text"):
-            bits = evaluate(measure(*words.column(part, "text")), limits)
-            yield part.filter(pa.array(bits & mask == 0))
+            m = measure(*words.column(part, "text"))
+            own = pa.StructArray.from_arrays([*(pa.array(m[k]) for k in MEASURES), pa.array(evaluate(m, limits))], names=fields)
+            yield pa.RecordBatch.from_arrays([*part.columns, own], names=[*docs_columns, name])
+
+    docs_columns = docs.columns
+    return runtime.durable(runtime.map_batches(docs, run, schema), "ledger"), name
 
-    return runtime.map_batches(docs, run, schema)
+
+def keep(docs: DataFrame, policy: str = CURRENT, limits: Limits = Limits()) -> DataFrame:
+    """The rows of docs that the policy keeps by the stored ledger, with their columns and nothing else."""
+    found, name = ledger_with_rows(docs, limits)
+    return found.where(passes(F.col(f"{name}.fail_bits"), policy)).select(*docs.columns)
 
 
 def ablations(found: DataFrame) -> DataFrame:

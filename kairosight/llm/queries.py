@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
-from . import bpe_trie, hash_forest, html_extraction, jaccard_join, lbl_model, license_scan, packing, quality_rules, substring_dedup, token_counts
+from . import bpe_trie, hash_forest, html_extraction, jaccard_join, lbl_model, license_scan, packing, pipeline, quality_rules, substring_dedup, token_counts
 from .runtime import table
 
 
@@ -40,6 +38,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op7b_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each policy keeps, and what each rule decides alone, from the ledger of all documents."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.query(table(spark, sf_dir, "documents"))
 
@@ -60,9 +63,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_quality_rules": op7_quality_rules,
+    "op7b_rule_ablations": op7b_rule_ablations,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_trie": op9_bpe_trie,
     "op10_substring_dedup": op10_substring_dedup,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLE: dict[str, str] = {"op5_license_scan": license_scan.oracle()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
@@ -38,11 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kairosight-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    found = "file://" + tempfile.mkdtemp(prefix="kairosight-shared-")  # one machine, one process: shared by itself
+    spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
@@ -66,13 +70,61 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that Python gets, where the session sets none.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_releases: list[Callable[[], None]] = []
+_last: list[str] = [""]
+
+
+def remembers(release: Callable[[], None]) -> Callable[[], None]:
+    """Register what drops a module's memory in a worker; it runs when the worker turns to another operator."""
+    _releases.append(release)
+    return release
+
+
+def _begin(name: str) -> None:
+    if _last[0] != name:
+        _last[0] = name
+        for release in _releases:
+            release()
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+def _end() -> None:
+    """Give freed memory back to the machine: workers are kept, and an executor may have several idle ones."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_tasks(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with a function of a task's batches, which are bounded in bytes."""
+    spark = df.sparkSession
+    ship(spark)
+    if not spark.conf.get(_BATCH, None):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    name = f"{fn.__module__}.{fn.__qualname__}"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(name)
+        try:
+            yield from fn(batches)
+        finally:
+            _end()
+
+    return df.mapInArrow(each, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-    ship(df.sparkSession)
+    """map_tasks with a function of one batch."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
 
-    return df.mapInArrow(each, schema)
+    each.__module__, each.__qualname__ = fn.__module__, fn.__qualname__
+    return map_tasks(df, each, schema)

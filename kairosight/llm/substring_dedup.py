@@ -143,10 +143,10 @@ def repeated(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
-def _rewrite(docs: DataFrame, carry: list[str], rule: Rule, extra: str) -> DataFrame:
+def _rewrite(docs: DataFrame, carry: list[str], rule: Rule, extra: tuple[str, str]) -> DataFrame:
     """carry columns with the new text, n_sentences and n_removed; `places` is the last column of docs."""
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), extra])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), *(f"{x} bigint" for x in extra)])
 
     def run(batch: pa.RecordBatch):
         for part in words.chunks(batch, "text"):
@@ -176,17 +176,30 @@ def _rewrite(docs: DataFrame, carry: list[str], rule: Rule, extra: str) -> DataF
                     new[d] = b"".join(body[s.start[i] : s.end[i]] for i in own if not cover[i]).decode()
                 texts = pa.array(new, texts.type)
             kept = [texts if i == column else part.column(i) for i in range(len(carry))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(s.first)), pa.array(removed)], names=[*carry, "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(s.first)), pa.array(removed)], names=[*carry, *extra])
 
     return runtime.map_batches(docs, run, schema)
 
 
 def dedup(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """Every row of docs with what is left of its text, n_sentences and n_removed."""
+    """Every row of docs with what is left of its text, n_sentences and n_removed (with _ behind them where docs has such columns)."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    marks = repeated(docs, rule).select(F.col("doc_id").alias("__id"), F.col("places").alias("__places"))
-    joined = docs.join(marks, docs["doc_id"] == marks["__id"], "left").select(*(docs[c] for c in docs.columns), "__places")
-    return _rewrite(joined, docs.columns, rule, "n_sentences bigint, n_removed bigint")
+    marks = repeated(docs, rule)
+    joined = docs.join(marks, docs["doc_id"] == marks["doc_id"], "left").select(*(docs[c] for c in docs.columns), marks["places"].alias(_free(docs, "places")))
+    return _rewrite(joined, docs.columns, rule, (_free(docs, "n_sentences"), removed_column(docs)))
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, or with as many _ behind it as make it no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def removed_column(docs: DataFrame) -> str:
+    """The column of dedup(docs) with the number of sentences that went."""
+    return _free(docs, "n_removed")
 
 
 def query(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

@@ -125,6 +125,7 @@ class Counter:
 
 _WORD = re.compile(f"{MARK}+[^{MARK}]*", re.DOTALL)
 _counters: dict[str | None, Counter] = {}
+runtime.remembers(_counters.clear)
 
 
 def counter(path: str | None = None) -> Counter:

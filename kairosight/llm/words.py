@@ -14,6 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from . import runtime
+
 U = np.uint64
 #: An odd base with base-1 = 2 mod 4, so that swapped bytes keep 63 bits of difference.
 _BASE = 0x9E3779B97F4A7C17
@@ -25,6 +27,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 PIECE = 1 << 20
 _powers: dict[int, np.ndarray] = {}
+runtime.remembers(_powers.clear)
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -59,7 +62,7 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, name: str, limit: int = 4 * PIECE):
+def chunks(batch: pa.RecordBatch, name: str, limit: int = PIECE):
     """Slices of a batch with about `limit` bytes of text each (one row at least)."""
     _, offsets = column(batch, name)
     at = 0
