@@ -1,28 +1,23 @@
-"""A log-bilinear language model in numpy, trained by noise-contrastive estimation.
+"""A log-bilinear language model in numpy, trained by noise-contrastive estimation over all training documents.
 
-A context is predicted as the sum of one vector for the previous word and one for the word before it;
-the score of an output is the product of that with the output's vector, plus a bias.  Outputs are the most
-frequent training words and one `unknown`.  A word outside them chooses one of 512 context vectors by its last two
-bytes.  The word before the previous one is coarser, one of 96 classes.  There are thus a fixed number of contexts
-of this flat model, and batched matrix products give all their normalisers once, so that probabilities are exactly
-normalised at the price of a product of two short vectors.
+The network is in `lbl_net`.  Counts of all training words are exact and grow with the corpus; the most frequent ones (up to
+HEAD, a fixed number) are sent to the tasks, the others are joined.  Of the words sent, each seen `least` times has vectors of
+its own as a choice and as a context (up to 511 in each of 256 classes by their last letters); all other words, and those never
+seen, are chosen by class and share what their class has left by smoothed counts.
 
-The probability of `unknown` is shared by a tree over every word that training has `least` times (`word_tree`), which
-grows with the corpus; words below that share a leaf in proportion to their smoothed counts.  After such a word the
-flat model is mixed with a tree over its outputs that sees the word's own context vector, the more the oftener it was seen.
-
-Training reads every training document whole.  Each task starts from the same parameters and takes one pass
-over its rows with its own steps; parameters are then averaged, weighted by tokens, in grouped sums.  Counts of
-all words are exact: frequent words are sent to the tasks (a fixed number of them), the others are joined.
+Training does not depend on how the input is cut.  A bounded sample of texts, chosen by hash, gives the start in one task.  Where
+the corpus is larger, all its texts are dealt to shards by hash, as many as its tokens ask for; every shard starts there, reads its
+texts in the order of their hashes, and the changes are averaged row by row, weighted by how often a shard met the row, a few
+dozen shards at a time.
 
 Defined cases: a null or empty text is the end token alone; a null id counts as the empty string where the
-fold is drawn; repeated rows are scored alike; other columns are ignored; an empty table gives an empty result.
+fold is drawn; repeated rows are scored alike; very long texts are read in pieces of bounded size; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,194 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import runtime, word_tree, words
-from .words import U
+from . import lbl_net, runtime, words
+from .lbl_net import CLASSES, END, Head, Model, Setting, Tokens, head_of
 
-END = np.uint64(0x1F83D9ABFB41BD6B)
-#: So many words' counts are sent to all tasks at least, and those of all learned words.
+#: So many words' counts at most are sent to all tasks.
 HEAD = 1 << 17
-COLUMNS = 16
-
-
-@dataclass(frozen=True)
-class Setting:
-    """Sizes and steps of the model."""
-
-    vocabulary: int = 2047
-    noise: int = 32
-    batch: int = 1024
-    rate: float = 0.03
-    rounds: int = 1
-    seed: int = 7
-    least: int = 16
-    tree_rate: float = 0.05
-    trust: float = 50.0
-
-
-SUFFIXES, COARSE_OWN, COARSE_SUFFIX = 512, 32, 64
-COARSE = COARSE_OWN + COARSE_SUFFIX + 1
-
-
-@dataclass
-class Head:
-    """Counts of the most frequent training words, sorted by hash, the vocabulary's index of each (0: unknown) and its leaf (0: none)."""
-
-    hash: np.ndarray
-    count: np.ndarray
-    index: np.ndarray
-    leaf: np.ndarray
-    n: int
-    distinct: int
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Row of each hash, or -1."""
-        if not len(self.hash):
-            return np.full(len(h), -1)
-        at = np.searchsorted(self.hash, h)
-        at[at == len(self.hash)] = 0
-        return np.where(self.hash[at] == h, at, -1)
-
-    @property
-    def total(self) -> float:
-        return self.n + 0.5 * (self.distinct + 1)
-
-
-def head_of(h: np.ndarray, count: np.ndarray, n: int, distinct: int, setting: Setting) -> Head:
-    """h: hashes as bigint, count: their counts, in any order."""
-    by = np.lexsort((h, -count))  # most frequent first
-    h, count, place = h[by].view(np.uint64), count[by], np.arange(len(h))
-    index = np.where(place < setting.vocabulary, place + 1, 0)
-    leaf = np.where((place >= setting.vocabulary) & (count >= setting.least), place - setting.vocabulary + 1, 0)
-    order = np.argsort(h)
-    return Head(h[order], count[order], index[order], leaf[order], n, distinct)
-
-
-class Tokens:
-    """Tokens of some texts: each text's words, then the end."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, head: Head, setting: Setting):
-        w = words.words(data, offsets, fold=True)
-        n_docs = len(offsets) - 1
-        self.first = w.first + np.arange(n_docs + 1)
-        total = int(self.first[-1])
-        is_end = np.zeros(total, bool)
-        is_end[self.first[1:] - 1] = True
-        self.hash = np.full(total, END)
-        self.hash[~is_end] = w.hash
-        suffix = np.zeros(total, np.int64)
-        last = data[w.end - 1].astype(np.int64)
-        before = np.where(w.end - w.start > 1, data[np.maximum(w.end - 2, 0)], 0).astype(np.int64)
-        suffix[~is_end] = (last * 37 + before * 101) % SUFFIXES
-        self.row = head.find(self.hash)
-        self.out = np.where(self.row >= 0, head.index[self.row] if len(head.index) else 0, 0)
-        self.leaf = np.where(self.row >= 0, head.leaf[self.row] if len(head.leaf) else 0, 0)
-        size = setting.vocabulary + 1
-        fine = np.where(self.out > 0, self.out, size + suffix)
-        coarse = np.where((self.out > 0) & (self.out < COARSE_OWN), self.out, COARSE_OWN + suffix % COARSE_SUFFIX)
-        begin = np.zeros(total, bool)
-        begin[self.first[:-1]] = True
-        self.one = np.empty(total, np.int64)
-        self.two = np.empty(total, np.int64)
-        if total:
-            self.one[1:] = fine[:-1]
-            self.one[begin] = size + SUFFIXES
-            self.two[2:] = coarse[:-2]
-            self.two[begin] = COARSE - 1
-            self.two[np.minimum(self.first[:-1] + 1, total - 1)] = COARSE - 1
-        # the tree's contexts: a learned word's own, else as above; how far to trust the own one
-        self.own = self.one.copy()
-        self.trust = np.zeros(total)
-        after = np.flatnonzero((self.leaf > 0) & ~is_end) + 1
-        self.own[after] = size + SUFFIXES + self.leaf[after - 1]
-        seen = head.count[self.row[after - 1]]
-        self.trust[after] = seen / (seen + setting.trust)
-
-
-class Model:
-    """Parameters: context vectors `one` and `two`, output vectors and biases."""
-
-    def __init__(self, setting: Setting, unigram: np.ndarray):
-        rng = np.random.Generator(np.random.PCG64(setting.seed))
-        size = setting.vocabulary + 1
-        draw = lambda rows: rng.normal(0, 0.1, (rows, COLUMNS)).astype(np.float32)
-        self.setting, self.unigram = setting, unigram
-        self.one, self.two, self.out = draw(size + SUFFIXES + 1), draw(COARSE), draw(size)
-        self.bias = np.log(unigram).astype(np.float32)
-
-    def rows(self) -> np.ndarray:
-        """All parameters as rows: vectors, then biases in the first column."""
-        bias = np.zeros((len(self.bias), COLUMNS), np.float32)
-        bias[:, 0] = self.bias
-        return np.concatenate([self.one, self.two, self.out, bias])
-
-    def load(self, rows: np.ndarray) -> None:
-        a, b, c = len(self.one), len(self.two), len(self.out)
-        rows = rows.astype(np.float32)
-        self.one, self.two, self.out, self.bias = rows[:a], rows[a : a + b], rows[a + b : a + b + c], rows[a + b + c :, 0].copy()
-
-    def trainer(self, seed: int) -> Trainer:
-        return Trainer(self, seed)
-
-    def normalisers(self) -> np.ndarray:
-        """log of the sum over outputs of exp(score), for every pair of context classes: batched matrix products."""
-        z = np.empty((len(self.one), len(self.two)))
-        top = self.bias + self.one @ self.out.T
-        for j, v in enumerate(self.two):
-            s = top + self.out @ v
-            m = s.max(1, keepdims=True)
-            z[:, j] = m[:, 0] + np.log(np.exp(s - m).sum(1, dtype=np.float64))
-        return z
-
-    def log_probability(self, one: np.ndarray, two: np.ndarray, out: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each output after its context."""
-        score = np.einsum("ij,ij->i", self.one[one] + self.two[two], self.out[out]) + self.bias[out]
-        return score - z[one, two]
-
-
-def _sum_rows(index: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
-    """Sum of the rows of g by index."""
-    out = np.empty((n, g.shape[1]), np.float32)
-    for j in range(g.shape[1]):
-        out[:, j] = np.bincount(index, g[:, j], n)
-    return out
-
-
-class Trainer:
-    """Steps of noise-contrastive estimation with Adagrad; noise is drawn from unigrams and shared in a batch."""
-
-    def __init__(self, model: Model, seed: int):
-        self.m, self.tokens = model, 0
-        self.rng = np.random.Generator(np.random.PCG64([model.setting.seed, seed]))
-        self.cumulative = np.cumsum(model.unigram)
-        self.shift = np.log(model.setting.noise * model.unigram).astype(np.float32)
-        self.squares = {k: np.full_like(getattr(model, k), 1e-2) for k in ("one", "two", "out", "bias")}
-
-    def step(self, one: np.ndarray, two: np.ndarray, out: np.ndarray) -> None:
-        m, n, k = self.m, len(out), self.m.setting.noise
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(k)), len(m.bias) - 1)
-        q = m.one[one] + m.two[two]
-        v, u = m.out[out], m.out[noise]
-        data = np.einsum("ij,ij->i", q, v) + m.bias[out] - self.shift[out]
-        wrong = q @ u.T + (m.bias[noise] - self.shift[noise])
-        g_data = 1 / (1 + np.exp(np.clip(data, -30, 30)))
-        g_wrong = -1 / (1 + np.exp(-np.clip(wrong, -30, 30)))
-        g_q = g_data[:, None] * v + g_wrong @ u
-        g_out = _sum_rows(out, g_data[:, None] * q, len(m.out))
-        np.add.at(g_out, noise, g_wrong.T @ q)
-        g_bias = np.bincount(out, g_data, len(m.bias)) + np.bincount(noise, g_wrong.sum(0), len(m.bias))
-        for name, g in (("one", _sum_rows(one, g_q, len(m.one))), ("two", _sum_rows(two, g_q, len(m.two))), ("out", g_out), ("bias", g_bias.astype(np.float32))):
-            g /= np.sqrt(n)
-            s = self.squares[name]
-            s += g * g
-            getattr(m, name)[...] += m.setting.rate * g / np.sqrt(s)
-        self.tokens += n
-
-    def read(self, t: Tokens) -> None:
-        """One pass over the tokens, in an order that mixes texts."""
-        order = self.rng.permutation(len(t.out))
-        for at in range(0, len(order), self.m.setting.batch):
-            i = order[at : at + self.m.setting.batch]
-            self.step(t.one[i], t.two[i], t.out[i])
+#: Steps of the hash by which the start sample is drawn.
+DRAW = 1 << 20
 
 
 def _folds(docs: DataFrame) -> DataFrame:
@@ -226,104 +40,41 @@ def _folds(docs: DataFrame) -> DataFrame:
 
 
 def counts(train: DataFrame) -> DataFrame:
-    """(hash, n) of every training token, over all training texts."""
+    """(hash, n, class) of every training token, over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sums = [], []
+        held, ends, size = [], 0, 0
 
         def merged():
-            h, c = np.concatenate(held), np.concatenate(sums)
-            u, at = np.unique(h, return_inverse=True)
-            return u, np.bincount(at, c).astype(np.int64)
+            h, c, k = (np.concatenate(x) for x in zip(*held, strict=True))
+            u, first, at = np.unique(h, return_index=True, return_inverse=True)
+            return u, np.bincount(at, c).astype(np.int64), k[first]
 
-        ends, size = 0, 0
         for batch in batches:
             for part in words.chunks(batch, "text"):
-                u, c = np.unique(words.words(*words.column(part, "text"), fold=True).hash, return_counts=True)
-                held.append(u)
-                sums.append(c)
+                data, offsets = words.column(part, "text")
+                w = words.words(data, offsets, fold=True)
+                u, first, c = np.unique(w.hash, return_index=True, return_counts=True)
+                held.append((u, c, lbl_net.suffixes(data, w.start[first], w.end[first]) % CLASSES))
                 ends += part.num_rows
                 size += len(u)
                 if size > 2_000_000:
-                    u, c = merged()
-                    held, sums, size = [u], [c], 0
+                    held = [merged()]
+                    size = 0
         if ends:
-            held.append(np.array([END]))
-            sums.append(np.array([ends]))
-            u, c = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["hash", "n"])
-
-    return runtime.map_tasks(train.select("text"), run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
-
-
-def tree_of(head: Head, model: Model) -> word_tree.Tree:
-    """The untrained tree: smoothed unigrams."""
-    leaves = np.bincount(head.leaf, (head.count + 0.5) * (head.leaf > 0), 1)
-    leaves[0] = rest_of(head)
-    return word_tree.Tree(len(model.one), COARSE, model.unigram, leaves, model.setting.seed)
-
+            held.append((np.array([END]), np.array([ends]), np.array([0])))
+            u, c, k = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c), pa.array(k.astype(np.int32))], names=["hash", "n", "class"])
 
-def rest_of(head: Head) -> float:
-    """Smoothed count of all words that are neither outputs nor leaves."""
-    return max(head.total - (head.count[(head.index > 0) | (head.leaf > 0)] + 0.5).sum(), 0.5)
+    found = runtime.map_tasks(train.select("text"), run, "hash bigint, n bigint, class int")
+    return found.groupBy("hash").agg(F.sum("n").alias("n"), F.min("class").alias("class"))
 
 
-def _train(train: DataFrame, head: Head, model: Model, tree: word_tree.Tree, setting: Setting) -> None:
-    """One round: every task takes a pass over its rows; the average of the results becomes the model."""
-    spark = train.sparkSession
-    sent = spark.sparkContext.broadcast((head, model, tree))
-    names = [f"x{i}" for i in range(COLUMNS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import copy
-
-        head, shared, start = sent.value
-        own = copy.deepcopy(shared)
-        grown = word_tree.TreeTrainer(copy.deepcopy(start), setting.tree_rate)
-        trainer = own.trainer(TaskContext.get().partitionId())
-        for batch in batches:
-            for part in words.chunks(batch, "text", words.PIECE):
-                t = Tokens(*words.column(part, "text"), head, setting)
-                trainer.read(t)
-                for i, leaf, kind in ((t.trust > 0, t.out, 0), (t.out == 0, t.leaf, 1)):
-                    i = trainer.rng.permutation(np.flatnonzero(i))
-                    grown.read(t.own[i], t.two[i], leaf[i], kind)
-        if trainer.tokens:
-            rows = own.rows().astype(np.float64) * trainer.tokens
-            arrays = [pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), trainer.tokens)), *(pa.array(rows[:, i].copy()) for i in range(COLUMNS)), pa.nulls(len(rows), pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "tokens", *names, "part"])
-            for block, part in grown.changes(start):
-                arrays = [pa.array([block]), pa.array([trainer.tokens]), *(pa.nulls(1, pa.float64()) for _ in names), pa.array([part], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "tokens", *names, "part"])
-
-    schema = "row bigint, tokens bigint, " + ", ".join(f"{x} double" for x in names) + ", part binary"
-    trained = runtime.durable(runtime.map_tasks(train.select("text"), run, schema), "trained")
-    blocks = trained.where("part is not null").select("row", "part")
-    word_tree.load(tree, blocks.groupBy("row").applyInArrow(word_tree.averaged, "row bigint, part binary").toArrow())
-    mean = trained.where("part is null").groupBy("row").agg(*((F.sum(x) / F.sum("tokens")).alias(x) for x in names))
-    found = mean.toPandas()  # one row for each parameter row: a fixed number
-    if len(found):
-        rows = np.empty((len(found), COLUMNS))
-        rows[found["row"].to_numpy()] = found[names].to_numpy()
-        model.load(rows)
-    sent.unpersist()
-
-
-def log_probability(t: Tokens, model: Model, tree: word_tree.Tree, z: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each token's output and, for unknown ones, its leaf of the tree."""
-    own = model.log_probability(t.one, t.two, t.out, z)
-    i = np.flatnonzero(t.trust > 0)
-    own[i] = np.logaddexp(np.log1p(-t.trust[i]) + own[i], np.log(t.trust[i]) + tree.log_probability(t.own[i], t.two[i], t.out[i], 0))
-    i = np.flatnonzero(t.out == 0)
-    own[i] += tree.log_probability(t.own[i], t.two[i], t.leaf[i], 1)
-    return own
-
-
-def fit(docs: DataFrame, setting: Setting = Setting()) -> tuple[DataFrame, Head, Model, word_tree.Tree]:
-    """Counts of all training words (a table), the head, the trained model and tree, from docs(text, held_out)."""
-    train = docs.where("not held_out")
-    table = runtime.durable(counts(train), "counts")
+def _head(table: DataFrame, setting: Setting) -> Head:
     n, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    by_class = np.zeros(CLASSES)
+    for r in table.groupBy("class").agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():
+        by_class[r["class"]] = r.mass
     # the most frequent words by sixteenths of a power of two: as many whole steps as HEAD holds
     level = F.floor(F.log2("n") * 16)
     least, room = None, HEAD
@@ -332,29 +83,96 @@ def fit(docs: DataFrame, setting: Setting = Setting()) -> tuple[DataFrame, Head,
         if room < 0:
             break
         least = r.level
-    sent = F.col("n") >= setting.least if least is None else (level >= least) | (F.col("n") >= setting.least)
-    top = table.where(sent).select("hash", "n").toArrow()  # 16 bytes a learned word
-    head = head_of(top.column("hash").to_numpy(), top.column("n").to_numpy(), n, distinct, setting)
-    known = np.bincount(head.index, head.count + 0.5, setting.vocabulary + 1)
-    known[0] = max(head.total - known[1:].sum(), 0.5)
-    model = Model(setting, np.maximum(known, 0.25) / np.maximum(known, 0.25).sum())
-    tree = tree_of(head, model)
-    for _ in range(setting.rounds if n else 0):
-        _train(train, head, model, tree, setting)
-    return table, head, model, tree
-
-
-def score(docs: DataFrame, table: DataFrame, head: Head, model: Model, tree: word_tree.Tree) -> DataFrame:
+    top = table.where(F.lit(False) if least is None else level >= least).toArrow()
+    at = {c: top.column(c).to_numpy() for c in top.column_names}
+    return head_of(at["hash"].astype(np.int64), at["n"].astype(np.int64), at["class"].astype(np.int64), by_class, n, distinct, setting)
+
+
+def _trained(texts: DataFrame, model: Model, passes: int) -> DataFrame:
+    """(block, nth, part): the changes of each shard of texts(shard, key, text), which are together and in order."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, held, last = None, [], None
+
+        def out():
+            for _ in range(passes - 1):  # only the bounded start sample is held for more passes
+                for part in held:
+                    trainer.read(part)
+            found = list(trainer.changes())
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([last] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["block", "nth", "part"])
+
+        for batch in batches:
+            shard = np.asarray(batch.column(0))
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if shard[a] != last:
+                    if trainer:
+                        yield out()
+                    last, held = int(shard[a]), []
+                    trainer = lbl_net.Trainer(sent.value, last)
+                for part in words.chunks(batch.slice(a, b - a), "text"):
+                    own = Tokens(*words.column(part, "text"), sent.value.head, sent.value.setting)
+                    trainer.read(own)
+                    if passes > 1:
+                        held.append(own)
+        if trainer:
+            yield out()
+
+    return runtime.map_tasks(texts, run, "block bigint, nth bigint, part binary")
+
+
+def _add_mean(model: Model, changes: DataFrame, shards: int) -> None:
+    """Add the mean of all shards' changes to the model; `together` shards of a block meet in a task at once, then their means."""
+    columns = [model.tables[name].shape[1] for name, _ in lbl_net.blocks(model)]
+
+    def mean(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("nth")
+        block = rows.column("block")[0].as_py()
+        part = lbl_net.mean_change(rows.column("part").to_pylist(), columns[block])
+        return pa.table({"block": pa.array([block], pa.int64()), "nth": rows.column("group").slice(0, 1), "part": pa.array([part], pa.binary())})
+
+    while shards > 1:
+        grouped = changes.withColumn("group", F.floor(F.col("nth") / model.setting.together)).groupBy("block", "group")
+        changes, shards = grouped.applyInArrow(mean, "block bigint, nth bigint, part binary"), -(-shards // model.setting.together)
+    found = changes.select("block", "part").toArrow()  # the size of the model at most
+    lbl_net.load(model, sorted(zip(found.column("block").to_pylist(), found.column("part").to_pylist(), strict=True)))
+
+
+def fit(docs: DataFrame, setting: Setting = Setting()) -> tuple[DataFrame, Model]:
+    """Counts of all training words (a table) and the trained model, from docs(doc_id, text, held_out)."""
+    train = docs.where("not held_out").select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    table = runtime.durable(counts(train), "counts")
+    model = Model(_head(table, setting), setting)
+    n = model.head.n
+    if not n:
+        return table, model
+    drawn = train.where(F.pmod("key", F.lit(DRAW)) < F.lit(int(np.ceil(DRAW * min(1.0, setting.start_tokens / n)))))
+    start = drawn.select(F.lit(0).cast("bigint").alias("shard"), "key", "text").repartition(1).sortWithinPartitions("key")
+    _add_mean(model, runtime.durable(_trained(start, model, setting.start_passes), "start"), 1)
+    if n > setting.start_tokens:
+        shards = -(-n // setting.shard_tokens)
+        dealt = train.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+        texts = dealt.select("shard", "key", "text").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "key")
+        _add_mean(model, runtime.durable(_trained(texts, model, 1), "trained"), shards)
+    return table, model
+
+
+def score(docs: DataFrame, table: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs(doc_id, text, held_out)."""
-    spark, setting = docs.sparkSession, model.setting
-    outside = rest_of(head)
-    sent = spark.sparkContext.broadcast((head, model, tree, model.normalisers()))
+    spark, head = docs.sparkSession, model.head
+    sent = spark.sparkContext.broadcast((model, model.normalisers()))
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, base double, score double, tail array<bigint>, tail_n array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, model, tree, z = sent.value
+        model, z = sent.value
+        head, setting = model.head, model.setting
         row = TaskContext.get().partitionId() << 40
-        base_of = np.log10(head.count + 0.5)
+        base_of, rest_of = np.log10(head.count + 0.5), np.log10(head.mass)
+        is_rest = np.zeros(len(head.mass), bool)
+        is_rest[head.base[:-1]] = True
         for batch in batches:
             for part in words.chunks(batch, "text", words.PIECE):
                 n_docs = part.num_rows
@@ -362,8 +180,9 @@ def score(docs: DataFrame, table: DataFrame, head: Head, model: Model, tree: wor
                 doc = np.repeat(np.arange(n_docs), np.diff(t.first))
                 there = t.row >= 0
                 base = np.where(there, base_of[t.row] if len(base_of) else 0.0, 0.0)
-                own = log_probability(t, model, tree, z) / np.log(10)
-                own = own + np.where((t.out == 0) & (t.leaf == 0), base - np.log10(outside), 0.0)
+                own = model.log_probability(t, z) / np.log(10)
+                shares = (t.out == 0) & is_rest[t.leaf]  # its count is joined where the head lacks it
+                own[shares] += base[shares] - rest_of[t.leaf[shares]]
                 per_doc = lambda x: np.bincount(doc, x, n_docs)
                 n_tokens = np.diff(t.first)
                 key = np.flatnonzero(~there)
