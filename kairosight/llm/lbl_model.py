@@ -2,7 +2,7 @@
 
 The network is in `lbl_net`.  Counts of all training words are exact and grow with the corpus; the most frequent ones (up to
 HEAD, a fixed number) are sent to the tasks, the others are joined.  Of the words sent, each seen `least` times has vectors of
-its own as a choice and as a context (up to 511 in each of 256 classes by their last letters); all other words, and those never
+its own as a choice and as a context (up to 255 in each of 256 classes by their last letters); all other words, and those never
 seen, are chosen by class and share what their class has left by smoothed counts.
 
 Training does not depend on how the input is cut.  A bounded sample of texts, chosen by hash, gives the start in one task.  Where

@@ -35,10 +35,10 @@ class Setting:
     """Sizes and steps of the model."""
 
     vocabulary: int = 2047
-    members: int = 511  # learned words of a class
+    members: int = 255  # learned words of a class
     least: int = 4  # occurrences of a learned word
     noise: int = 32
-    own_noise: int = 3  # within a class
+    own_noise: int = 2  # within a class
     batch: int = 2048
     rate: float = 0.03
     tail_rate: float = 0.08
@@ -148,7 +148,7 @@ class Tokens:
 
 
 class Model:
-    """Tables of parameters by name; rows of each are what one context or choice has."""
+    """Tables of parameters by name; rows of each are what one context or choice has, a choice's bias last."""
 
     def __init__(self, head: Head, setting: Setting):
         rng = np.random.Generator(np.random.PCG64(setting.seed))
@@ -162,20 +162,21 @@ class Model:
         self.within = head.mass / np.repeat(self.classes, np.diff(head.base))  # of a leaf in its class
         self.classes = self.classes / self.classes.sum()
         draw = lambda rows: rng.normal(0, 0.1, (rows, COLUMNS)).astype(np.float32)
-        bias = lambda p: np.log(p).astype(np.float32)[:, None]
+        with_bias = lambda v, p: np.concatenate([v, np.log(p).astype(np.float32)[:, None]], 1)  # noqa: E731  the last column
         self.tables = {
-            "one": draw(size + SUFFIXES + 1), "two": draw(COARSE), "out": draw(size), "out_bias": bias(self.unigram),
+            "one": draw(size + SUFFIXES + 1), "two": draw(COARSE), "out": with_bias(draw(size), self.unigram),
             "tail_one": draw(size + SUFFIXES + 1), "tail_two": draw(COARSE), "tail_own": np.zeros((leaves, COLUMNS), np.float32),
-            "class": draw(CLASSES), "class_bias": bias(self.classes), "leaf": np.zeros((leaves, COLUMNS), np.float32), "leaf_bias": bias(self.within),
+            "class": with_bias(draw(CLASSES), self.classes), "leaf": with_bias(np.zeros((leaves, COLUMNS), np.float32), self.within),
         }
 
     def normalisers(self) -> np.ndarray:
         """Step 1: log of the sum over outputs of exp(score), for every pair of contexts."""
         t = self.tables
         z = np.empty((len(t["one"]), len(t["two"])))
-        top = t["out_bias"][:, 0] + t["one"] @ t["out"].T
+        out, bias = t["out"][:, :COLUMNS], t["out"][:, COLUMNS]
+        top = bias + t["one"] @ out.T
         for j, v in enumerate(t["two"]):
-            s = top + t["out"] @ v
+            s = top + out @ v
             m = s.max(1, keepdims=True)
             z[:, j] = m[:, 0] + np.log(np.exp(s - m).sum(1, dtype=np.float64))
         return z
@@ -183,46 +184,55 @@ class Model:
     def log_probability(self, x: Tokens, z: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each token's choices after its context."""
         t = self.tables
-        own = np.einsum("ij,ij->i", t["one"][x.one] + t["two"][x.two], t["out"][x.out]) + t["out_bias"][x.out, 0] - z[x.one, x.two]
+        own = np.empty(len(x.out))
+        for at in range(0, len(own), BLOCK):
+            i = slice(at, at + BLOCK)
+            v = t["out"][x.out[i]]
+            own[i] = np.einsum("ij,ij->i", t["one"][x.one[i]] + t["two"][x.two[i]], v[:, :COLUMNS]) + v[:, COLUMNS] - z[x.one[i], x.two[i]]
         tail = np.flatnonzero(x.out == 0)
         tail = tail[np.argsort(x.own_class[tail], kind="stable")]
         k = x.own_class[tail]
         more = np.empty(len(tail))
+        q = np.ones((BLOCK, COLUMNS + 1), np.float32)  # its last column meets the biases
         for at in range(0, len(tail), BLOCK):
-            i = tail[at : at + BLOCK]
-            q = t["tail_one"][x.one[i]] + t["tail_two"][x.two[i]] + t["tail_own"][x.own[i]]
-            s = q @ t["class"].T + t["class_bias"][:, 0]
-            own_score = s[np.arange(len(i)), x.own_class[i]]
-            more[at : at + BLOCK] = own_score - _log_sum(s)
-            ks = k[at : at + BLOCK]
-            cuts = [0, *(np.flatnonzero(np.diff(ks)) + 1).tolist(), len(ks)]
+            i, ks = tail[at : at + BLOCK], k[at : at + BLOCK]
+            n = len(i)
+            q[:n, :COLUMNS] = t["tail_one"][x.one[i]]
+            q[:n, :COLUMNS] += t["tail_two"][x.two[i]]
+            q[:n, :COLUMNS] += t["tail_own"][x.own[i]]
+            more[at : at + n] = _log_share(q[:n], t["class"], ks)
+            cuts = [0, *(np.flatnonzero(np.diff(ks)) + 1).tolist(), n]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 low, high = self.head.base[ks[a]], self.head.base[ks[a] + 1]
                 if high - low > 1:
-                    s = q[a:b] @ t["leaf"][low:high].T + t["leaf_bias"][low:high, 0]
-                    own_score = s[np.arange(b - a), x.leaf[i[a:b]] - low]
-                    more[at + a : at + b] += own_score - _log_sum(s)
-        own = own.astype(np.float64)
+                    more[at + a : at + b] += _log_share(q[a:b], t["leaf"][low:high], x.leaf[i[a:b]] - low)
         own[tail] += more
         return own
 
 
-def _log_sum(s: np.ndarray) -> np.ndarray:
-    """log of the sum of exp of each row; s is overwritten."""
-    m = s.max()
-    m = s.max(1) if m > 60 else np.zeros(len(s), s.dtype)  # exp of float32 ends at 88
-    if m.any():
-        s -= m[:, None]
+def _log_share(q: np.ndarray, v: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """log softmax of the right one of v's rows for each row of q."""
+    s = q @ v.T
+    own = s[np.arange(len(q)), right].astype(np.float64)
+    m = 0.0
+    if np.sqrt((q * q).sum(1).max() * (v * v).sum(1).max()) > 60:  # exp of float32 ends at 88
+        m = s.max(1).astype(np.float64)
+        s -= s.max(1, keepdims=True)
     np.exp(s, out=s)
-    return m + np.log((s @ np.ones(s.shape[1], s.dtype)).astype(np.float64))
+    return own - m - np.log((s @ np.ones(s.shape[1], s.dtype)).astype(np.float64))
 
 
 def _sigma(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """The logistic of x, which is overwritten."""
+    np.negative(x, out=x)
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
-    """Steps of noise-contrastive estimation with Adagrad, one step size a row; only rows that a batch meets move."""
+    """Steps of noise-contrastive estimation with Adagrad, a step size for the vector and one for the bias of each row; only rows that a batch meets move."""
 
     def __init__(self, model: Model, seed: int):
         self.m, self.t, self.tokens = model, {k: v.copy() for k, v in model.tables.items()}, 0
@@ -232,7 +242,7 @@ class Trainer:
         self.leaves = np.concatenate([[0], np.cumsum(model.within)])
         self.leaf_shift = np.log(model.setting.own_noise * model.within).astype(np.float32)
         self.met = {k: np.zeros(len(v), np.float32) for k, v in self.t.items()}
-        self.squares = {k: np.full(len(v), 1e-2, np.float32) for k, v in self.t.items()}
+        self.squares = {k: np.full((len(v), 2), 1e-2, np.float32) for k, v in self.t.items()}
 
     def _add(self, name: str, row: np.ndarray, g: np.ndarray, rate: float) -> None:
         """Add the gradients g of these rows, of which some repeat."""
@@ -248,21 +258,25 @@ class Trainer:
         for j in range(g.shape[1]):
             total[:, j] = np.bincount(at, g[:, j], len(rows))
         total /= np.sqrt(n)[:, None].astype(np.float32)
-        squares[rows] += (total * total).mean(1)
-        table[rows] += rate * total / np.sqrt(squares[rows])[:, None]
+        for part, columns in enumerate((slice(0, COLUMNS), slice(COLUMNS, None))[: 1 + (g.shape[1] > COLUMNS)]):
+            own = total[:, columns]
+            squares[rows, part] += np.einsum("ij,ij->i", own, own) / own.shape[1]
+            own *= rate / np.sqrt(squares[rows, part])[:, None]
+        table[rows] += total
         self.met[name][rows] += n
 
-    def _shared(self, q: np.ndarray, right: np.ndarray, kind: int, vectors: str, rate: float) -> np.ndarray:
-        """A step for choices of one set with noise that the batch shares; the gradient of q."""
-        bias = vectors + "_bias"
-        noise = np.minimum(np.searchsorted(self.cumulative[kind], self.rng.random(self.m.setting.noise)), len(self.t[bias]) - 1)
-        v, u, shift = self.t[vectors][right], self.t[vectors][noise], self.shift[kind]
-        g = _sigma(shift[right] - np.einsum("ij,ij->i", q, v) - self.t[bias][right, 0])
-        wrong = -_sigma(q @ u.T + (self.t[bias][noise, 0] - shift[noise]))
-        rows = np.concatenate([right, noise])
-        self._add(vectors, rows, np.concatenate([g[:, None] * q, wrong.T @ q]), rate)
-        self._add(bias, rows, np.concatenate([g, wrong.sum(0)])[:, None], rate)
-        return g[:, None] * v + wrong @ u
+    def _shared(self, q: np.ndarray, right: np.ndarray, kind: int, name: str, rate: float) -> np.ndarray:
+        """A step for choices of one set with noise that the batch shares; the gradient of q, whose last column is one."""
+        t = self.t[name]
+        noise = np.minimum(np.searchsorted(self.cumulative[kind], self.rng.random(self.m.setting.noise)), len(t) - 1)
+        v, u, shift = t[right], t[noise], self.shift[kind]
+        g = _sigma(shift[right] - np.einsum("ij,ij->i", q, v))[:, None]
+        wrong = _sigma(q @ u.T - shift[noise])
+        np.negative(wrong, out=wrong)
+        self._add(name, np.concatenate([right, noise]), np.concatenate([g * q, wrong.T @ q]), rate)
+        v *= g
+        v += wrong @ u
+        return v
 
     def _within(self, q: np.ndarray, right: np.ndarray, k: np.ndarray, rate: float) -> np.ndarray:
         """A step for choices inside classes k, with noise of each token's own class; the gradient of q."""
@@ -272,32 +286,37 @@ class Trainer:
         noise = np.clip(noise, base[k][:, None], base[k + 1][:, None] - 1)
         rows = np.concatenate([right[:, None], noise], 1)
         v = self.t["leaf"][rows]
-        s = np.einsum("ij,ikj->ik", q, v) + self.t["leaf_bias"][rows, 0] - self.leaf_shift[rows]
-        s[:, 0] *= -1
+        s = self.leaf_shift[rows] - np.einsum("ij,ikj->ik", q, v)
+        s[:, 1:] *= -1
         g = _sigma(s)
         g[:, 1:] *= -1
-        self._add("leaf", rows.ravel(), (g[:, :, None] * q[:, None, :]).reshape(-1, COLUMNS), rate)
-        self._add("leaf_bias", rows.ravel(), g.reshape(-1, 1), rate)
+        self._add("leaf", rows.ravel(), (g[:, :, None] * q[:, None, :]).reshape(-1, COLUMNS + 1), rate)
         return np.einsum("ik,ikj->ij", g, v)
 
     def read(self, x: Tokens) -> None:
         """One pass over the tokens, in an order that mixes texts."""
         s, t = self.m.setting, self.t
+        q = np.ones((s.batch, COLUMNS + 1), np.float32)
         order = self.rng.permutation(len(x.out))
         for at in range(0, len(order), s.batch):
             i = order[at : at + s.batch]
-            g = self._shared(t["one"][x.one[i]] + t["two"][x.two[i]], x.out[i], 0, "out", s.rate)
-            self._add("one", x.one[i], g, s.rate)
-            self._add("two", x.two[i], g, s.rate)
+            one, two, own = x.one[i], x.two[i], q[: len(i)]
+            np.add(t["one"][one], t["two"][two], out=own[:, :COLUMNS])
+            g = self._shared(own, x.out[i], 0, "out", s.rate)[:, :COLUMNS]
+            self._add("one", one, g, s.rate)
+            self._add("two", two, g, s.rate)
         order = order[x.out[order] == 0]
         for at in range(0, len(order), s.batch):
             i = order[at : at + s.batch]
-            q = t["tail_one"][x.one[i]] + t["tail_two"][x.two[i]] + t["tail_own"][x.own[i]]
-            g = self._shared(q, x.own_class[i], 1, "class", s.tail_rate) + self._within(q, x.leaf[i], x.own_class[i], s.tail_rate)
-            self._add("tail_one", x.one[i], g, s.tail_rate)
-            self._add("tail_two", x.two[i], g, s.tail_rate)
-            has = x.own[i] > 0
-            self._add("tail_own", x.own[i][has], g[has], s.tail_rate)
+            one, two, before, own = x.one[i], x.two[i], x.own[i], q[: len(i)]
+            np.add(t["tail_one"][one], t["tail_two"][two], out=own[:, :COLUMNS])
+            has = np.flatnonzero(before)
+            own[has, :COLUMNS] += t["tail_own"][before[has]]
+            k = x.own_class[i]
+            g = (self._shared(own, k, 1, "class", s.tail_rate) + self._within(own, x.leaf[i], k, s.tail_rate))[:, :COLUMNS]
+            self._add("tail_one", one, g, s.tail_rate)
+            self._add("tail_two", two, g, s.tail_rate)
+            self._add("tail_own", before[has], g[has], s.tail_rate)
         self.tokens += len(x.out)
 
     def changes(self) -> Iterator[tuple[int, bytes]]:

@@ -64,16 +64,16 @@ def test_scores_again_by_hand(spark):
         x = L.Tokens(data, np.array([0, len(data)]), head, s)
         total = 0.0
         for i in range(len(x.out)):
-            q = t["one"][x.one[i]] + t["two"][x.two[i]]
-            own = t["out"] @ q + t["out_bias"][:, 0]
+            q = np.append(t["one"][x.one[i]] + t["two"][x.two[i]], 1)
+            own = t["out"] @ q
             total += own[x.out[i]] - log_sum(own)
             if x.out[i] == 0:
-                q = t["tail_one"][x.one[i]] + t["tail_two"][x.two[i]] + t["tail_own"][x.own[i]]
+                q = np.append(t["tail_one"][x.one[i]] + t["tail_two"][x.two[i]] + t["tail_own"][x.own[i]], 1)
                 k = x.own_class[i]
-                own = t["class"] @ q + t["class_bias"][:, 0]
+                own = t["class"] @ q
                 total += own[k] - log_sum(own)
                 low, high = head.base[k], head.base[k + 1]
-                own = t["leaf"][low:high] @ q + t["leaf_bias"][low:high, 0]
+                own = t["leaf"][low:high] @ q
                 total += own[x.leaf[i] - low] - log_sum(own)
                 if x.leaf[i] == low:
                     total += math.log(full.get(int(x.hash[i : i + 1].view(np.int64)[0]), 0) + 0.5) - math.log(head.mass[low])
