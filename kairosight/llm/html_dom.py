@@ -54,6 +54,7 @@ def parse(source: str) -> Page:
     flow: list[tuple[int, str | None]] = []
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the node that holds their text
     links = 0
+    endless: set[str] = set()  # silent elements of which no end tag follows
 
     def text(raw: str) -> None:
         if not raw:
@@ -109,7 +110,9 @@ def parse(source: str) -> Page:
                 flow.append((stack[-1][1], None))
             continue
         if tag in SILENT:
-            end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.IGNORECASE).search(source, at)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.IGNORECASE).search(source, at)
+            if end is None:
+                endless.add(tag)
             if end:
                 at = end.end()
             elif tag in RAW:

@@ -29,7 +29,7 @@ from .boosted_trees import BoostedTrees
 from .html_samples import CONTENT, DROPPED, PASSAGE
 
 #: Made-up pages that the trees are trained on.
-PAGES = 500
+PAGES = 1000
 _TAGS = ("html", "body", "main", "article", "section", "div", "p", "heading", "list", "li", "nav", "header", "footer", "aside", "form", "table", "quote", "control", "inline", "other")
 _GROUP = (
     {t: "heading" for t in ("h1", "h2", "h3", "h4", "h5", "h6")} | {t: "list" for t in ("ul", "ol", "dl", "menu")} | {t: "li" for t in ("li", "dt", "dd")}
@@ -51,7 +51,7 @@ _HINTS = {
 _HINT_OF = {w: i for i, (_, ws) in enumerate(_HINTS.items()) for w in ws.split()}
 _WORDS = re.compile(r"[a-z]+")
 _N_HINTS = len(_HINTS)
-FEATURES = len(_TAGS) + 2 * _N_HINTS + 22
+FEATURES = len(_TAGS) + 2 * _N_HINTS + 29
 
 
 def features(page: html_dom.Page) -> np.ndarray:
@@ -98,11 +98,21 @@ def features(page: html_dom.Page) -> np.ndarray:
     siblings = np.array([len(nodes[p].children) if p >= 0 else 1 for p in parent])
     safe = np.maximum(parent, 0)
     total = max(chars[0], 1)
+    # plain text (outside links) of the siblings before and after, of the parent itself and its siblings
+    plain = chars - links
+    before, after = np.zeros(n), np.zeros(n)
+    for x in nodes:
+        if x.children:
+            at = np.array(x.children)
+            sums = np.cumsum(plain[at])
+            before[at], after[at] = sums - plain[at], sums[-1] - sums
+    beside = [np.log1p(v) for v in (before, after, before[safe], after[safe], own[safe])]
     x = np.column_stack([
         np.eye(len(_TAGS))[tag], hints, above, up,
         np.log1p(chars), np.log1p(own), links / np.maximum(chars, 1), stops / np.maximum(n_words, 1), np.log1p(n_words), np.log1p(n_links),
         np.log1p(paragraphs), np.log1p(size), chars / size, chars / total, chars / np.maximum(chars[safe], 1), np.array([x.depth for x in nodes]),
         inside, siblings, inside / siblings, has_main - main > 0, own / np.maximum(chars, 1),
+        *beside, links / np.maximum(n_links, 1), np.full(n, has_main[0] > 0),
     ])
     return x.astype(np.float64)
 

@@ -17,6 +17,7 @@ class Sampler:
         self.out: list[str] = []
         self.text: list[str] = []
         self.style = self.r.choice(["plain", "plain", "shout", "symbols"])
+        self.blind = self.r.random() < 0.4  # neither tags nor names tell where the article is
 
     def word(self) -> str:
         w = "".join(self.r.choices(_SYLLABLES, k=self.r.randint(1, 4)))
@@ -75,9 +76,38 @@ class Sampler:
         else:
             self.menu("nav" if r.random() < 0.5 else "div", r.choice(["menu", "breadcrumbs", "navbar", "nav", "pagination"]))
 
+    def opaque(self) -> str:
+        """A name that says nothing."""
+        r = self.r
+        return r.choice(["", "", "css-" + "".join(r.choices("0123456789abcdef", k=r.randint(3, 6))), "".join(r.choices("abcdefghijkz", k=r.randint(1, 4))) + str(r.randint(1, 99)), "col-" + str(r.randint(1, 12)), "box", "inner", "wrap"])
+
+    def references(self) -> None:
+        """A paragraph and a list of links that belongs to it."""
+        r = self.r
+        self.tag("p", CONTENT, self.words(r.randint(2, 30)) + r.choice([":", "", ""]))
+        self.tag(r.choice(["ul", "ol"]), CONTENT, lambda: self.links(r.randint(1, 7), CONTENT))
+
+    def paragraph(self, name: str) -> None:
+        self.tag(name, CONTENT, self.words(self.r.choice([3, 8, 20, 40, 80, 150])), self.opaque() if self.r.random() < 0.3 else "")
+
     def content(self) -> None:
         """Blocks of the article."""
         r = self.r
+        if self.blind:
+            block = r.choice(["p", "p", "p", "div"])
+            if r.random() < 0.6:
+                self.tag(r.choice(["h1", "h1", "h2"]), CONTENT, self.words(r.randint(1, 10)))
+            for _ in range(r.choice([1, 2, 3, 5, 8, 14])):
+                kind = r.random()
+                if kind < 0.8:
+                    self.paragraph(block)
+                elif kind < 0.87:
+                    self.references()
+                elif kind < 0.93:
+                    self.tag(r.choice(["h2", "h3"]), CONTENT, self.words(r.randint(1, 7)))
+                else:
+                    self.tag("blockquote", CONTENT, self.words(r.randint(4, 30)))
+            return
         if r.random() < 0.8:
             self.tag(r.choice(["h1", "h1", "h2"]), CONTENT, self.words(r.randint(1, 10)))
         for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14])):
@@ -100,6 +130,8 @@ class Sampler:
                 self.tag("table", CONTENT, lambda: [self.tag("tr", CONTENT, lambda: [self.tag("td", CONTENT, self.words(r.randint(1, 5))) for _ in range(3)]) for _ in range(r.randint(1, 4))])
             elif kind < 0.95:
                 self.tag("div", CONTENT, self.words(r.randint(10, 60)))
+            elif kind < 0.98:
+                self.references()
             else:
                 self.tag("pre", CONTENT, self.words(r.randint(3, 30)))
             if r.random() < 0.08:
@@ -107,6 +139,8 @@ class Sampler:
 
     def page(self) -> str:
         r = self.r
+        if self.blind:
+            return self.blind_page()
         self.out.append(f"<!DOCTYPE html><html><head><title>{html.escape(self.words(4))}</title><style>p{{}}</style><script>var t='</p>';</script></head><body data-k=\"{PASSAGE}\">")
 
         def some(p, f, *a):
@@ -138,6 +172,62 @@ class Sampler:
             self.junk()
         some(0.8, lambda: self.tag(r.choice(["footer", "footer", "div"]), DROPPED, lambda: (self.out.append("&copy; " + html.escape(self.words(r.randint(2, 30)), quote=False)), some(0.4, self.menu, "div", "links")), r.choice(["footer", "site-footer", "copyright", "bottom"])))
         self.out.append("</body></html>")
+        return self.finished()
+
+    def cells(self, body) -> None:
+        """A table that only lays the page out: a menu beside the article."""
+        r = self.r
+        menu = lambda: self.tag("td", DROPPED, lambda: self.tag("ul", DROPPED, lambda: self.links(r.randint(3, 9))) if r.random() < 0.5 else self.links(r.randint(3, 9), items=False))
+        own = lambda: self.tag("td", CONTENT, body)
+        self.tag("table", PASSAGE, lambda: self.tag("tr", PASSAGE, lambda: (menu(), own()) if r.random() < 0.7 else (own(), menu())))
+
+    def blind_page(self) -> str:
+        """The article under body itself, plain or opaquely named boxes, sections, tables or as bare text; junk tells itself by tag, name or links."""
+        r = self.r
+        shape = r.choice(["body", "body", "box", "box", "box", "section", "table", "text"])
+        self.out.append(f'<!DOCTYPE html><html><head><title>{html.escape(self.words(4))}</title></head><body data-k="{CONTENT if shape == "text" else PASSAGE}">')
+
+        def edge(first: bool) -> None:
+            kind = r.random()
+            if kind < 0.35:
+                self.tag("ul", DROPPED, lambda: self.links(r.randint(3, 10)), self.opaque())
+            elif kind < 0.55:
+                self.tag("div", DROPPED, lambda: self.links(r.randint(2, 9), items=False), self.opaque())
+            elif kind < 0.65:
+                self.menu("nav", "")
+            elif kind < 0.75:
+                self.tag("aside", DROPPED, lambda: (self.tag(r.choice(["h3", "h4", "p"]), DROPPED, self.words(r.randint(1, 3))), self.tag("ul", DROPPED, lambda: self.links(r.randint(1, 6)))), self.opaque())
+            elif kind < 0.9:
+                self.tag("header" if first else "footer", DROPPED, lambda: (self.tag(r.choice(["p", "div", "h1"] if first else ["p", "div"]), DROPPED, ("" if first else "© ") + self.words(r.randint(1, 12))), self.links(r.randint(0, 4), items=False)), self.opaque())
+            else:
+                self.junk()
+
+        for _ in range(r.choice([0, 1, 1, 1, 2])):
+            edge(True)
+        if shape == "body":
+            self.content()
+        elif shape == "text":
+            for _ in range(r.randint(1, 6)):
+                self.out.append(html.escape(self.words(r.choice([8, 20, 60, 120])), quote=False) + r.choice(["<br><br>", "<br>", " <hr>"]))
+        elif shape == "table":
+            self.cells(self.content)
+        else:
+            body = lambda: self.tag("section" if shape == "section" else "div", CONTENT, self.content, self.opaque())
+            for _ in range(r.choice([0, 0, 1, 2, 3])):
+                inner = body
+
+                def body(inner=inner):
+                    before, after = r.random() < 0.2, r.random() < 0.3
+                    self.tag("div", PASSAGE, lambda: (before and edge(True), inner(), after and edge(False)), self.opaque())
+
+            body()
+        for _ in range(r.choice([0, 1, 1, 2])):
+            edge(False)
+        self.out.append("</body></html>")
+        return self.finished()
+
+    def finished(self) -> str:
+        r = self.r
         source = "".join(self.out)
         return source[: r.randint(len(source) // 2, len(source))] if r.random() < 0.15 else source
 

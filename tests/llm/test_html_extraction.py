@@ -82,3 +82,38 @@ def test_small_table(spark, model):
         inner = re.sub(r"<[^>]*$", "", r.html[r.html.index("<article>") + 9 :].split("</article>")[0]).replace("<br>", " ")
         parts = (" ".join(html.unescape(re.sub(r"</?b>", "", p)).split()) for p in re.split(r"</?(?:h1|p)>", inner))
         assert r.text == "\n".join(p for p in parts if p)
+
+
+# Written by hand in layouts that html_samples does not make, or makes otherwise: the article has no tag or name of its own, or lists links.
+SENTENCES = ["The harbour was quiet, and the boats lay still.","Nobody spoke for a while; then, slowly, the captain rose.","He had seen worse, he said, in winter.","They left at noon, with the tide, and came back late."]
+MENU = '<ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/a>About</a></li></ul>'
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in SENTENCES)
+TEXT = "\n".join(SENTENCES)
+HAND = [
+    (f"<html><body>{MENU}<h1>The harbour</h1>{PARAGRAPHS}</body></html>","The harbour\n"+TEXT),
+    (f"<html><body><div>{PARAGRAPHS}</div></body></html>",TEXT),
+    (f"<body><div><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></div><div>{PARAGRAPHS}{PARAGRAPHS}</div><footer>© 2020 Harbour News</footer></body>",TEXT+"\n"+TEXT),
+    (f'<body>{MENU}<div class="css-9ab"><div class="css-1x"><h1>The harbour</h1>{PARAGRAPHS}</div></div></body>',"The harbour\n"+TEXT),
+    (f"<body><table><tr><td>{MENU}</td><td><h1>The harbour</h1>{PARAGRAPHS}</td></tr></table></body>","The harbour\n"+TEXT),
+    (f"<body><section><h2>The harbour</h2>{PARAGRAPHS}</section></body>","The harbour\n"+TEXT),
+    (f"<body>{' '.join(SENTENCES)}<br><br>{' '.join(SENTENCES)}</body>"," ".join(SENTENCES)+' '+" ".join(SENTENCES)),
+    (f"<body><article><h1>Links</h1>{PARAGRAPHS}<p>See:</p><ul><li><a href=/1>First reference work</a></li><li><a href=/2>Second reference work</a></li><li><a href=/3>Third one</a></li><li><a href=/4>Fourth</a></li></ul></article></body>","Links\n"+TEXT+"\nSee:\nFirst reference work\nSecond reference work\nThird one\nFourth"),
+    (f'<body><div id=content><h1>A</h1>{PARAGRAPHS}</div><div class=sidebar><p>About us, the team.</p></div></body>',"A\n"+TEXT),
+    (f'<body><div role=main><h1>A</h1>{PARAGRAPHS}</div></body>',"A\n"+TEXT),
+    (f'<body><div class="page"><header><div class=logo>Site</div><nav>{MENU}</nav></header><div class="row"><div class="col-8"><h1>A</h1>{PARAGRAPHS}</div><aside><h3>More</h3><ul><li><a href=/x>Other story</a></li></ul></aside></div><footer><p>© 2021</p></footer></div></body>',"A\n"+TEXT),
+    ("<body><div>"+"".join(f"<div>{p}</div>" for p in SENTENCES)+"</div></body>",TEXT),
+    (f"<body><main><section><h1>A</h1>{PARAGRAPHS}</section><section class=comments><h2>Comments</h2><p>Nice one, really.</p></section></main></body>","A\n"+TEXT),
+    (f"<body><center><font>{PARAGRAPHS}</font></center></body>",TEXT),
+]
+
+
+@pytest.mark.parametrize("case", range(len(HAND)))
+def test_pages_written_by_hand(model, case):
+    source, text = HAND[case]
+    assert H.texts([source], model) == [text]
+
+
+def test_many_unclosed_silent_elements_and_a_very_long_page(model):
+    assert H.texts(["<noscript>" * 40_000], model) == [""]
+    long = "<article><h1>Long</h1>" + "<p>A sentence, and one more. </p>" * 40_000 + "</article>"
+    assert H.texts([long], model) == ["Long" + "\nA sentence, and one more." * 40_000]
