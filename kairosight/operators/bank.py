@@ -133,23 +133,38 @@ def array_means(records: DataFrame, grid: Grid, tau_days: float, array: str) ->
     return sums.groupBy("t", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.greatest(F.sum("w"), F.lit(1e-6))).alias("mean"))
 
 
+def _span(points: DataFrame, order: str) -> Column:
+    """30 days of a time, or 4096 of a number."""
+    kind = dict(points.dtypes)[order]
+    if kind == "date" or kind.startswith("timestamp"):
+        return F.floor(F.unix_timestamp(F.col(order).cast("timestamp")) / (86400 * 30))
+    return F.floor(F.col(order) / 4096)
+
+
 def ema(points: DataFrame, alpha: float, keys: list[str], order: str, value: str, out: str) -> DataFrame:
     """Exponential moving average of value along order for each key: the first value, then a*x + (1-a)*previous.
 
-    The recursion is sequential, so each key's axis is one Arrow group; an axis has as many points as the grid.
+    Each span of the axis is folded from zero by itself; what a span leaves to the next is affine in what it got, so only
+    one pair of numbers a span is folded along a whole axis.
     """
     a = float(max(0.0, min(1.0, alpha)))
-    schema = points.select(*keys, order, value).withColumn(out, F.lit(0.0)).schema
+    kinds = dict(points.dtypes)
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("x"))))
+    spans = points.select(*keys, order, value, _span(points, order).alias("span")).groupBy(*keys, "span").agg(rows.alias("rows"))
+    step = F.struct(F.lit(0.0).alias("e"), F.array().cast("array<double>").alias("all"))
+    fold = F.aggregate("rows", step, lambda s, r: F.struct((a * r.x + (1 - a) * s.e).alias("e"), F.concat(s.all, F.array(a * r.x + (1 - a) * s.e)).alias("all")))
+    own = spans.withColumn("own", fold.all).withColumn("first", F.col("rows")[0].x.cast("double"))
+    ends = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("span", F.size("own").alias("n"), F.element_at("own", -1).alias("e"), "first"))).alias("ends"))
+    got = F.struct(F.lit(None).cast("double").alias("c"), F.array().cast("array<struct<span:bigint,c:double>>").alias("all"))
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        last, found = None, []
-        for x in pdf[value].tolist():
-            last = x if last is None else a * x + (1 - a) * last
-            found.append(last)
-        return pdf.assign(**{out: found})
+    def carry(s, r):
+        c = F.coalesce(s.c, r["first"])  # the first value stands for what came before it
+        return F.struct((r.e + F.pow(F.lit(1 - a), r.n) * c).alias("c"), F.concat(s.all, F.array(F.struct(r.span.alias("span"), c.alias("c")))).alias("all"))
 
-    return points.select(*keys, order, value).groupBy(*keys).applyInPandas(smooth, schema)
+    carried = ends.select(*keys, F.inline(F.aggregate("ends", got, carry).all))
+    joined = own.join(carried, [*keys, "span"])
+    smooth = F.transform("rows", lambda r, i: F.struct(r.o.alias(order), r.x.alias(value), (F.element_at("own", i + 1) + F.pow(F.lit(1 - a), i + 1) * F.col("c")).alias(out)))
+    return joined.select(*keys, F.inline(smooth)).select(*keys, F.col(order).cast(kinds[order]).alias(order), F.col(value).cast(kinds[value]).alias(value), out)
 
 
 def lookup(targets: DataFrame, bank: DataFrame, grid: Grid, at: str, fields: list[str]) -> DataFrame:
@@ -163,12 +178,24 @@ def lookup(targets: DataFrame, bank: DataFrame, grid: Grid, at: str, fields: lis
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, fields: list[str]) -> DataFrame:
-    """left with right's fields at the latest right time <= left's, for irregular times: union, then last value in a window."""
-    a = left.withColumn("__side", F.lit(1))
-    b = right.select(*keys, F.col(at), F.struct(*fields).alias("__found")).withColumn("__side", F.lit(0))
-    w = Window.partitionBy(*keys).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("__last", F.last("__found", ignorenulls=True).over(w))
-    return both.where("__side = 1").select(*left.columns, *(F.col(f"__last.{f}").alias(f) for f in fields))
+    """left with right's fields at the latest right time <= left's, for irregular times.
+
+    A union and a window over 30 days of each key; what the days before leave is one row a span, so no task needs a whole key.
+    """
+    taken = {c.lower() for c in [*left.columns, *right.columns]}
+    free = lambda n: n if n not in taken else free(n + "_")
+    side, found, span, last, carried = map(free, ("side", "found", "span", "last", "carried"))
+    a = left.withColumn(side, F.lit(1))
+    b = right.select(*keys, F.col(at), F.struct(*fields).alias(found)).withColumn(side, F.lit(0))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn(span, F.floor(F.unix_timestamp(F.col(at).cast("timestamp")) / (86400 * 30)))
+    w = Window.partitionBy(*keys, span).orderBy(at, side).rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn(last, F.last(found, ignorenulls=True).over(w)).where(F.col(side) == 1)
+    ends = both.groupBy(*keys, span).agg(F.max_by(found, F.when(F.col(side) == 0, F.col(at))).alias(found))
+    before = Window.partitionBy(*keys).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ends.select(*(F.col(k).alias(f"{k}{span}") for k in keys), F.col(span).alias(carried + span), F.last(found, ignorenulls=True).over(before).alias(carried))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}{span}")) for k in keys]
+    joined = inside.join(ahead, [*same, F.col(span).eqNullSafe(F.col(carried + span))], "left").withColumn(last, F.coalesce(last, carried))
+    return joined.select(*left.columns, *(F.col(f"{last}.{f}").alias(f) for f in fields))
 
 
 def permuted(bank: DataFrame, fields: list[str], key: Column) -> DataFrame:

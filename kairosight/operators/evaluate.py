@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import quantiles
+
+
 
 def skill(metric: Column, base: Column) -> Column:
     """1 - metric / base; null where the base is null, not finite or nearly zero."""
@@ -76,7 +79,7 @@ def diagnostics(s: DataFrame, scale: float = 1.0, lambda_max: float = 0.6) -> Da
 
     Means over empty subsets are null.  Two passes: the 0.9 quantile of the base error, then one aggregation.
     """
-    q = s.agg(F.percentile("base_abs", F.lit(0.9)).alias("q"))
+    q = quantiles(s, "base_abs", [0.9]).select(F.col("q")[0].alias("q"))
     x = s.crossJoin(F.broadcast(q))  # one row
     on, off, top = F.col("active"), ~F.col("active"), F.col("base_abs") >= F.col("q")
     mean = lambda c, when=None: F.avg(F.when(when, c) if when is not None else c)

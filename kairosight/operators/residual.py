@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import quantiles
+
 
 def calendar_keys(ts: Column) -> dict[str, Column]:
     """dow (Monday 0) and hod (half hour of the day, 0 to 47)."""
@@ -39,8 +41,10 @@ def detrended(steps: DataFrame, profile_: DataFrame, sample: list[str]) -> DataF
 
 def thresholds(d: DataFrame, share: float) -> DataFrame:
     """One row: sigma (population deviation of d, 1e-6 at least) and the quantile of |d| that leaves `share` above."""
-    q = F.percentile(F.abs("d"), F.lit(1.0 - share)) if 0 < share < 1 else F.lit(0.0)
-    return d.agg(F.greatest(F.stddev_pop("d"), F.lit(1e-6)).alias("sigma"), q.alias("threshold"))
+    sigma = d.agg(F.greatest(F.stddev_pop("d"), F.lit(1e-6)).alias("sigma"))
+    if not 0 < share < 1:
+        return sigma.withColumn("threshold", F.lit(0.0))
+    return sigma.crossJoin(F.broadcast(quantiles(d, F.abs("d"), [1.0 - share]).select(F.col("q")[0].alias("threshold"))))  # one row
 
 
 def parts(d: DataFrame, limits: DataFrame, sample: list[str], share: float = 0.1, k_sigma: float = 3.0) -> DataFrame:
@@ -67,7 +71,7 @@ def magnitudes(steps: DataFrame, sample: list[str]) -> DataFrame:
 def hard_weights(m: DataFrame, top: float, hard_share: float) -> DataFrame:
     """m with hard (magnitude at or above the quantile 1 - top) and weight: hard ones share hard_share, the others the rest; weights sum to one."""
     top, hard_share = (max(0.0, min(1.0, x)) for x in (top, hard_share))
-    q = m.agg((F.percentile("magnitude", F.lit(1.0 - top)) if top > 0 else F.lit(float("inf"))).alias("q"))
+    q = quantiles(m, "magnitude", [1.0 - top]).select((F.col("q")[0] if top > 0 else F.lit(float("inf"))).alias("q"))
     marked = m.crossJoin(F.broadcast(q)).withColumn("hard", F.col("magnitude") >= F.col("q"))
     n = marked.agg(F.count_if("hard").alias("n_hard"), F.count_if(~F.col("hard")).alias("n_easy"))
     raw = F.when(F.col("hard"), hard_share / F.greatest("n_hard", F.lit(1))).otherwise((1 - hard_share) / F.greatest("n_easy", F.lit(1)))
@@ -78,7 +82,7 @@ def hard_weights(m: DataFrame, top: float, hard_share: float) -> DataFrame:
 
 def boosted_weights(m: DataFrame, top: float = 0.1, boost: float = 3.0) -> DataFrame:
     """m with weight: `boost` for magnitudes at or above the quantile 1 - top, else one, divided by their mean."""
-    q = m.agg(F.percentile("magnitude", F.lit(1.0 - top)).alias("q"))
+    q = quantiles(m, "magnitude", [1.0 - top]).select(F.col("q")[0].alias("q"))
     raw = m.crossJoin(F.broadcast(q)).withColumn("raw", F.when(F.col("magnitude") >= F.col("q"), boost).otherwise(1.0))
     return raw.crossJoin(F.broadcast(raw.agg(F.greatest(F.avg("raw"), F.lit(1e-6)).alias("mean")))).withColumn("weight", F.col("raw") / F.col("mean")).drop("q", "raw", "mean")
 

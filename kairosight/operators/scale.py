@@ -7,6 +7,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 EPS = 1e-6
 
 
@@ -40,9 +42,10 @@ def robust(df: DataFrame, value: str, low: float = 0.25, high: float = 0.75) ->
     if not 0 < low < high < 1:
         raise ValueError("quantiles must satisfy 0 < low < high < 1")
     spread = NormalDist().inv_cdf(high) - NormalDist().inv_cdf(low)
-    q = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias("q"), F.stddev_pop(value).alias("std"))
+    q = quantiles(df, value, [low, 0.5, high]).crossJoin(F.broadcast(df.agg(F.stddev_pop(value).alias("std"))))  # one row each
     center = q.select("std", F.col("q")[1].alias("center_global"), ((F.col("q")[2] - F.col("q")[0]) / spread).alias("by_quantiles"))
-    mad = df.crossJoin(F.broadcast(center.select("center_global"))).agg((1.4826 * F.percentile(F.abs(F.col(value) - F.col("center_global")), F.lit(0.5))).alias("mad"))  # one row
+    away = df.crossJoin(F.broadcast(center.select("center_global")))  # one row
+    mad = quantiles(away, F.abs(F.col(value) - F.col("center_global")), [0.5]).select((1.4826 * F.col("q")[0]).alias("mad"))
     first = F.when(F.col("by_quantiles") > EPS, F.col("by_quantiles")).when(F.col("mad") > EPS, F.col("mad")).when(F.col("std") > EPS, F.col("std")).otherwise(F.lit(EPS))
     return center.crossJoin(mad).select("center_global", first.alias("scale_global"))
 
@@ -69,4 +72,4 @@ def denormalise(a: Column, center: Column, scale: Column) -> Column:
 
 def winsor_bounds(df: DataFrame, value: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """lower and upper quantiles of the training values."""
-    return df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q")).select(F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+    return quantiles(df, value, [low, high]).select(F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import times
+from ..sources.stored import stored
 
 
 def inferred_minutes(df: DataFrame, at: str) -> DataFrame:
@@ -45,8 +46,11 @@ def overlaps(df: DataFrame, at: str, split: str, order: tuple[str, ...]) -> Data
 
 
 def _position(df: DataFrame, order: list) -> DataFrame:
-    """Rows numbered from 0 in a global order without a single-task sort: ranges are numbered by their counts before them."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    """Rows numbered from 0 in a global order without a single-task sort: ranges are numbered by their counts before them.
+
+    Ranges and counts come from one stored table, so no retry or new plan can cut them another way in between.
+    """
+    ranged = stored(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
     inner = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1)
     before = inner.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     return inner.join(F.broadcast(before), "__p").withColumn("position", F.col("__i") + F.col("__before")).drop("__p", "__i", "__before")  # one row a partition

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Starts of windows that one task holds together, and days of a series that are numbered together.
+BLOCK, SPAN_DAYS = 4096, 30
+
 
 def sliding(series: DataFrame, history: int, horizon: int, stride: int = 1, key: str = "series_id", at: str = "ts", value: str = "value", least: Column | None = None) -> DataFrame:
     """series_id, start, history, target and their times of every complete window.
@@ -13,16 +16,37 @@ def sliding(series: DataFrame, history: int, horizon: int, stride: int = 1, key:
     Rows without a time or value are dropped first, so windows bridge gaps.  least: a condition on the first
     target row (its columns are visible), for splits whose history comes from the split before.
     """
+    span = history + horizon
     rows = series.where(F.col(at).isNotNull() & F.col(value).isNotNull())
-    rows = rows.withColumn(key, F.coalesce(key, F.lit("Not Specified")))
-    w = Window.partitionBy(key).orderBy(at)
+    rows = rows.select(F.coalesce(key, F.lit("Not Specified")).alias(key), F.col(at), F.col(value), *([least.alias("ok")] if least is not None else []))
+    placed = indexed(rows, key, at)
+    # blocks of starts; the first rows of a block also end the windows of the block before
+    width = max(BLOCK, span)
+    block = F.floor(F.col("start") / width)
+    shared = (F.col("start") % width < span - 1) & (block > 0)
+    cut = placed.withColumn("block", F.explode(F.when(shared, F.array(block - 1, block)).otherwise(F.array(block))))
+    w = Window.partitionBy(key, "block").orderBy("start")
     ahead = lambda c, a, b: F.collect_list(c).over(w.rowsBetween(a, b))
-    wide = rows.select(
-        key, (F.row_number().over(w) - 1).alias("start"), ahead(value, 0, history - 1).alias("history"), ahead(value, history, history + horizon - 1).alias("target"),
-        ahead(at, 0, history - 1).alias("history_times"), ahead(at, history, history + horizon - 1).alias("target_times"), *([F.lead(least, history).over(w).alias("__ok")] if least is not None else []),
+    wide = cut.select(
+        key, "start", "block", ahead(value, 0, history - 1).alias("history"), ahead(value, history, span - 1).alias("target"),
+        ahead(at, 0, history - 1).alias("history_times"), ahead(at, history, span - 1).alias("target_times"), *([F.lead("ok", history).over(w).alias("ok")] if least is not None else []),
     )
-    found = wide.where((F.size("target") == horizon) & (F.size("history") == history) & (F.col("start") % stride == 0))
-    return found.where("__ok").drop("__ok") if least is not None else found
+    found = wide.where((F.size("target") == horizon) & (F.col("start") % stride == 0) & (F.floor(F.col("start") / width) == F.col("block")))
+    return (found.where("ok") if least is not None else found).select(key, "start", "history", "target", "history_times", "target_times")
+
+
+def indexed(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """rows with start: their number from 0 in the order of the time `at` within each key.
+
+    Spans of SPAN_DAYS are numbered by themselves and the counts of the spans before are added, so no task needs a whole series.
+    """
+    spans = rows.withColumn("span", F.floor(F.unix_timestamp(F.col(at).cast("timestamp")) / (86400 * SPAN_DAYS)))
+    counts = spans.groupBy(key, "span").agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy(key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(key, "span", F.coalesce(ahead, F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy(key, "span").orderBy(at)) - 1
+    numbered = spans.withColumn("nth", nth).join(before, [key, "span"])
+    return numbered.withColumn("start", F.col("before") + F.col("nth")).drop("span", "nth", "before")
 
 
 def fit_left(a: Column, n: int) -> Column:

@@ -134,14 +134,16 @@ _EMB = "emb AS (SELECT vec_id, embedding FROM embeddings)"
 
 
 @query("ag4_bank_text_emb", f"""WITH {X.NEWS}, {_EMB}, g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS t),
-n AS (SELECT *, date_trunc('day', published_at) AS p FROM news JOIN emb ON vec_id = doc_id % 50 WHERE horizon_days > 0 AND confidence > 0),
+n AS (SELECT *, date_trunc('day', published_at) AS p FROM news JOIN emb ON vec_id = doc_id % (SELECT count(*) FROM embeddings) WHERE horizon_days > 0 AND confidence > 0),
 f AS (SELECT t, confidence * exp(-(epoch(t) - epoch(p)) / 86400.0 / {X.TAU}) AS w, embedding FROM g JOIN n ON p <= t AND t <= p + to_days(horizon_days)),
 u AS (SELECT t, w, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM f)
 SELECT strftime(t, '%Y-%m-%d') AS t, pos, round(sum(w * x) / greatest(sum(w), 1e-6), 6) AS mean FROM u GROUP BY t, pos""")
 def ag4_emb(spark, d):
     day = bank.Grid(X.START, X.END, 0)
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    n = X.news(spark, d).withColumn("published_at", bank.available(F.col("published_at"), F.lit(True), day)).withColumn("vec_id", F.col("doc_id") % 50).join(e, "vec_id")
+    dated = X.news(spark, d).withColumn("published_at", bank.available(F.col("published_at"), F.lit(True), day))
+    vectors = e.agg(F.count(F.lit(1)).alias("vectors"))  # one row
+    n = dated.crossJoin(F.broadcast(vectors)).withColumn("vec_id", F.col("doc_id") % F.col("vectors")).join(e, "vec_id")
     return bank.array_means(n, day, X.TAU, "embedding").select(F.date_format("t", "yyyy-MM-dd").alias("t"), F.col("pos").cast("bigint").alias("pos"), R("mean").alias("mean"))
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import bank, etl, models, windows
-from ..sources import feeds, io
+from ..sources import feeds, io, stored
 from ..streaming import bank_stream
 from . import fixtures as X
 from .bank_queries import GRID, R, T, _labels
@@ -15,14 +13,6 @@ from .registry import query, table
 from .time_queries import with_split
 
 
-def scratch(spark, name: str) -> str:
-    """A folder for a query's files: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    import uuid
-
-    return f"{root.rstrip('/')}/kairosight-io/{name}-{uuid.uuid4().hex}"
-
-
 def wide(spark, d):
     """event types by day with counts of each hour as text."""
     e = table(spark, d, "events").select(F.col("event_type").alias("station_key"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.hour("ts").alias("h"), F.round("value", 2).alias("value"))
@@ -76,17 +66,6 @@ def snk6(spark, d):
     return etl.upsert(o.select("o_orderkey", "o_totalprice"), new, "o_orderkey")
 
 
-@query("snk7_merge_by_url", """WITH a AS (SELECT page_id AS pos, 'http://s/' || page_id % 200 AS url, 'old' AS v FROM pages WHERE page_id < 150), b AS (SELECT page_id - 100 AS pos, 'http://s/' || page_id % 200 || '/?x' AS url, 'new' || page_id AS v FROM pages WHERE page_id >= 100 AND page_id < 250),
-n AS (SELECT max(pos) + 1 AS n FROM a)
-SELECT a.pos, coalesce(b.v, a.v) AS v FROM a LEFT JOIN b ON b.url = a.url || '/?x' UNION ALL SELECT b.pos + n, b.v FROM b, n WHERE b.url NOT IN (SELECT url || '/?x' FROM a)""")
-def snk7(spark, d):
-    p = table(spark, d, "pages")
-    u = F.concat(F.lit("http://s/"), (F.col("page_id") % 200).cast("string"))
-    a = p.where("page_id < 150").select(F.col("page_id").alias("pos"), u.alias("url"), F.lit("old").alias("v"))
-    b = p.where("page_id >= 100 and page_id < 250").select((F.col("page_id") - 100).alias("pos"), F.concat(u, F.lit("/?x")).alias("url"), F.concat(F.lit("new"), F.col("page_id").cast("string")).alias("v"))
-    return etl.merged_by_url(a, b, "url", "pos").select("pos", "v")
-
-
 @query("snk7_merge_all_pages", """WITH a AS (SELECT page_id AS pos, 'http://s/' || page_id AS url, 'old' AS v FROM pages WHERE page_id % 3 <> 2), b AS (SELECT page_id AS pos, 'http://s/' || page_id || '/?x' AS url, 'new' || page_id AS v FROM pages WHERE page_id % 3 <> 0),
 n AS (SELECT max(pos) + 1 AS n FROM a)
 SELECT a.pos, coalesce(b.v, a.v) AS v FROM a LEFT JOIN b ON b.url = a.url || '/?x' UNION ALL SELECT b.pos + n, b.v FROM b, n WHERE b.url NOT IN (SELECT url || '/?x' FROM a)""")
@@ -203,7 +182,7 @@ def src1(spark, d):
     """SRC1 and SNK1: splits written as CSV and read as text."""
     from ..functions import times
 
-    path = scratch(spark, "series")
+    path = stored.place(spark, "series")
     io.write_splits(with_split(spark, d).select("series_id", T("ts").alias("date"), "value", "split"), path)
     return io.series(spark, path, "date", "value", "series_id").select("series_id", T(times.series_time(F.col("ts"), True)).alias("t"), R(F.col("value").cast("double")).alias("v"))
 
@@ -212,8 +191,8 @@ def src1(spark, d):
 def src2(spark, d):
     from .text_queries import articles
 
-    path = scratch(spark, "articles") + ".json"
-    rows = articles(spark, d).select(F.floor(F.col("pos") / 500).alias("file"), F.struct("title", "date", F.substring("content", 1, 50).alias("content"), F.lit("u").alias("url")).alias("a"))
+    path = stored.place(spark, "articles") + ".json"
+    rows = articles(spark, d).select(F.floor(F.col("pos") / 500).alias("file"), F.struct("title", "date", "content", F.lit("u").alias("url")).alias("a"))
     rows.groupBy("file").agg(F.to_json(F.collect_list("a")).alias("value")).select("value").write.text(path)  # arrays of up to 500 articles
     x = io.articles(spark, path)
     return io.with_text(x, "title").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("title").alias("titles"))
@@ -222,14 +201,14 @@ def src2(spark, d):
 @query("src4_record_lines", f"WITH {X.NEWS} SELECT count(*) AS n, round(sum(confidence), 6) AS confidence, sum(horizon_days)::BIGINT AS days FROM news")
 def src4(spark, d):
     """SRC4 and SNK3."""
-    path = scratch(spark, "records")
+    path = stored.place(spark, "records")
     io.write_records(X.news(spark, d).select(F.col("doc_id").cast("string").alias("doc_key"), "confidence", "horizon_days"), path)
     return io.records(spark, path).agg(F.count(F.lit(1)).alias("n"), R(F.sum("confidence")).alias("confidence"), F.sum("horizon_days").alias("days"))
 
 
 @query("src5_malformed_lines", "SELECT count(*) AS n FROM events WHERE event_id % 4 <> 0")
 def src5(spark, d):
-    path = scratch(spark, "lines")
+    path = stored.place(spark, "lines")
     line = F.when(F.col("event_id") % 4 == 0, "{bad").otherwise(F.concat(F.lit('{"doc_key": "'), F.col("event_id").cast("string"), F.lit('", "confidence": 0.5}')))
     table(spark, d, "events").select(line.alias("value")).write.text(path)
     return io.records(spark, path, strict=False).where("doc_key is not null").agg(F.count("doc_key").alias("n"))
@@ -253,21 +232,21 @@ def tx22(spark, d):
 @query("src7_bank_table", f"WITH {X.MASS} SELECT count(*) AS n, round(sum(mass), 6) AS mass, sum(docs)::BIGINT AS docs FROM mass")
 def src7(spark, d):
     """SRC7 and SNK2."""
-    path = scratch(spark, "bank")
+    path = stored.place(spark, "bank")
     io.write_bank(X.mass(spark, d), path)
     return io.bank(spark, path).agg(F.count(F.lit(1)).alias("n"), R(F.sum("mass")).alias("mass"), F.sum("docs").alias("docs"))
 
 
 @query("src9_filtered_csv", "SELECT count(*) AS n FROM documents WHERE source = 'src5' OR lang = 'src5'")
 def src9(spark, d):
-    path = scratch(spark, "tokens")
+    path = stored.place(spark, "tokens")
     table(spark, d, "documents").select("doc_id", F.concat_ws(",", "lang", "source").alias("currencies")).write.option("header", True).csv(path)
     return io.filtered_csv(spark, path, "currencies", "SRC5").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk4_append", f"WITH {X.STEPS} SELECT 2 * count(*) AS n, round(2 * sum(y), 4) AS y FROM steps")
 def snk4(spark, d):
-    path = scratch(spark, "answers")
+    path = stored.place(spark, "answers")
     rows = X.steps(spark, d).select(F.col("base").alias("pred"), F.col("y").alias("true"))
     io.append(rows, path)
     io.append(rows, path)
@@ -277,7 +256,7 @@ def snk4(spark, d):
 @query("snk5_debug_rows", f"WITH {X.NUMBERED} SELECT series_id, i AS start, {X.HORIZON} AS n FROM numbered WHERE i % {X.STRIDE} = 0 AND i <= n - {X.HISTORY + X.HORIZON}")
 def snk5(spark, d):
     """SNK5 and TX30: array cells are JSON text."""
-    path = scratch(spark, "debug")
+    path = stored.place(spark, "debug")
     io.write_debug(X.samples(spark, d).select("series_id", "start", "target"), path)
     back = spark.read.csv(path, header=True, schema="series_id string, start long, target string", escape="\\")
     return back.select("series_id", "start", F.size(F.from_json("target", "array<double>")).cast("bigint").alias("n"))
@@ -285,7 +264,7 @@ def snk5(spark, d):
 
 @query("snk6_ledger_file", "SELECT o_orderkey % 10 AS task, CASE WHEN o_orderkey % 10 < 5 THEN 2 ELSE 1 END AS v FROM orders GROUP BY 1, 2")
 def snk6_ledger(spark, d):
-    path = scratch(spark, "ledger")
+    path = stored.place(spark, "ledger")
     o = table(spark, d, "orders").select((F.col("o_orderkey") % 10).alias("task")).distinct()
     io.upsert(spark, path, o.withColumn("v", F.lit(1).cast("bigint")), "task")
     return io.upsert(spark, path, o.where("task < 5").withColumn("v", F.lit(2).cast("bigint")), "task")
@@ -322,7 +301,7 @@ def ma16(spark, d):
 
 @query("ma17_mutual_information")
 def ma17(spark, d):
-    """MA17 and MA18: lags of the bank against daily means, with 50 permutations."""
+    """MA17 and MA18: lags of the bank against daily means, with 200 permutations."""
     pairs = etl.lag_aligned(_daily_bank(spark, d), _daily_target(spark, d), (0, 1, 2, 3))
-    x = models.information_test(pairs, ["lag"], ["mass"], "y", 50)
+    x = models.information_test(pairs, ["lag"], ["mass"], "y", 200)
     return x.select("lag", R("mi").alias("mi"), R("p_value").alias("p_value"), models.verdict((F.col("p_value") < 0.05).cast("double")).alias("verdict"))

@@ -51,15 +51,6 @@ def ops11(spark, d):
     return news.first_wins(table(spark, d, "documents"), text.title_identity(F.col("text")), ["doc_id"]).select("doc_id")
 
 
-@query("ops15_sorted_desc", f"WITH {_ART} SELECT pos, row_number() OVER (ORDER BY date DESC, title DESC, pos) AS place FROM art ORDER BY date DESC, title DESC, pos LIMIT 50")
-def ops15(spark, d):
-    """A report of the first fifty by date and title."""
-    from pyspark.sql.window import Window
-
-    top = articles(spark, d).orderBy(F.desc("date"), F.desc("title"), "pos").limit(50)
-    return top.select("pos", F.row_number().over(Window.orderBy(F.desc("date"), F.desc("title"), "pos")).cast("bigint").alias("place"))
-
-
 @query("ops15_sorted_all", f"WITH {_ART} SELECT pos, row_number() OVER (ORDER BY date DESC, title DESC, pos) AS place FROM art")
 def ops15_all(spark, d):
     """The place of every article by date and title."""
@@ -354,12 +345,16 @@ def tx31(spark, d):
     return table(spark, d, "events").select("event_id", text.count_text(v).alias("t"))
 
 
-@query("flt13_masked_secrets", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'abcd***wxyz' WHEN 1 THEN '***' WHEN 2 THEN 'visible-value' ELSE '' END AS v, CASE event_id % 4 WHEN 0 THEN 'News' WHEN 1 THEN 'Other' WHEN 2 THEN 'Delta V3' ELSE 'Other' END AS section FROM events")
+#: Sections of this query's argument keys.
+_SECTIONS = {"News": "^news_", "Residual model": "^delta_", "Data": "_file$"}
+
+
+@query("flt13_masked_secrets", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'abcd***wxyz' WHEN 1 THEN '***' WHEN 2 THEN 'visible-value' ELSE '' END AS v, CASE event_id % 4 WHEN 0 THEN 'News' WHEN 1 THEN 'Other' WHEN 2 THEN 'Residual model' ELSE 'Other' END AS section FROM events")
 def flt13(spark, d):
     """FLT13 and FLT14."""
     at = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % 4 + 1).cast("int"))
-    key = at("news_api_key_API_KEY", "hf_token", "delta_v3_token_budget", "password")
-    return table(spark, d, "events").select("event_id", text.mask_secret(key, at("abcd-secret-wxyz", "short", "visible-value", "")).alias("v"), text.section(key).alias("section"))
+    key = at("news_api_key_API_KEY", "hf_token", "delta_token_budget", "password")
+    return table(spark, d, "events").select("event_id", text.mask_secret(key, at("abcd-secret-wxyz", "short", "visible-value", "")).alias("v"), text.section(key, _SECTIONS).alias("section"))
 
 
 @query("tx23_feed_items", "SELECT event_id, 'Item ' || event_id AS title, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN event_id % 2 = 0 THEN 'full' ELSE 'short' END AS body FROM events WHERE event_id % 5 <> 0")

@@ -194,13 +194,6 @@ def flt4(spark, d):
     return windows.sliding(s, 24, 6, 12).select("series_id", F.col("start").cast("bigint").alias("start"), T(F.col("history_times")[0]).alias("t"))
 
 
-@query("ops18_cadence_thinning", """WITH RECURSIVE o AS (SELECT user_id, date_trunc('second', ts) AS t FROM events WHERE user_id < 20 GROUP BY ALL), k AS (SELECT user_id, min(t) AS t FROM o GROUP BY 1
-UNION ALL SELECT k.user_id, (SELECT min(o.t) FROM o WHERE o.user_id = k.user_id AND o.t >= k.t + INTERVAL 2 DAY) FROM k WHERE k.t IS NOT NULL) SELECT user_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS t FROM k WHERE t IS NOT NULL""")
-def ops18(spark, d):
-    e = table(spark, d, "events").where("user_id < 20").select("user_id", F.date_trunc("SECOND", "ts").cast("timestamp_ntz").alias("at"))
-    return splits.thinned(e, "at", 2, ["user_id"]).distinct().select("user_id", T("at").alias("t"))
-
-
 @query("ops18_cadence_all_users", """WITH RECURSIVE o AS (SELECT user_id, date_trunc('second', ts) AS t FROM events GROUP BY ALL), k AS (SELECT user_id, min(t) AS t FROM o GROUP BY 1
 UNION ALL SELECT k.user_id, min(o.t) FROM k JOIN o ON o.user_id = k.user_id AND o.t >= k.t + INTERVAL 2 DAY GROUP BY k.user_id) SELECT user_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS t FROM k""")
 def ops18_all(spark, d):
