@@ -32,9 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = runtime.durable(edges.select("u", "v").where("u <> v").distinct(), "edges")
     seen = None
     while True:
-        edges = runtime.durable(_star(_star(edges, True), False), "stars")
+        before, edges = edges, runtime.durable(_star(_star(edges, True), False), "stars")
+        runtime.drop(before)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
         seen = tuple(state)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    found = runtime.durable(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()), "components")
+    runtime.drop(edges)
+    return found

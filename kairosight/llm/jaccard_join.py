@@ -397,9 +397,9 @@ def _sharpened(pairs: DataFrame, sharp: DataFrame, rule: Rule) -> DataFrame:
 def _verify(pairs: DataFrame, docs: DataFrame, sharp: DataFrame, rule: Rule) -> DataFrame:
     """(u, v) of the pairs (a, b) of ids whose texts link, from whole sets."""
     spark = docs.sparkSession
-    pairs = runtime.durable(_sharpened(pairs, sharp, rule), "likely")
+    likely = runtime.durable(_sharpened(pairs, sharp, rule), "likely")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    needed = likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct()
     from_one = place("rep") + 1  # bitmap functions count from 1
     marks = needed.groupBy(F.bitmap_bucket_number(from_one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(from_one)).alias("bits")).collect()
     filled = np.zeros(FILTER_BITS, bool)  # a fixed number of bits, whatever the corpus
@@ -429,7 +429,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, sharp: DataFrame, rule: Rule) ->
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", place(F.col("doc_id").cast("bigint")).alias("place"))
     content = runtime.map_batches(read, sets, "rep bigint, key bigint, body binary")
     content = content.join(needed, "rep", "left_semi").dropDuplicates(["rep", "key"])
-    return _past_hubs(pairs, content, fits, "u", "v").select("u", "v")
+    links = runtime.durable(_past_hubs(likely, content, fits, "u", "v").select("u", "v"), "links")
+    runtime.drop(likely)
+    return links
 
 
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -450,17 +452,22 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     to_hub = members.join(hub, "signature").where(F.col("rep") != -F.col("hub.order")).withColumn("differ", differ).where(may)
     best = to_hub.groupBy("rep", "key").agg(F.min(F.struct("differ", (-F.col("hub.order")).alias("a"), F.col("hub.key").alias("key_a"))).alias("best"))
     pairs = runtime.durable(best.select(F.col("best.a").alias("a"), F.col("rep").alias("b"), F.col("best.key_a").alias("key_a"), F.col("key").alias("key_b")), "to-hubs")
-    links = runtime.durable(_verify(pairs, docs, sharp, rule), "links")
+    links = _verify(pairs, docs, sharp, rule)
 
-    found = runtime.durable(components.components(links), "components")
+    found = components.components(links)
     labelled = nodes.drop("sharp", "popularity").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = _across(groups, runtime.durable(labelled, "labelled"), rule).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    labelled = runtime.durable(labelled, "labelled")
+    more = _across(groups, labelled, rule).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     keys = nodes.select("rep", "key")
     more = runtime.durable(more.join(keys.select(F.col("rep").alias("a"), F.col("key").alias("key_a")), "a").join(keys.select(F.col("rep").alias("b"), F.col("key").alias("key_b")), "b"), "across")
+    runtime.drop(groups, labelled, pairs)
     if not more.isEmpty():
-        others = runtime.durable(_verify(more, docs, sharp, rule), "links")
+        others = _verify(more, docs, sharp, rule)
         if not others.isEmpty():
-            found = runtime.durable(components.components(links.union(others)), "components")
+            before, found = found, components.components(links.union(others))
+            runtime.drop(before)
+        runtime.drop(others)
+    runtime.drop(links, more, nodes)
 
     labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = prepared.select("doc_id", "n", "key").join(labels, "key", "left")

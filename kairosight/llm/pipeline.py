@@ -21,7 +21,7 @@ NEAR = jaccard_join.Rule(shingle=5, percent=80)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps."""
+    """Documents that the current policy keeps by the ledger, which is stored beside the rows."""
     return quality_rules.keep(docs)
 
 

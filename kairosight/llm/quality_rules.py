@@ -152,19 +152,27 @@ def passes(bits, policy: str = CURRENT):
     return bits.bitwiseAND(F.lit(POLICIES[policy])) == F.lit(0)
 
 
-def keep(docs: DataFrame, policy: str = CURRENT, limits: Limits = Limits()) -> DataFrame:
-    """The rows of docs that the policy keeps, with their columns and nothing else.
+def ledger_with_rows(docs: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, str]:
+    """docs with one more column, a struct of the measurements and fail_bits, stored as a table; and that column's name."""
+    columns, name = docs.columns, "ledger"
+    while name in {c.lower() for c in columns}:
+        name += "_"
+    fields = [*MEASURES, "fail_bits"]
+    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in docs.dtypes), f"{name} struct<{', '.join(f'{x}: bigint' for x in fields)}>"])
 
-    The ledger is stored without the text, under a 64-bit key of id and text; rejected keys then leave docs by an
-    anti-join, which Spark broadcasts where they are few and may split where one key has many rows.
-    """
-    key = "key"
-    while key in {c.lower() for c in docs.columns}:
-        key += "_"
-    keyed = docs.withColumn(key, F.xxhash64(docs["doc_id"], docs["text"]))
-    found = runtime.durable(ledger(keyed, limits, ("doc_id", key)), "ledger")
-    rejected = found.where(~passes(F.col("fail_bits"), policy)).select(key)
-    return keyed.join(rejected, key, "left_anti").select(*docs.columns)
+    def run(batch: pa.RecordBatch):
+        for part in words.chunks(batch, "text"):
+            m = measure(*words.column(part, "text"))
+            own = pa.StructArray.from_arrays([*(pa.array(m[k]) for k in MEASURES), pa.array(evaluate(m, limits))], names=fields)
+            yield pa.RecordBatch.from_arrays([*part.columns, own], names=[*columns, name])
+
+    return runtime.durable(runtime.map_batches(docs, run, schema), "ledger"), name
+
+
+def keep(docs: DataFrame, policy: str = CURRENT, limits: Limits = Limits()) -> DataFrame:
+    """The rows of docs that the policy keeps by the stored ledger, with their columns and nothing else."""
+    found, name = ledger_with_rows(docs, limits)
+    return found.where(passes(F.col(f"{name}.fail_bits"), policy)).select(*docs.columns)
 
 
 def ablations(found: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import gc
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -63,11 +64,25 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/kairosight/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # shuffle files of what is written now go once the driver's references do
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[id(found)] = path
+    weakref.finalize(found, _paths.pop, id(found), None)
+    return found
+
+
+_paths: dict[int, str] = {}
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that durable() returned and that nothing reads any more."""
+    for found in tables:
+        path = _paths.pop(id(found), None)
+        if path:
+            _remove(found.sparkSession, path)
 
 
 #: Bytes of an Arrow batch that Python gets, where the session sets none.
