@@ -2,7 +2,8 @@
 
 Values fall into buckets that keep their order: by sign, power of two and a 4096th of it, then by a 4096th of the bucket.
 Counts of the buckets (a bounded number, combined before the shuffle) tell which one holds each wanted rank; only the
-distinct values of that bucket are counted one by one.
+distinct values of that bucket are counted one by one.  The values alone are stored once in the shared folder, so that what
+they come from is not evaluated for each step.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stored import stored
+
 #: Cuts of a power of two, and of each of those.
 CUTS = 4096
 
@@ -40,7 +43,8 @@ def _located(counts: DataFrame, by: list[str], order: str, targets: DataFrame) -
 def quantiles(df: DataFrame, value: str | Column, probabilities: list[float]) -> DataFrame:
     """One row, q: the quantiles with linear interpolation between neighbouring ranks; nulls do not count, no value gives nulls."""
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
-    rows = df.select(x.alias("x")).where("x is not null").select("x", _bucket(F.col("x")).alias("b"), _finer(F.col("x")).alias("f"))
+    values = stored(df.select(x.alias("x")).where("x is not null"), "values")  # read three times
+    rows = values.select("x", _bucket(F.col("x")).alias("b"), _finer(F.col("x")).alias("f"))
     buckets = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     ranks = [F.floor(F.lit(float(p)) * (F.col("n") - 1)) + up for p in probabilities for up in (0, 1)]
     total = buckets.agg(F.sum("n").alias("n"))
