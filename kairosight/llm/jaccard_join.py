@@ -49,6 +49,8 @@ COMMON, COMMON_HITS, SAMPLE = 1 << 17, 5, 20_000
 BLOCK = 1024
 #: Bits of the filter that spares most texts of the second reading; it never decides.
 FILTER_BITS = 1 << 23
+#: Bits of a signature.  Signatures that are equal by chance only add candidates; each byte fewer is one less to shuffle for every signature.
+SIGNATURE = U((1 << 48) - 1)
 #: Classes that one task remembers so as not to sign them again; it never decides.
 REMEMBERED = 200_000
 
@@ -141,7 +143,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, rule: Rule, com
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     docs, sigs = np.concatenate(docs), np.concatenate(sigs)
     order = np.argsort(docs, kind="stable")
-    return docs[order], sigs[order]
+    return docs[order], sigs[order] & SIGNATURE
 
 
 def class_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
