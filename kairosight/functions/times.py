@@ -42,6 +42,30 @@ ARTICLE = (
     "MMMM d, yyyy",
 )
 BANK = ("d-M-yyyy h:mm:ss a", "d-M-yyyy H:mm:ss", "yyyy-M-d H:mm:ss", "yyyy-M-d")
+#: Further day-first forms, tried where no article format fits.
+LENIENT = (
+    "d MMMM yyyy H:mm:ss",
+    "d MMMM yyyy H:mm",
+    "d MMMM yyyy",
+    "d MMM yyyy H:mm:ss",
+    "d MMM yyyy H:mm",
+    "d MMM yyyy",
+    "MMMM d yyyy H:mm:ss",
+    "MMMM d yyyy H:mm",
+    "MMMM d yyyy",
+    "MMM d yyyy H:mm:ss",
+    "MMM d yyyy H:mm",
+    "MMM d yyyy",
+    "d.M.yyyy H:mm:ss",
+    "d.M.yyyy H:mm",
+    "d.M.yyyy",
+    "yyyy.M.d",
+    "yyyyMMdd",
+    "M/d/yyyy H:mm:ss",
+    "M/d/yyyy H:mm",
+    "M/d/yyyy",
+    "M-d-yyyy",
+)
 SITE = ("yyyy-MM-dd", "d MMMM yyyy", "MMMM d, yyyy", "d MMM yyyy", "MMM d, yyyy", "dd/MM/yyyy", "d.M.yyyy")
 COLUMN_FIXES = ("d/M/yyyy H:mm", "d/M/yyyy", "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm", "yyyy-M-d", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy-d-M H:mm")
 
@@ -71,6 +95,14 @@ def article_time(text: Column) -> Column:
     return F.coalesce(_iso(F.regexp_replace(t, r"\s*(Z|[+-]\d{2}:?\d{2})$", "")), _first(t, ARTICLE))
 
 
+def lenient_time(text: Column) -> Column:
+    """The article's time, else a day-first reading without weekday, ordinals, commas and zone names; month first where the day fits no month."""
+    t = F.regexp_replace(_squeezed(text), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? ", "")
+    t = F.regexp_replace(t, r"(?i)(?<=\d)(st|nd|rd|th)\b( of\b)?", "")
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i) ?(GMT|UTC|UT|Z)$", ""), r",", ""))
+    return F.coalesce(article_time(text), _first(t, LENIENT))
+
+
 def article_time_text(text: Column) -> Column:
     """The article's time to the second as ISO text, or the empty string."""
     return F.coalesce(F.date_format(article_time(text), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))

@@ -48,6 +48,28 @@ def attempt(call, retries: int, delay: float):
             time.sleep(delay * 2**n)
 
 
+class SoftLimit(OSError):
+    """A reply that is a notice, such as a request to try again, instead of rows."""
+
+
+def rows_of(reply) -> list[dict]:
+    """The rows of a decoded reply: a list, or an object with the list as its articles; a notice is an error."""
+    if isinstance(reply, dict):
+        reply = reply.get("articles")
+    if not isinstance(reply, list):
+        raise SoftLimit(str(reply)[:160])
+    return reply
+
+
+def halves(window: Window, least: timedelta) -> list[Window]:
+    """The window cut in two at a whole second, or nothing if a half would be shorter than `least`."""
+    start, end = datetime.fromisoformat(window.start), datetime.fromisoformat(window.end)
+    middle = (start + (end - start) / 2).replace(microsecond=0)
+    if min(middle - start, end - middle) < max(least, timedelta(seconds=1)):
+        return []
+    return [Window(start.isoformat(), middle.isoformat(), window.chunk), Window(middle.isoformat(), end.isoformat(), window.chunk)]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.o = options
@@ -59,15 +81,25 @@ class _Reader(DataSourceReader):
     def read(self, partition) -> Iterator[tuple]:
         module, name = self.o["transport"].rsplit(".", 1)
         fetch = getattr(importlib.import_module(module), name)
-        parameters = {"start": partition.start, "end": partition.end, "keys": partition.chunk, "query": self.o.get("query", "")}
-        rows = attempt(lambda: fetch(self.o["url"], parameters), int(self.o.get("retries", "3")), float(self.o.get("delay", "1")))
-        full = len(rows) >= int(self.o.get("limit", str(SATURATED)))
-        for r in rows:
-            yield partition.start, partition.end, partition.chunk, full, json.dumps(r)
+        limit, least = int(self.o.get("limit", str(SATURATED))), self.o.get("least_minutes")
+        waiting = [partition]
+        while waiting:
+            w = waiting.pop()
+            parameters = {"start": w.start, "end": w.end, "keys": w.chunk, "query": self.o.get("query", "")}
+            rows = attempt(lambda p=parameters: rows_of(fetch(self.o["url"], p)), int(self.o.get("retries", "3")), float(self.o.get("delay", "1")))
+            full = len(rows) >= limit
+            parts = halves(w, timedelta(minutes=float(least))) if full and least else []
+            waiting += reversed(parts)
+            for r in [] if parts else rows:
+                yield w.start, w.end, w.chunk, full, json.dumps(r)
 
 
 class WindowedService(DataSource):
-    """Rows: window_start, window_end, keys, saturated, row (JSON text)."""
+    """Rows: window_start, window_end, keys, saturated, row (JSON text).
+
+    With the option least_minutes, a window whose reply is cut off is asked for again in halves, down to halves of that
+    length; without it, and at that length, its rows are marked as saturated.
+    """
 
     @classmethod
     def name(cls):

@@ -1,5 +1,19 @@
-"""A transport without a network, for trying out connectors."""
+"""Transports without a network, for trying out connectors."""
+
+from datetime import datetime, timedelta
 
 
 def replies(url: str, parameters: dict) -> list[dict]:
     return [{"id": i, "from": parameters["start"]} for i in range(3)]
+
+
+def hourly(url: str, parameters: dict) -> dict:
+    """One row an hour of [start, end), cut off after ten."""
+    start, end = (datetime.fromisoformat(parameters[k]) for k in ("start", "end"))
+    at = start.replace(minute=0, second=0) + timedelta(hours=start.minute + start.second > 0)
+    hours = range(max(0, -(-int((end - at).total_seconds()) // 3600)))
+    return {"articles": [{"at": (at + timedelta(hours=h)).isoformat()} for h in hours][:10]}
+
+
+def notice(url: str, parameters: dict) -> str:
+    return "Please try your request again"
