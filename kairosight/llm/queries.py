@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, hash_forest, html_extraction, jaccard_join, lbl_model, license_scan, packing, pipeline, quality_rules, substring_dedup, token_counts
+from . import bpe_trie, collocations, fill_in_middle, hash_forest, html_extraction, jaccard_join, lbl_model, license_scan, packing, pipeline, quality_rules, substring_dedup, token_counts, toxicity
 from .runtime import table
 
 
@@ -55,6 +55,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.query(table(spark, sf_dir, "documents"), substring_dedup.WHOLE)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.query(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.query(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_hash_prefix_forest": op2_hash_prefix_forest,
@@ -67,6 +79,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe_trie": op9_bpe_trie,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_toxicity": op13_toxicity,
     "pipeline": pipeline.run,
 }
-ORACLE: dict[str, str] = {"op5_license_scan": license_scan.oracle()}
+ORACLE: dict[str, str] = {
+    "op5_license_scan": license_scan.oracle(),
+    "op11_phrase_collocations": collocations.oracle(),
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
+}

@@ -115,12 +115,16 @@ def _end() -> None:
         pass
 
 
-def map_tasks(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of a task's batches, which are bounded in bytes."""
-    spark = df.sparkSession
+def prepare_batches(spark: SparkSession) -> None:
+    """Send the package to the workers, and bound Arrow batches in bytes where the session does not."""
     ship(spark)
     if not spark.conf.get(_BATCH, None):
         spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def map_tasks(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with a function of a task's batches, which are bounded in bytes."""
+    prepare_batches(df.sparkSession)
     name = f"{fn.__module__}.{fn.__qualname__}"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
