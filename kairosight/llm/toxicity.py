@@ -1,22 +1,25 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary texts, share their backoff.  A model takes from each pair of words it has seen
-a discount and gives it to its continuation counts (in how many contexts a word was seen in that class); what these give up
-goes to the continuation counts of both classes together.  Words and pairs that are too rare for counts of their own are
-scored by what is shared, so they tell the classes apart by little.  A text's score compares the two log-likelihoods,
-normalised by its length and by the square root of it (noise of the sum grows with the root), through a logistic curve.
-
-Counts are learned from a bounded sample of labelled rows (`rows_a_class` of each class), the curve from others
-(`curve_rows`), so that a model has a bounded size and can be sent to every task; `words_kept` and `pairs_kept` bound what
-of it is sent.  All texts are scored whole, in one pass without a shuffle.
+Two models, of toxic and of ordinary texts.  For a word behind another one, each takes a discount from its own counts of that
+pair and gives it to the counts of the pair in both classes together; what those give up goes to the word's continuation
+counts in the class (in how many contexts it was seen there), discounted again in favour of the continuation counts of both
+classes.  So rare expressions are scored by shared counts, and words too rare for counts of their own are one expression.
+A toxic text is mostly ordinary: its likelihood mixes a small share of the toxic model into the ordinary one, which keeps
+chance differences of ordinary words, or of a text's language, from adding up.  A text's score compares the two
+log-likelihoods over its distinct pairs of words, normalised by their number and by the root of it (noise of the sum grows
+with the root), through a logistic curve.
+
+Counts are learned from a bounded sample of labelled rows (`toxic_rows`, and `ordinary_each` ordinary rows for each), the
+curve from others (`curve_rows` of each class), so that a model has a bounded size and can be sent to every task;
+`words_kept` and `pairs_kept` bound what of it is sent.  All texts are scored whole, in one pass without a shuffle.
 
 Words are runs of letters, digits and bytes beyond ASCII, A-Z like a-z, equal by 64-bit hashes.  Labels, language, source and
 id are no inputs of a score.
 
 Defined cases: a null or empty text and one without words have no evidence and get the curve's value at zero; rows with a null
 id are held out and scored; labels that are null or neither 0 nor 1, or without an id, teach nothing; an id with several
-labels is toxic if one says so; repeated rows are scored alike; without labels of both classes every score is 0.5 times the
-share of toxic ones, or 0; other columns are ignored; an empty table gives no rows.
+labels is toxic if one says so; repeated rows are scored alike; without counted rows of both classes every score is half the
+share of toxic ones, or 0; other columns are ignored; an empty table gives no rows; a very long text needs memory for itself.
 """
 
 from __future__ import annotations
@@ -40,12 +43,15 @@ _HASHES = 1 << 30
 
 @dataclass(frozen=True)
 class Rule:
-    """Sizes of the sample and of the model, and the discount."""
+    """Sizes of the sample, counts from which words and pairs are kept, the discount, the toxic share of a toxic text, bounds of the model."""
 
-    rows_a_class: int = 16_384
+    toxic_rows: int = 8_192
+    ordinary_each: int = 3
     curve_rows: int = 4_096
-    least: int = 4
-    discount: float = 0.75
+    least_word: int = 5
+    least_pair: int = 16
+    discount: float = 0.5
+    toxic_share: float = 0.005
     words_kept: int = 1 << 19
     pairs_kept: int = 1 << 20
     seed: int = 13
@@ -72,45 +78,47 @@ def _pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Table:
-    """Rows of two numbers, by sorted keys."""
+    """Rows of numbers by sorted keys: of toxic texts, of ordinary ones, and for pairs and contexts of both together."""
 
     keys: np.ndarray
-    toxic: np.ndarray
-    ordinary: np.ndarray
+    values: tuple[np.ndarray, ...]
 
     @classmethod
-    def of(cls, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Table:
+    def of(cls, keys: np.ndarray, *values: np.ndarray) -> Table:
         order = np.argsort(keys)
-        return cls(keys[order], toxic[order], ordinary[order])
+        return cls(keys[order], tuple(v[order] for v in values))
 
-    def get(self, keys: np.ndarray, missing: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    def get(self, keys: np.ndarray, missing: tuple[float, ...]) -> tuple[np.ndarray, ...]:
         if not len(self.keys):
-            return np.full(len(keys), missing[0]), np.full(len(keys), missing[1])
+            return tuple(np.full(len(keys), m) for m in missing)
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0
         hit = self.keys[at] == keys
-        return np.where(hit, self.toxic[at], missing[0]), np.where(hit, self.ordinary[at], missing[1])
+        return tuple(np.where(hit, v[at], m) for v, m in zip(self.values, missing, strict=True))
 
 
 @dataclass
 class Model:
-    """What the tasks need: continuation shares of words, discounted shares of pairs, and what contexts leave to words."""
+    """What the tasks need: shares of words and of pairs, and what contexts leave to the level below."""
 
     words: Table
     rare: tuple[float, float]
     pairs: Table
     contexts: Table
+    toxic_share: float
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words, and log-likelihood as toxic less that as ordinary, of each text."""
+        """Distinct pairs of words, and log-likelihood as toxic less that as ordinary, of each text."""
         text, h, before = _tokens(data, offsets)
-        n = len(offsets) - 1
-        a, b = self.words.get(h, self.rare)
-        pair_a, pair_b = self.pairs.get(_pair(before, h), (0.0, 0.0))
-        left_a, left_b = self.contexts.get(before, (1.0, 1.0))
-        more = np.log(pair_a + left_a * a) - np.log(pair_b + left_b * b)
-        return np.bincount(text, minlength=n), np.bincount(text, more, minlength=n)
+        pair, n = _pair(before, h), len(offsets) - 1
+        _, once = np.unique(words.mix(pair + text.astype(np.uint64) * words._factor(2)), return_index=True)
+        text, h, before, pair = text[once], h[once], before[once], pair[once]
+        toxic, ordinary = self.words.get(h, self.rare)
+        pair_toxic, pair_ordinary, pair_both = self.pairs.get(pair, (0.0, 0.0, 0.0))
+        left_toxic, left_ordinary, left_both = self.contexts.get(before, (1.0, 1.0, 1.0))
+        ratio = (pair_toxic + left_toxic * (pair_both + left_both * toxic)) / (pair_ordinary + left_ordinary * (pair_both + left_both * ordinary))
+        return np.bincount(text, minlength=n), np.bincount(text, np.log1p(self.toxic_share * (ratio - 1)), minlength=n)
 
     def score(self, size: np.ndarray, evidence: np.ndarray) -> np.ndarray:
         one, root, base = self.curve
@@ -126,10 +134,11 @@ def _sample(labels: DataFrame, rule: Rule) -> DataFrame:
     sizes = {(r.toxic, r.curve): r["n"] for r in taught.groupBy("toxic", "curve").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
     chosen, weight = F.lit(False), F.lit(0.0)
     for (toxic, curve), n in sizes.items():
-        share = min(1.0, (rule.curve_rows if curve else rule.rows_a_class) / n)
+        wanted = rule.curve_rows if curve else rule.toxic_rows if toxic else rule.ordinary_each * min(rule.toxic_rows, sizes.get((1, False), 0))
+        share = min(1.0, wanted / n)
         kind = (F.col("toxic") == toxic) & (F.col("curve") == curve)
         chosen = chosen | (kind & (F.pmod(F.xxhash64("doc_id", F.lit(rule.seed)), F.lit(_HASHES)) < int(share * _HASHES)))
-        weight = F.when(kind, 1 / share).otherwise(weight)
+        weight = F.when(kind, 1 / share if share else 0.0).otherwise(weight)
     return taught.where(chosen).withColumn("weight", weight)
 
 
@@ -170,32 +179,34 @@ def fit(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> Model | floa
     chosen = runtime.durable(_sample(labels, rule), "toxicity-sample")
     taught = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # as many rows as the rule says
     pairs = runtime.durable(_pairs(taught.where("not curve")), "toxicity-pairs")
-    d = F.lit(rule.discount)
-    less = lambda c: F.greatest(F.col(c) - d, F.lit(0.0))
-    single = pairs.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count_if(F.col("toxic") > 0).alias("in_toxic"), F.count_if(F.col("ordinary") > 0).alias("in_ordinary"), F.count(F.lit(1)).alias("contexts"))
-    single = runtime.durable(single, "toxicity-words")
-    all_toxic, all_ordinary, contexts, vocabulary = single.agg(F.sum("in_toxic"), F.sum("in_ordinary"), F.sum("contexts"), F.count(F.lit(1))).first()
-    if not all_toxic or not all_ordinary:
+    single = runtime.durable(pairs.groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("ordinary") > 0).alias("ordinary")), "toxicity-words")  # contexts of each word
+    totals = single.agg(F.sum("toxic"), F.sum("ordinary")).first()
+    if not totals[0] or not totals[1]:
         share = chosen.agg(F.sum(F.col("weight") * F.col("toxic")) / F.sum("weight")).first()[0]
         return float(share or 0.0)
-    kept = single.where(F.col("toxic") + F.col("ordinary") >= _threshold(single, rule.least, rule.words_kept)).toArrow()  # words_kept rows at most
-    in_toxic, in_ordinary, seen = (np.asarray(kept[c]).astype(float) for c in ("in_toxic", "in_ordinary", "contexts"))
-    shared = (seen + 0.5) / (contexts + 0.5 * (vocabulary + 1))
-    rare = 0.5 / (contexts + 0.5 * (vocabulary + 1))
-    own = [np.maximum(k - rule.discount, 0) / total for k, total in ((in_toxic, all_toxic), (in_ordinary, all_ordinary))]
-    left = [1 - x.sum() for x in own]
-    word_table = Table.of(np.asarray(kept["word"]).view(np.uint64), own[0] + left[0] * shared, own[1] + left[1] * shared)
-
-    often = F.col("toxic") + F.col("ordinary") >= _threshold(pairs, rule.least, rule.pairs_kept)
-    sums = [F.sum("toxic").alias("n1"), F.sum("ordinary").alias("n0"), *(F.sum(F.when(often, less(c)).otherwise(0.0)).alias(f"m{i}") for i, c in ((1, "toxic"), (0, "ordinary")))]
+    often = F.col("toxic") + F.col("ordinary") >= _threshold(single, rule.least_word, rule.words_kept)
+    kept = single.where(often).toArrow()  # words_kept rows at most
+    part = [np.asarray(kept[c]) / n for c, n in zip(("toxic", "ordinary"), totals, strict=True)]
+    own = [np.maximum(p - rule.discount / n, 0) for p, n in zip(part, totals, strict=True)]
+    shared = (part[0] + part[1]) / max((part[0] + part[1]).sum(), 1e-300)
+    shares = [o + (p.sum() - o.sum()) * shared for o, p in zip(own, part, strict=True)]
+    rare = tuple(max(1 - p.sum(), 1e-9) for p in part)
+
+    often = F.col("toxic") + F.col("ordinary") >= _threshold(pairs, rule.least_pair, rule.pairs_kept)
+    kinds = {"toxic": F.col("toxic"), "ordinary": F.col("ordinary"), "both": F.col("toxic") + F.col("ordinary")}
+    less = {k: F.greatest(c - F.lit(rule.discount), F.lit(0.0)) for k, c in kinds.items()}
+    sums = [x for k, c in kinds.items() for x in (F.sum(c).alias(f"n_{k}"), F.sum(F.when(often, less[k]).otherwise(0.0)).alias(f"m_{k}"))]
     around = runtime.durable(pairs.groupBy("before").agg(*sums, F.bool_or(often).alias("some")).where("some").drop("some"), "toxicity-contexts")
-    share = lambda c, m: F.when(F.col(c) > 0, F.col(m) / F.col(c)).otherwise(0.0)
-    contexts_kept = around.select("before", (1 - share("n1", "m1")).alias("toxic"), (1 - share("n0", "m0")).alias("ordinary")).toArrow()  # pairs_kept rows at most
-    discounted = pairs.where(often).join(around, "before").select("before", "word", *(F.when(F.col(n) > 0, less(c) / F.col(n)).otherwise(0.0).alias(c) for c, n in (("toxic", "n1"), ("ordinary", "n0")))).toArrow()
-    columns = lambda t: (np.asarray(t["toxic"]), np.asarray(t["ordinary"]))
+    of = lambda c, k: F.when(F.col(f"n_{k}") > 0, c / F.col(f"n_{k}")).otherwise(0.0)
+    left = around.select("before", *((1 - of(F.col(f"m_{k}"), k)).alias(k) for k in kinds)).toArrow()  # pairs_kept rows at most
+    discounted = pairs.where(often).join(around, "before").select("before", "word", *(of(less[k], k).alias(f"p_{k}") for k in kinds)).toArrow()  # the same
     hashes = lambda t, c: np.asarray(t[c]).view(np.uint64)
     model = Model(
-        word_table, (left[0] * rare, left[1] * rare), Table.of(_pair(hashes(discounted, "before"), hashes(discounted, "word")), *columns(discounted)), Table.of(hashes(contexts_kept, "before"), *columns(contexts_kept))
+        Table.of(hashes(kept, "word"), *shares),
+        tuple(r / max(rare) for r in rare),
+        Table.of(_pair(hashes(discounted, "before"), hashes(discounted, "word")), *(np.asarray(discounted[f"p_{k}"]) for k in kinds)),
+        Table.of(hashes(left, "before"), *(np.asarray(left[k]) for k in kinds)),
+        rule.toxic_share,
     )
     found = _evidence(taught.where("curve"), model, ("toxic", "weight")).select("toxic", "weight", "n_words", "evidence").toArrow()  # curve_rows of each class at most
     model.curve = curve(*(np.asarray(found[c]).astype(float) for c in ("toxic", "weight", "n_words", "evidence")))
@@ -206,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> Model | floa
 def curve(toxic: np.ndarray, weight: np.ndarray, size: np.ndarray, evidence: np.ndarray) -> tuple[float, float, float]:
     """Logistic regression on the evidence a word and by the root of the words, each scaled, with a small penalty; evidence never counts against its sign."""
     if not len(toxic) or toxic.min() == toxic.max():
-        return 10.0, 1.0, -2.0
+        return 100.0, 50.0, -5.0
     some = np.maximum(size, 1)
     raw = np.column_stack([evidence / some, evidence / np.sqrt(some)])
     scale = np.maximum(raw.std(0), 1e-9)
