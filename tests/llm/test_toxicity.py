@@ -88,7 +88,7 @@ def by_hand(docs, labels, rule):
 def test_evidence_equals_a_recomputation(spark):
     docs, labels, _ = made_up(4, 250)
     docs += [(1000, "grobnik"), (1001, ""), (1002, "VLATZ vlatz vlatz bala bala unseen")]
-    rule = T.Rule(least_pair=4)
+    rule = T.Rule(least_pair=4, ordinary_each=50)
     model = T.fit(*frames(spark, docs, labels), rule)
     expected = by_hand(docs, labels, rule)
     batch = pa.record_batch([pa.array([t for _, t in docs])], names=["text"])
