@@ -61,20 +61,24 @@ def by_hand(docs, labels, rule):
     own = [{w: max(p[w] - rule.discount / n, 0) for w in kept} for p, n in zip(part, total, strict=True)]
     both = sum(sum(p.values()) for p in part)
     share = [{w: o[w] + (sum(p.values()) - sum(o.values())) * (part[0][w] + part[1][w]) / both for w in kept} for o, p in zip(own, part, strict=True)]
-    rare = [1 - sum(p.values()) for p in part]
+    rare = [max(1 - sum(p.values()), 1e-9) for p in part]
     often = {p for p in pairs[0] | pairs[1] if pairs[0][p] + pairs[1][p] >= rule.least_pair}
     tables = [pairs[0], pairs[1], pairs[0] + pairs[1]]
     after = [defaultdict(int) for _ in tables]
     for t, n in zip(tables, after, strict=True):
         for (v, _), k in t.items():
             n[v] += k
+    given = [defaultdict(float) for _ in tables]
+    for t, g in zip(tables, given, strict=True):
+        for v, w in often:
+            g[v] += max(t[v, w] - rule.discount, 0)
 
     def levels(v, w, y):
-        def pair(t, n):
-            return (max(t[v, w] - rule.discount, 0) / n[v] if (v, w) in often and n[v] else 0.0), 1 - (sum(max(k - rule.discount, 0) for p, k in t.items() if p[0] == v and p in often) / n[v] if n[v] else 0.0)
+        def pair(t, n, g):
+            return (max(t[v, w] - rule.discount, 0) / n[v] if (v, w) in often and n[v] else 0.0), 1 - (g[v] / n[v] if n[v] else 0.0)
 
-        own, left = pair(tables[y], after[y])
-        shared, rest = pair(tables[2], after[2])
+        own, left = pair(tables[y], after[y], given[y])
+        shared, rest = pair(tables[2], after[2], given[2])
         return own + left * (shared + rest * (share[y][w] if w in kept else rare[y] / max(rare)))
 
     def evidence(text):
