@@ -5,10 +5,11 @@ language and phrase, with partial sums before the shuffle.  Phrases that occur o
 cutting one in two is joined to the counts of its first part and of its rest and scored in exact decimals; the lowest score
 counts.  Candidates that a phrase of one word more accounts for go by an anti-join, and windows rank what is left.
 
-A phrase can only be frequent if the phrases in it are.  So rows are made in three steps: words; pairs of frequent words;
-longer phrases of frequent pairs.  Which phrases are frequent is told to the tasks by a Bloom filter (bits in proportion
-to the phrases, up to a bound): what it lets through is counted exactly, and it never keeps a frequent phrase out, so the
-result is that of counting all rows, without the many rows that occur once.  When the filter is full it saves nothing and
+A phrase can only be frequent if the phrases in it are.  So words are counted first; then, as rows of 64-bit hashes alone,
+pairs of frequent words and longer phrases of frequent pairs.  Two phrases with one hash only add up, so a hash that is rare
+tells that its phrases are.  The phrases of frequent hashes are rows of text, counted exactly.  Which hashes are frequent is
+told to the tasks by a Bloom filter (bits in proportion to them, up to a bound), which never keeps a frequent phrase out: the
+result is that of counting all rows of text, without the many that occur once.  When the filter is full it saves nothing and
 changes nothing.
 
 One longer phrase accounts for all shorter ones in it only through phrases between them that are at least as frequent as
@@ -68,7 +69,7 @@ class Pieces:
         size = end - start
         self.at = np.concatenate([[0], np.cumsum(size + 1)])
         source = np.repeat(start - self.at[:-1], size + 1) + np.arange(self.at[-1])
-        self.body = data[np.minimum(source, len(data) - 1)] if len(data) else data
+        self.body = data[np.minimum(source, len(data) - 1)] if len(data) else data.copy()
         self.body[_UPPER[self.body]] += 32
         self.body[self.at[1:] - 1] = 32
 
@@ -107,65 +108,91 @@ def _passes(have: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def filter_of(phrases: DataFrame, n: int) -> Broadcast:
-    """A Bloom filter of phrases(lang, phrase) of n words, for the tasks; the driver gets its words only, 16 MB at most."""
-    spark = phrases.sparkSession
-    bits = max(1 << 10, min(MOST_BITS, 1 << (BITS_EACH * phrases.count()).bit_length()))
+def filter_of(found: DataFrame) -> Broadcast:
+    """A Bloom filter of the hashes in found(h), for the tasks; the driver gets its words only, 16 MB at most."""
+    spark = found.sparkSession
+    bits = max(1 << 10, min(MOST_BITS, 1 << (BITS_EACH * found.count()).bit_length()))
 
     def run(batch: pa.RecordBatch):
-        part = Pieces(*words.column(batch, "phrase"))
-        at = np.flatnonzero(np.diff(part.text, prepend=-1))  # the first word of each phrase
-        h = tokens.combined(part.hash, at, n, _language(batch.column(0)))
-        place = np.concatenate(list(_probes(h, bits)))
+        place = np.concatenate(list(_probes(np.asarray(batch.column(0)).view(np.uint64), bits)))
         yield pa.RecordBatch.from_arrays([pa.array((place >> U(6)).astype(np.int64)), pa.array((U(1) << (place & U(63))).view(np.int64))], names=["slot", "bits"])
 
-    slots = runtime.map_batches(phrases.select("lang", "phrase"), run, "slot bigint, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    slots = runtime.map_batches(found.select("h"), run, "slot bigint, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     have = np.zeros(bits >> 6, np.uint64)
     have[np.asarray(slots["slot"])] = np.asarray(slots["bits"]).view(np.uint64)
     return spark.sparkContext.broadcast(have)
 
 
-def rows(docs: DataFrame, sizes: range, inside: int = 0, known: Broadcast | None = None) -> DataFrame:
-    """(lang, words, phrase): a row for each run of so many words inside a piece.
-
-    inside, known: only runs all of whose runs of `inside` words pass the filter `known`.
-    """
+def _over_texts(docs: DataFrame, make, schema: str) -> DataFrame:
+    """What `make` yields for the pieces of some texts, the hashes of their languages, and those languages."""
 
     def run(batch: pa.RecordBatch):
         for part in words.chunks(batch, "text"):
-            p, langs = Pieces(*words.column(part, "text")), part.column(0)
-            good = None
-            if known is not None:
-                at = p.starts(inside)
-                good = np.zeros(len(p.hash) + 1, bool)
-                good[at[_passes(known.value, tokens.combined(p.hash, at, inside, _language(langs)[p.text[at]]))]] = True
-            for n in sizes:
-                at = p.starts(n)
-                for i in range(n - inside + 1) if good is not None else ():
-                    at = at[good[at + i]]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(p.text[at])), pa.array(np.full(len(at), n, np.int32)), p.phrases(at, n)], names=["lang", "words", "phrase"])
-
-    read = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
-    return runtime.map_batches(read, run, "lang string, words int, phrase string")
+            p = Pieces(*words.column(part, "text"))
+            if len(p.hash):
+                yield from make(p, _language(part.column(0))[p.text], part.column(0))
+
+    return runtime.map_batches(docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text"), run, schema)
+
+
+def rows(docs: DataFrame, known: dict[int, Broadcast | None]) -> DataFrame:
+    """(lang, words, phrase): a row for each run of words inside a piece, of the sizes in `known`, if its hash passes that filter."""
+
+    def make(p: Pieces, own: np.ndarray, langs: pa.Array):
+        for n, passing in known.items():
+            at = p.starts(n)
+            if passing is not None:
+                at = at[_passes(passing.value, tokens.combined(p.hash, at, n, own[at]))]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(p.text[at])), pa.array(np.full(len(at), n, np.int32)), p.phrases(at, n)], names=["lang", "words", "phrase"])
+
+    return _over_texts(docs, make, "lang string, words int, phrase string")
+
+
+def hashed_rows(docs: DataFrame, sizes: range, inside: int, known: Broadcast) -> DataFrame:
+    """(h): the hash of each run of so many words inside a piece all of whose runs of `inside` words pass the filter."""
+
+    def make(p: Pieces, own: np.ndarray, langs: pa.Array):
+        at = p.starts(inside)
+        good = np.zeros(len(p.hash) + 1, bool)
+        good[at[_passes(known.value, tokens.combined(p.hash, at, inside, own[at]))]] = True
+        for n in sizes:
+            at = p.starts(n)
+            for i in range(n - inside + 1):
+                at = at[good[at + i]]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.combined(p.hash, at, n, own[at]).view(np.int64))], names=["h"])
+
+    return _over_texts(docs, make, "h bigint")
+
+
+def _word_hashes(found: DataFrame) -> DataFrame:
+    """(h) of found(lang, phrase) of one word each."""
+
+    def run(batch: pa.RecordBatch):
+        p = Pieces(*words.column(batch, "phrase"))
+        yield pa.RecordBatch.from_arrays([pa.array(tokens.combined(p.hash, np.arange(len(p.hash)), 1, _language(batch.column(0))[p.text]).view(np.int64))], names=["h"])
+
+    return runtime.map_batches(found.select("lang", "phrase"), run, "h bigint")
 
 
 def counted(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, f) of the phrases that occur often enough, and (lang, n) with all word occurrences."""
     count = lambda df: df.groupBy("lang", "words", "phrase").agg(F.count(F.lit(1)).alias("f"))
-    singles = runtime.durable(count(rows(docs, range(1, 2))), "words")
-    totals = singles.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = lambda df, name: runtime.durable(df.where(F.col("f") >= rule.least), name)
-    levels = [frequent(singles, "frequent-words")]
-    totals = runtime.durable(totals, "word-totals")
+    enough = lambda df: df.where(F.col("f") >= rule.least)
+    singles = runtime.durable(count(rows(docs, {1: None})), "words")
+    totals = runtime.durable(singles.groupBy("lang").agg(F.sum("f").alias("n")), "word-totals")
+    every = runtime.durable(enough(singles), "frequent-words")
     runtime.drop(singles)
-    steps = [(1, range(2, 3)), (2, range(3, rule.max_words + 1))]
-    for inside, sizes in steps:
+    passing, known = filter_of(_word_hashes(every)), {}
+    for inside, sizes in ((1, range(2, 3)), (2, range(3, rule.max_words + 1))):
         if sizes and sizes[0] <= rule.max_words:
-            levels.append(frequent(count(rows(docs, sizes, inside, filter_of(levels[-1], inside))), "frequent-phrases"))
-    every = levels[0]
-    for more in levels[1:]:
-        every = every.unionByName(more)
+            often = runtime.durable(enough(hashed_rows(docs, sizes, inside, passing).groupBy("h").agg(F.count(F.lit(1)).alias("f"))), "frequent-hashes")
+            passing = filter_of(often)
+            known |= dict.fromkeys(sizes, passing)
+            runtime.drop(often)
+    if known:
+        every = every.unionByName(runtime.durable(enough(count(rows(docs, known))), "frequent-phrases"))
     return every, totals
 
 
