@@ -32,7 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without sentences in repeated spans; documents of which nothing is left go."""
-    found = substring_dedup.dedup(docs)
+    found = substring_dedup.dedup(docs, substring_dedup.WHOLE)
     changed = F.col(substring_dedup.removed_column(docs)) > 0
     left = found.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)

@@ -39,7 +39,7 @@ class Rule:
     both: bool = False
 
 
-#: What the registered query uses; the pipeline keeps Rule().
+#: What the registered query and the pipeline use.
 WHOLE = Rule(both=True)
 
 _STOP = np.zeros(256, bool)

@@ -38,7 +38,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     first = {c for _, c in near_brute(kept, corpus_pipeline.NEAR).values()}
     near = [(i, t) for i, t in kept if i in first]
     assert len(near) < len(kept)
-    left = {i: t for i, (_, n, t) in dedup_brute(near, substring_dedup.Rule()).items() if n == 0 or t.strip()}
+    left = {i: t for i, (_, n, t) in dedup_brute(near, substring_dedup.WHOLE).items() if n == 0 or t.strip()}
     assert any(left[i] != t for i, t in near if i in left)
     assert {r.doc_id for r in found} == set(left)
 
