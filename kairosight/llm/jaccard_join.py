@@ -447,12 +447,15 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     nodes = popular.join(reps, "key").join(one, ["key", "doc_id"]).dropDuplicates(["key"]).withColumnRenamed("doc_id", "rep")
     nodes = runtime.durable(nodes.select("key", "rep", "popularity", "n", *SKETCH, "sharp"), "nodes")
     sharp = nodes.select("rep", "key", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "sharp").alias("body"))
-    members = groups.join(nodes.drop("sharp"), "key")
-
-    hub = members.groupBy("signature").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("order"), "key", "n", *SKETCH)).alias("hub"))
+    slim = groups.join(nodes.select("key", "rep", "popularity"), "key")
+    hub = slim.groupBy("signature").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("order"), "key")).alias("hub"))
+    # a member meets the same hub in many groups: pairs are made distinct before sketches are joined
+    to_hub = slim.join(hub, "signature").select((-F.col("hub.order")).alias("a"), F.col("hub.key").alias("key_a"), "rep", "key").where("rep <> a").distinct()
+    sketched = nodes.select("key", "n", *SKETCH)
+    own = sketched.select(F.col("key").alias("key_a"), F.struct("n", *SKETCH).alias("hub"))
     differ, may = _near(rule, F.col("n"), F.col("hub.n"), [F.col(w) for w in SKETCH], [F.col(f"hub.{w}") for w in SKETCH])
-    to_hub = members.join(hub, "signature").where(F.col("rep") != -F.col("hub.order")).withColumn("differ", differ).where(may)
-    best = to_hub.groupBy("rep", "key").agg(F.min(F.struct("differ", (-F.col("hub.order")).alias("a"), F.col("hub.key").alias("key_a"))).alias("best"))
+    likely = to_hub.join(own, "key_a").join(sketched, "key").withColumn("differ", differ).where(may)
+    best = likely.groupBy("rep", "key").agg(F.min(F.struct("differ", "a", "key_a")).alias("best"))
     pairs = runtime.durable(best.select(F.col("best.a").alias("a"), F.col("rep").alias("b"), F.col("best.key_a").alias("key_a"), F.col("key").alias("key_b")), "to-hubs")
     links = _verify(pairs, docs, sharp, rule)
 
