@@ -1,4 +1,4 @@
-"""Linear forecasters by normal equations, principal components, and mutual information with permutation tests."""
+"""Linear forecasters by normal equations, and principal components."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import windows
 
@@ -73,40 +72,6 @@ def principal_components(rows: DataFrame, vector: str, size: int, k: int) -> np.
     return top * np.sign(top[np.arange(len(top)), np.abs(top).argmax(1)])[:, None]
 
 
-def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
-    """Nearest-neighbour estimate of the mutual information of two numbers; NaN under 20 rows, 0 without variance.  Ties are kept as they are."""
-    n = len(x)
-    if n < 20:
-        return float("nan")
-    if np.std(x) == 0 or np.std(y) == 0:
-        return 0.0
-    x, y = x / np.std(x), y / np.std(y)
-    dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
-    d = np.maximum(dx, dy)
-    np.fill_diagonal(d, np.inf)
-    radius = np.nextafter(np.partition(d, k - 1, axis=1)[:, k - 1], 0)
-    digamma = np.concatenate([[0.0], -0.5772156649015329 + np.concatenate([[0.0], np.cumsum(1 / np.arange(1, n + 1))])])
-    nx, ny = ((v <= radius[:, None]).sum(1) for v in (dx, dy))
-    return float(max(0.0, digamma[n] + digamma[k] - digamma[nx].mean() - digamma[ny].mean()))
-
-
-def information_test(pairs: DataFrame, keys: list[str], features: list[str], target: str, permutations: int = 200, seed: int = 7) -> DataFrame:
-    """keys, mi (mean over features), p_value of as many permutations of the target, n; each group is a daily axis, one Arrow group."""
-    schema = StructType([*(pairs.schema[k] for k in keys), StructField("mi", DoubleType()), StructField("p_value", DoubleType()), StructField("n", DoubleType())])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day"]) if "day" in pdf else pdf
-        y = pdf[target].to_numpy(float)
-        xs = [pdf[f].to_numpy(float) for f in features]
-        of = lambda t: float(np.mean([mutual_information(x, t) for x in xs]))
-        seen, rng = of(y), np.random.Generator(np.random.PCG64(seed))
-        null = np.array([of(rng.permutation(y)) for _ in range(permutations)])
-        p = float("nan") if np.isnan(seen) else float(((null >= seen).sum() + 1) / (permutations + 1))
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), seen, p, float(len(pdf))]], columns=[*keys, "mi", "p_value", "n"])
-
-    return pairs.groupBy(*keys).applyInPandas(one, schema)
-
-
 def verdict(significant_share: Column) -> Column:
     """Tiers of the share of significant pairs."""
     return F.when(significant_share > 0.20, "strong").when(significant_share > 0.05, "weak").otherwise("none")

@@ -85,14 +85,3 @@ def boosted_weights(m: DataFrame, top: float = 0.1, boost: float = 3.0) -> DataF
     q = quantiles(m, "magnitude", [1.0 - top]).select(F.col("q")[0].alias("q"))
     raw = m.crossJoin(F.broadcast(q)).withColumn("raw", F.when(F.col("magnitude") >= F.col("q"), boost).otherwise(1.0))
     return raw.crossJoin(F.broadcast(raw.agg(F.greatest(F.avg("raw"), F.lit(1e-6)).alias("mean")))).withColumn("weight", F.col("raw") / F.col("mean")).drop("q", "raw", "mean")
-
-
-def sampled(m: DataFrame, share: float, weight: str, seed: int, key: str) -> DataFrame:
-    """A weighted sample without replacement, the same on every run: the top share by log(u)/weight with u from a hash of the key.
-
-    Sampling with replacement from the weights is the other form of the reference; both draw hard rows in proportion.
-    """
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
-    score = F.ln(u) / F.col(weight)
-    cut = m.agg(F.percentile_approx(score, F.lit(1.0 - share), F.lit(100000)).alias("cut"))
-    return m.crossJoin(F.broadcast(cut)).where(score >= F.col("cut")).drop("cut")

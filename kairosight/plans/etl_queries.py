@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bank, etl, models, windows
+from ..operators import bank, etl, information, models, windows
 from ..sources import feeds, io, stored
 from ..streaming import bank_stream
 from . import fixtures as X
@@ -299,9 +299,23 @@ def ma16(spark, d):
     return e.select("vec_id", *(R(dot(w), 5).alias(f"pc{i + 1}") for i, w in enumerate(c)))
 
 
-@query("ma17_mutual_information")
+_MI = f"""{_DAY}, lg AS (SELECT l.lag, v.day, mass AS x, y FROM b CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS lag) l JOIN v ON v.day = b.day + l.lag::INT),
+pr AS (SELECT * FROM lg QUALIFY count(*) OVER (PARTITION BY lag) >= 20), nu AS (SELECT *, row_number() OVER (PARTITION BY lag ORDER BY day) - 1 AS place FROM pr),
+sh AS (SELECT lag, trial, x, place, row_number() OVER (PARTITION BY lag, trial ORDER BY ('0x' || md5('7:' || trial || ':' || place)[1:13])::UBIGINT, place) - 1 AS target FROM nu, (SELECT unnest(range(1, 201)) AS trial)),
+ev AS (SELECT lag, 0 AS trial, place, x, y FROM nu UNION ALL SELECT sh.lag, trial, sh.place, sh.x, nu.y FROM sh JOIN nu ON nu.lag = sh.lag AND nu.place = sh.target),
+z AS (SELECT lag, trial, place, round(x / stddev_pop(x) OVER w * 1073741824)::BIGINT AS x, round(y / stddev_pop(y) OVER w * 1073741824)::BIGINT AS y, count(*) OVER w AS n FROM ev WINDOW w AS (PARTITION BY lag, trial)),
+pp AS (SELECT a.lag, a.trial, a.place, a.n, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, a.place = b.place AS own FROM z a JOIN z b ON a.lag = b.lag AND a.trial = b.trial),
+kk AS (SELECT lag, trial, place, greatest(dx, dy) AS d FROM pp WHERE NOT own QUALIFY row_number() OVER (PARTITION BY lag, trial, place ORDER BY greatest(dx, dy)) = 3),
+cn AS (SELECT lag, trial, place, n, count(*) FILTER (dx < d OR dx = 0 AND d = 0) AS nx, count(*) FILTER (dy < d OR dy = 0 AND d = 0) AS ny FROM pp JOIN kk USING (lag, trial, place) GROUP BY ALL),
+dg AS (SELECT m, coalesce(sum(1.0 / (m - 1)) FILTER (m > 1) OVER (ORDER BY m), 0) - 0.5772156649015329 AS v FROM (SELECT unnest(range(1, 5000)) AS m)),
+mi AS (SELECT lag, trial, greatest(0, any_value(dn.v) + (SELECT v FROM dg WHERE m = 3) - avg(dx.v + dy.v)) AS mi FROM cn JOIN dg dn ON dn.m = n JOIN dg dx ON dx.m = nx JOIN dg dy ON dy.m = ny GROUP BY ALL),
+pv AS (SELECT r.lag, r.mi, (count(*) FILTER (s.mi >= r.mi - 1e-12) + 1) / 201 AS p FROM mi r JOIN mi s ON s.lag = r.lag AND s.trial > 0 WHERE r.trial = 0 GROUP BY ALL)
+SELECT lag, round(mi, 6) AS mi, round(p, 6) AS p_value, CASE WHEN p < 0.05 THEN 'strong' ELSE 'none' END AS verdict FROM pv"""
+
+
+@query("ma17_mutual_information", _MI)
 def ma17(spark, d):
     """MA17 and MA18: lags of the bank against daily means, with 200 permutations."""
     pairs = etl.lag_aligned(_daily_bank(spark, d), _daily_target(spark, d), (0, 1, 2, 3))
-    x = models.information_test(pairs, ["lag"], ["mass"], "y", 200)
-    return x.select("lag", R("mi").alias("mi"), R("p_value").alias("p_value"), models.verdict((F.col("p_value") < 0.05).cast("double")).alias("verdict"))
+    x = information.tested(pairs, ["lag"], "mass", "y", "day", 200)
+    return x.select(F.col("lag").cast("bigint").alias("lag"), R("mi").alias("mi"), R("p_value").alias("p_value"), models.verdict((F.col("p_value") < 0.05).cast("double")).alias("verdict"))

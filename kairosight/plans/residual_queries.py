@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bank, evaluate, residual
+from ..operators import bank, evaluate, ranges, residual
 from . import fixtures as X
 from .bank_queries import GRID, THETA, R, T
 from .registry import query, table
@@ -84,10 +84,21 @@ def ops10(spark, d):
     return residual.boosted_weights(residual.magnitudes(X.steps(spark, d), SAMPLE)).select(*keys(2), R("weight").alias("weight"))
 
 
-@query("ops9_weighted_sample")
+_DRAWN = f"""{_MAG}, h AS (SELECT m.*, magnitude >= (SELECT quantile_cont(magnitude, 0.9) FROM m) AS hard FROM m), n AS (SELECT count(*) AS n, count(*) FILTER (hard) AS a, count(*) FILTER (NOT hard) AS b FROM h),
+w AS (SELECT series_id || ':' || start AS id, hard, CASE WHEN hard THEN 0.4 / a ELSE 0.6 / b END AS weight FROM h, n),
+u AS (SELECT id, hard, round(weight / (SELECT sum(weight) FROM w) * {ranges.SCALE})::BIGINT AS units FROM w),
+p AS (SELECT *, CASE WHEN units >= {ranges.SCALE // ranges.HEAVY} THEN -1 ELSE (('0x' || md5('7:' || id)[1:13])::UBIGINT % {ranges.PARTS})::INT END AS part FROM u WHERE units > 0),
+x AS (SELECT *, sum(units) OVER (ORDER BY part, id) - units AS low, sum(units) OVER () AS every FROM p),
+d AS (SELECT range AS draw, least(floor(('0x' || md5('7:' || range)[1:13])::UBIGINT::DOUBLE * (every::DOUBLE / {ranges.SCALE}.0))::BIGINT, every - 1) AS spot FROM range((SELECT n FROM n)), (SELECT DISTINCT every FROM x))
+SELECT draw, id, hard FROM d JOIN x ON spot >= low AND spot < low + units"""
+
+
+@query("ops9_weighted_sample", _DRAWN)
 def ops9(spark, d):
-    m = residual.magnitudes(X.steps(spark, d), SAMPLE).withColumn("id", F.concat_ws(":", *SAMPLE))
-    return residual.sampled(residual.hard_weights(m, 0.1, 0.4), 0.2, "weight", 7, "id").select("id", "hard")
+    """As many draws with replacement as there are samples."""
+    m = residual.magnitudes(X.steps(spark, d), SAMPLE).select(F.concat_ws(":", *SAMPLE).alias("id"), "magnitude")
+    w = residual.hard_weights(m, 0.1, 0.4)
+    return ranges.drawn(w, "weight", "id", m.count(), 7).select("draw", "id", "hard")
 
 
 # forecasts: base is the last history value; a decayed-mass correction stands for the trained one

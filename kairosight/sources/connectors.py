@@ -12,7 +12,7 @@ import time
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 #: Rows at which a window's reply is taken as cut off.
 SATURATED = 250
@@ -81,14 +81,14 @@ class _Reader(DataSourceReader):
     def read(self, partition) -> Iterator[tuple]:
         module, name = self.o["transport"].rsplit(".", 1)
         fetch = getattr(importlib.import_module(module), name)
-        limit, least = int(self.o.get("limit", str(SATURATED))), self.o.get("least_minutes")
+        limit, least = int(self.o.get("limit", str(SATURATED))), self.o.get("least_minutes", "1")
         waiting = [partition]
         while waiting:
             w = waiting.pop()
             parameters = {"start": w.start, "end": w.end, "keys": w.chunk, "query": self.o.get("query", "")}
             rows = attempt(lambda p=parameters: rows_of(fetch(self.o["url"], p)), int(self.o.get("retries", "3")), float(self.o.get("delay", "1")))
             full = len(rows) >= limit
-            parts = halves(w, timedelta(minutes=float(least))) if full and least else []
+            parts = halves(w, timedelta(minutes=float(least))) if full and float(least) > 0 else []
             waiting += reversed(parts)
             for r in [] if parts else rows:
                 yield w.start, w.end, w.chunk, full, json.dumps(r)
@@ -97,8 +97,8 @@ class _Reader(DataSourceReader):
 class WindowedService(DataSource):
     """Rows: window_start, window_end, keys, saturated, row (JSON text).
 
-    With the option least_minutes, a window whose reply is cut off is asked for again in halves, down to halves of that
-    length; without it, and at that length, its rows are marked as saturated.
+    A window whose reply is cut off is asked for again in halves, down to halves of least_minutes (1 by default); at that
+    length, and with least_minutes 0, its rows are marked as saturated.
     """
 
     @classmethod
@@ -110,3 +110,68 @@ class WindowedService(DataSource):
 
     def reader(self, schema):
         return _Reader(self.options)
+
+
+_HOLDS = {
+    EqualTo: lambda have, v: have == v, In: lambda have, v: have in v, GreaterThan: lambda have, v: have > v, GreaterThanOrEqual: lambda have, v: have >= v,
+    LessThan: lambda have, v: have < v, LessThanOrEqual: lambda have, v: have <= v,
+}
+
+
+class Month(InputPartition):
+    def __init__(self, year: int, month: int, keys: str):
+        self.year, self.month, self.keys = year, month, keys
+
+
+def months(start: str, end: str) -> list[tuple[int, int]]:
+    """Year and month of the calendar months that [start, end) meets."""
+    a, b = datetime.fromisoformat(start), datetime.fromisoformat(end)
+    first, last = a.year * 12 + a.month - 1, b.year * 12 + b.month - 1
+    if b == datetime(b.year, b.month, 1):
+        last -= 1
+    return [(n // 12, n % 12 + 1) for n in range(first, last + 1)] if a < b else []
+
+
+class _MonthReader(DataSourceReader):
+    """Filters on year and month choose the partitions; Spark applies them again, so they are given back."""
+
+    def __init__(self, options):
+        self.o, self.filters = options, []
+
+    def pushFilters(self, filters: list[Filter]):
+        for f in filters:
+            if type(f) in _HOLDS and f.attribute in (("year",), ("month",)):
+                self.filters.append((f.attribute[0], type(f), f.value))
+            yield f
+
+    def partitions(self):
+        keys = [k for k in self.o.get("keys", "").split(",") if k]
+        wanted = lambda y, m: all(_HOLDS[kind]({"year": y, "month": m}[c], v) for c, kind, v in self.filters)
+        return [Month(y, m, c) for y, m in months(self.o["start"], self.o["end"]) if wanted(y, m) for c in chunked(keys, int(self.o.get("chunk", "25"))) or [""]]
+
+    def read(self, partition) -> Iterator[tuple]:
+        module, name = self.o["transport"].rsplit(".", 1)
+        fetch = getattr(importlib.import_module(module), name)
+        y, m = partition.year, partition.month
+        start, end = datetime(y, m, 1), datetime(y + m // 12, m % 12 + 1, 1)
+        start, end = max(start, datetime.fromisoformat(self.o["start"])), min(end, datetime.fromisoformat(self.o["end"]))
+        parameters = {"start": start.isoformat(), "end": end.isoformat(), "keys": partition.keys, "query": self.o.get("query", "")}
+        for r in attempt(lambda: rows_of(fetch(self.o["url"], parameters)), int(self.o.get("retries", "3")), float(self.o.get("delay", "1"))):
+            yield y, m, partition.keys, json.dumps(r)
+
+
+class MonthlyService(DataSource):
+    """Rows: year, month, keys, row (JSON text): one partition for each calendar month of [start, end) and chunk of keys.
+
+    With spark.sql.python.filterPushdown.enabled, filters on year and month leave out the months that they rule out.
+    """
+
+    @classmethod
+    def name(cls):
+        return "monthly_service"
+
+    def schema(self):
+        return "year int, month int, keys string, row string"
+
+    def reader(self, schema):
+        return _MonthReader(self.options)

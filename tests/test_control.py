@@ -15,8 +15,10 @@ def test_saturated_windows_are_split(spark):
     spark.dataSource.register(connectors.WindowedService)
     read = spark.read.format("windowed_service").option("url", "x").option("start", "2024-01-01").option("end", "2024-01-08").option("days", "4").option("limit", "10")
     hourly = read.option("transport", "kairosight.sources.testing.hourly")
-    cut = hourly.load().collect()
+    cut = hourly.option("least_minutes", "0").load().collect()
     assert len(cut) == 20 and all(r.saturated for r in cut)
+    split = spark.read.format("windowed_service").option("url", "x").option("start", "2024-01-01").option("end", "2024-01-08").option("days", "4").option("limit", "10").option("transport", "kairosight.sources.testing.hourly")
+    assert split.load().count() == 7 * 24  # by default nothing beyond the limit is lost
     whole = hourly.option("least_minutes", "60").load().collect()
     assert len(whole) == 7 * 24 == len({json.loads(r.row)["at"] for r in whole}) and not any(r.saturated for r in whole)
     short = hourly.option("least_minutes", "1000").load().collect()  # four days end in 24-hour windows, three in 18-hour ones; all stay cut off, and say so
