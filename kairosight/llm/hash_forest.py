@@ -10,8 +10,8 @@ found by bisection.  What the trees hold at that level is scored exactly, in dou
 where near neighbours are hardly nearer than other rows; MEASURED is the recall there.  Queries are a stated
 set and meet the shards in blocks, so a task holds one shard and one block; all rows are indexed.
 
-Defined cases: vectors that are null, empty, zero, of another length than the longest, or hold nulls, NaN or
-infinities take no part, neither do rows with a null id; rows that repeat an id are one row and never neighbours
+Defined cases: vectors that are null, empty, zero, or hold nulls, NaN or infinities take no part, neither do rows with a
+null id; vectors of different lengths have no cosine, so each length is an index of its own; rows that repeat an id are one row and never neighbours
 of each other; ties go to the smaller id; with fewer candidates than asked for, all are returned.
 """
 
@@ -131,16 +131,16 @@ def _usable(vector: Column) -> Column:
 def search(rows: DataFrame, is_query: Column, k: int = 5, forest: Forest = Forest(), vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row that is a query."""
     usable = rows.where(F.col(vec_id).isNotNull() & _usable(F.col(vector))).select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
-    n, n_queries, size = usable.agg(F.count(F.lit(1)), F.count_if("q"), F.max(F.size("v"))).first()
+    usable = usable.withColumn("size", F.size("v"))
+    n, n_queries = usable.agg(F.count(F.lit(1)), F.count_if("q")).first()
     shards, blocks = max(1, -(-n // forest.shard)), max(1, -(-n_queries // forest.block))
-    usable = usable.where(F.size("v") == F.lit(size or 0))
     shard, block = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
-    indexed = usable.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "id", "v")
-    asked = usable.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), F.lit(1).alias("kind"), "id", "v")
-    dealt = indexed.union(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind", "id")
+    indexed = usable.select("size", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "id", "v")
+    asked = usable.where("q").select("size", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), F.lit(1).alias("kind"), "id", "v")
+    dealt = indexed.union(asked).repartition("size", "shard", "block").sortWithinPartitions("size", "shard", "block", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, 2):
+        for t in _runs(batches, 3):
             kind, ids = np.asarray(t.column("kind")), np.asarray(t.column("id"))
             vectors = np.asarray(t.column("v").combine_chunks().flatten()).reshape(len(ids), -1)
             once = np.ones(len(ids), bool)

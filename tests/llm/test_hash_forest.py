@@ -59,3 +59,15 @@ def test_fewer_candidates_than_asked_and_empty(spark):
     assert [(r.rank, r.vec_id) for r in H.query(frame).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert H.query(frame.limit(0)).count() == 0
     assert H.query(frame.where("vec_id = 0")).count() == 0
+
+
+def test_each_length_is_an_index_of_its_own(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=2).tolist()) for i in range(101)] + [(1000 + i, rng.normal(size=3).tolist()) for i in range(4)] + [(5000, [1.0, 2.0, 3.0, 4.0])]
+    found = {}
+    for r in H.query(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    short, long = rows[:101], rows[101:105]
+    expected = {q: [i for i, _ in near] for q, near in exact([i for i, _ in short], [v for _, v in short], [0, 50, 100]).items()}
+    expected |= {q: [i for i, _ in near] for q, near in exact([i for i, _ in long], [v for _, v in long], [1000]).items()}
+    assert found == expected
