@@ -19,15 +19,15 @@ CUTS = 4096
 
 
 def _bucket(x: Column) -> Column:
-    """A whole number that does not fall as x grows; zero for zero."""
+    """A whole number that does not fall as x grows; zero for zero, the greatest for NaN, which counts as above all numbers."""
     size = F.floor(F.log2(F.greatest(F.abs(x), F.lit(5e-324))) * CUTS) + 1100 * CUTS
-    return F.when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("bigint")
+    return F.when(F.isnan(x), F.lit(1 << 40)).when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("bigint")
 
 
 def _finer(x: Column) -> Column:
     """Order inside a bucket; its width is about 1/6000 of the value."""
     size = F.floor(F.pmod(F.log2(F.greatest(F.abs(x), F.lit(5e-324))) * CUTS, F.lit(1.0)) * CUTS)
-    return F.when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("bigint")
+    return F.when(F.isnan(x) | (x == 0), F.lit(0)).when(x > 0, size).otherwise(-size).cast("bigint")
 
 
 def _located(counts: DataFrame, by: list[str], order: str, targets: DataFrame) -> DataFrame:

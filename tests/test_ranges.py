@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kairosight.operators import ranges
+from kairosight.operators.quantiles import quantiles
 
 
 def test_running_sums(spark):
@@ -59,3 +60,10 @@ def test_one_row_and_many_equal_ones(spark):
     equal = spark.range(20_000).select("id", F.lit(1.0).alias("w"))
     times = Counter(r.id for r in ranges.drawn(equal, "w", "id", 20_000, 3).select("id").collect())
     assert abs(len(times) - 20_000 * (1 - math.exp(-1))) < 300 and max(times.values()) < 12
+
+
+def test_not_a_number_is_above_all_numbers(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (None,)], "v double")
+    low, median, high = quantiles(df, "v", [0.0, 0.5, 1.0]).first().q
+    assert (low, median) == (1.0, 2.5) and math.isnan(high)
+    assert quantiles(df.where("v < 4"), "v", [0.5]).first().q == [2.0]
