@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
 from . import evaluate
 
 Weights = dict[str, np.ndarray]
@@ -140,6 +141,7 @@ def residual_parts(history: np.ndarray, residual: np.ndarray, calendar: np.ndarr
 
 def scored(samples: DataFrame, keys: list[str], inputs: dict[str, Column], outputs: str, model: Callable[..., dict[str, np.ndarray]], w: Weights) -> DataFrame:
     """keys and outputs (a schema of doubles and arrays of them) of model(inputs as arrays, weights); samples are scored in batches where they are."""
+    ship(samples.sparkSession)
     sent = samples.sparkSession.sparkContext.broadcast(w)
     names = list(inputs)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import bank, networks, windows
 from ..operators.residual import calendar_keys
 from ..sources import connectors, stored, testing, workbooks
+from ..sources.shipping import ship
 from ..streaming import stateful
 from . import fixtures as X
 from .bank_queries import _EMA, ALPHA, GRID, THETA, R, T
@@ -124,6 +125,7 @@ def stream_ops12(spark, d):
 strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id::INT % 9999), '%Y-%m-%d %H:%M:%S') AS at FROM documents""")
 def src8(spark, d):
     """Every 40 documents are a workbook of two sheets; all cells come back."""
+    ship(spark)
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", F.expr("doc_id div 40").alias("book"))
 
     def bound(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -142,6 +144,7 @@ def src8(spark, d):
 SELECT t.month::INT AS month, key, 1 AS asked FROM t, k WHERE t.month >= (SELECT min(month) FROM m) AND t.month <= (SELECT max(month) FROM m) + 2""")
 def src11(spark, d):
     """Each month from the first event on, two more than there are events, for each event type: asked for once."""
+    ship(spark)
     spark.dataSource.register(connectors.MonthlyService)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     e = table(spark, d, "events")

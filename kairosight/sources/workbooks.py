@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shipping import ship
+
 _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: Numbers of the format's own date and time formats.
 _DATES = {*range(14, 23), *range(45, 48)}
@@ -136,6 +138,7 @@ def cells(files: DataFrame, strict: bool = True) -> DataFrame:
                     rows = []
                 yield pd.DataFrame(rows, columns=["path", "sheet_no", "sheet", "row", "cells"])
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, "path string, sheet_no int, sheet string, row int, cells array<string>")
 
 

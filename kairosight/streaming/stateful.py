@@ -6,9 +6,11 @@ lost executor goes on where the last committed batch ended.  `use_rocksdb` sets
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +24,8 @@ _EPOCH = pd.Timestamp("1970-01-01")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
+    """Set the state store; processors are sent as code, since Spark also starts them beside the driver, without its files."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
 
 
