@@ -141,19 +141,31 @@ def _span(points: DataFrame, order: str) -> Column:
     return F.floor(F.col(order) / 4096)
 
 
+#: Rows of a piece of a span: about the root of the rows of a span of minutes.
+PIECE = 256
+
+
 def ema(points: DataFrame, alpha: float, keys: list[str], order: str, value: str, out: str) -> DataFrame:
     """Exponential moving average of value along order for each key: the first value, then a*x + (1-a)*previous.
 
-    Each span of the axis is folded from zero by itself; what a span leaves to the next is affine in what it got, so only
+    Each span of the axis is folded from zero by itself, in pieces, since a fold copies what it has gathered at each step; what a span leaves to the next is affine in what it got, so only
     one pair of numbers a span is folded along a whole axis.
     """
     a = float(max(0.0, min(1.0, alpha)))
     kinds = dict(points.dtypes)
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("x"))))
     spans = points.select(*keys, order, value, _span(points, order).alias("span")).groupBy(*keys, "span").agg(rows.alias("rows"))
-    step = F.struct(F.lit(0.0).alias("e"), F.array().cast("array<double>").alias("all"))
-    fold = F.aggregate("rows", step, lambda s, r: F.struct((a * r.x + (1 - a) * s.e).alias("e"), F.concat(s.all, F.array(a * r.x + (1 - a) * s.e)).alias("all")))
-    own = spans.withColumn("own", fold.all).withColumn("first", F.col("rows")[0].x.cast("double"))
+    pieces = F.transform(F.sequence(F.lit(0), F.expr(f"(size(rows) - 1) div {PIECE}").cast("int")), lambda i: F.slice("rows", i * PIECE + 1, PIECE))
+
+    def along(piece: Column, e: Column) -> Column:
+        """The averages along a piece that starts from e."""
+        step = F.struct(e.alias("e"), F.array().cast("array<double>").alias("all"))
+        return F.aggregate(piece, step, lambda s, r: F.struct((a * r.x + (1 - a) * s.e).alias("e"), F.concat(s.all, F.array(a * r.x + (1 - a) * s.e)).alias("all"))).all
+
+    none = F.array().cast("array<array<double>>")
+    last = lambda done: F.when(F.size(done) == 0, F.lit(0.0)).otherwise(F.element_at(F.element_at(done, -1), -1))
+    folded = F.aggregate(pieces, none, lambda done, piece: F.concat(done, F.array(along(piece, last(done)))))
+    own = spans.withColumn("own", F.flatten(folded)).withColumn("first", F.col("rows")[0].x.cast("double"))
     ends = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("span", F.size("own").alias("n"), F.element_at("own", -1).alias("e"), "first"))).alias("ends"))
     got = F.struct(F.lit(None).cast("double").alias("c"), F.array().cast("array<struct<span:bigint,c:double>>").alias("all"))
 

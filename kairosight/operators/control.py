@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from .ranges import free
 
 
 def cache_matches(records: DataFrame, by: list[str], variant: Column, version: Column, file: Column, stem: Column, count: Column, digest: Column, needs_version: Column) -> DataFrame:
@@ -74,3 +77,38 @@ def pooled(tokens: DataFrame, key: str, vector: str, mask: Column) -> DataFrame:
     """key, place (from 0), value: the mean of the unmasked token vectors; without any, no row."""
     places = tokens.where(mask).select(key, F.posexplode(vector).alias("place", "x"))
     return places.groupBy(key, "place").agg(F.avg(F.col("x").cast("double")).alias("value"))
+
+
+def resolution(wanted: DataFrame, manifests: DataFrame, by: list[str], rebuild: Column) -> DataFrame:
+    """by, outcome, path: where the bank of each row of wanted comes from, in one pass over the manifests.
+
+    manifests has by, kind ('bank' or 'refined'; others do not count), place (0 is the preferred one, null the last), path,
+    matches (whether its metadata are the expected ones; null is unknown, which a bank may be and a refined corpus may not)
+    and filled (whether it has mass; null is unknown).  Unless it is to be rebuilt, the first matching bank is taken:
+    'preferred' or 'older', or 'empty' if it has no mass.  Then 'reuse' of the first matching corpus, 'sync' from corpora that
+    do not match, 'build' where a rebuild is asked for, else 'missing'.  path is that of the bank or corpus taken.
+    """
+    bank, corpus, seeds, again = (free(n, wanted) for n in ("bank", "corpus", "seeds", "again"))
+    kind, matches = F.col("kind"), F.col("matches")
+    first = lambda when: F.min(F.when(when, F.struct(F.coalesce("place", F.lit((1 << 31) - 1)).alias("place"), "path", "filled")))
+    refined = F.coalesce(kind == "refined", F.lit(False))
+    best = manifests.groupBy(*by).agg(
+        first((kind == "bank") & F.coalesce(matches, F.lit(True))).alias(bank),
+        first(refined & F.coalesce(matches, F.lit(False))).alias(corpus),
+        F.bool_or(refined).alias(seeds),
+    )
+    x = wanted.select(*by, F.coalesce(rebuild, F.lit(False)).alias(again)).join(best, by, "left")
+    has_bank = ~F.col(again) & F.col(bank).isNotNull()
+    of_bank = F.when(~F.coalesce(F.col(f"{bank}.filled"), F.lit(True)), "empty").when(F.col(f"{bank}.place") == 0, "preferred").otherwise("older")
+    outcome = F.when(has_bank, of_bank).when(F.col(corpus).isNotNull(), "reuse").when(F.col(seeds), "sync").when(F.col(again), "build").otherwise("missing")
+    return x.select(*by, outcome.alias("outcome"), F.when(has_bank, F.col(f"{bank}.path")).otherwise(F.col(f"{corpus}.path")).alias("path"))
+
+
+def opened(resolved: DataFrame, makers: dict[str, Callable[[str | None], DataFrame]]) -> DataFrame:
+    """The table of a resolution of one row: only the maker of its outcome is called, with the path; an error if there is none."""
+    row = resolved.limit(2).collect()
+    if len(row) != 1:
+        raise ValueError("a resolution of one row is needed")
+    if row[0].outcome not in makers:
+        raise ValueError(f"the bank cannot be had: {row[0].outcome}")
+    return makers[row[0].outcome](row[0].path)

@@ -96,18 +96,6 @@ def manifest_matches(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return e.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("m")).crossJoin(n).select(F.when(F.col("__n") > 0, F.col("m")).alias("matches"))
 
 
-def resolve(candidates: list[tuple[str, callable]]) -> tuple[str, DataFrame]:
-    """The first candidate (a name and a function that gives a table or None) that gives a table; an error if none does.
-
-    The order is the caller's: a preferred bank, older banks, a bank from cached records, one from seeds, a new one.
-    """
-    for name, make in candidates:
-        found = make()
-        if found is not None:
-            return name, found
-    raise ValueError("no bank can be resolved from: " + ", ".join(n for n, _ in candidates))
-
-
 def grid(spark, **axes: list) -> DataFrame:
     """All combinations of named parameter values, a bounded sweep."""
     out = spark.range(1).select()

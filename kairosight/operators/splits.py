@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import times
 from ..sources.stored import stored
+from .ranges import free, running
 
 
 def inferred_minutes(df: DataFrame, at: str) -> DataFrame:
@@ -113,9 +114,15 @@ def with_history(previous: DataFrame, current: DataFrame, key: str, at: str, his
 
 
 def probe(df: DataFrame, key: Column, fraction: float, least: int, seed: int) -> DataFrame:
-    """max(least, floor(n * fraction)) rows chosen by a hash of the key: a repeatable sample without replacement."""
+    """max(least, floor(n * fraction)) rows, those of the smallest digests of seed and key: a sample without replacement.
+
+    It is the same on any cluster.  Null keys have the digest of the empty text; fewer rows than least are all taken.
+    """
+    digest, place = free("digest", df), free("place", df)
     k = max(least, int(df.count() * fraction))
-    return df.withColumn("__h", F.xxhash64(key, F.lit(seed))).orderBy("__h").limit(k).drop("__h")
+    said = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+    marked = df.withColumn(digest, F.md5(said.cast("binary")))
+    return running(marked, [], [digest], F.lit(1), place).where(F.col(place) < k).select(*df.columns)
 
 
 def slices(spark, start: str, end: str, days: int) -> DataFrame:

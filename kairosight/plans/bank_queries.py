@@ -161,10 +161,10 @@ def wn4(spark, d):
     return smooth(spark, d).select(T("t").alias("t"), R("mass").alias("mass"), R("ema").alias("ema"))
 
 
-@query("jn3_asof_lookup", f"""WITH {X.MASS}, q AS (SELECT event_id, ts + to_days((event_id % 3)::INT * 10 - 10) AS at FROM events WHERE event_type = 'click')
+@query("jn3_asof_lookup", f"""WITH {X.MASS}, q AS (SELECT event_id, ts + to_days((event_id % 3)::INT * 10 - 10) AS at FROM events)
 SELECT event_id, round(coalesce(mass, 0), 6) AS mass, coalesce(docs, 0) AS docs FROM q ASOF LEFT JOIN mass ON q.at >= mass.t""")
 def jn3(spark, d):
-    q = table(spark, d, "events").where("event_type = 'click'").select("event_id", (F.col("ts") + F.make_dt_interval((F.col("event_id") % 3 * 10 - 10).cast("int"))).alias("at"))
+    q = table(spark, d, "events").select("event_id", (F.col("ts") + F.make_dt_interval((F.col("event_id") % 3 * 10 - 10).cast("int"))).alias("at"))
     return bank.lookup(q, X.mass(spark, d), GRID, "at", ["mass", "docs"]).select("event_id", R("mass").alias("mass"), "docs")
 
 

@@ -133,21 +133,25 @@ def jn10(spark, d):
     return x.select(F.col("day").cast("string").alias("day"), R("vol_ratio").alias("vol_ratio"), R(F.coalesce("mass", F.lit(0.0))).alias("mass"))
 
 
-@query("wn13_shape_deviation", f"""WITH {X.SERIES}, c AS (SELECT ts::DATE AS day, list((value - m) / greatest(s, 1e-6) ORDER BY ts) AS z FROM (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM series WHERE series_id = 'click' WINDOW w AS (PARTITION BY ts::DATE)) GROUP BY 1),
-i AS (SELECT *, row_number() OVER (ORDER BY day) AS i FROM c), u AS (SELECT day, i, len(z) AS n, unnest(z) AS z, generate_subscripts(z, 1) AS p FROM i),
-m AS (SELECT a.day, a.p, a.z, avg(b.z) AS past FROM u a LEFT JOIN u b ON b.i BETWEEN a.i - 30 AND a.i - 1 AND b.n = a.n AND b.p = a.p GROUP BY ALL)
-SELECT day::VARCHAR AS day, round(coalesce(avg((z - past) ** 2), 0), 6) AS shape_dev FROM m GROUP BY 1""")
+@query("wn13_shape_deviation", f"""WITH {X.SERIES}, c AS (SELECT series_id, ts::DATE AS day, list((value - m) / greatest(s, 1e-6) ORDER BY ts) AS z FROM (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM series WINDOW w AS (PARTITION BY series_id, ts::DATE)) GROUP BY 1, 2),
+i AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY day) AS i FROM c), u AS (SELECT series_id, day, i, len(z) AS n, unnest(z) AS z, generate_subscripts(z, 1) AS p FROM i),
+m AS (SELECT a.series_id, a.day, a.p, a.z, avg(b.z) AS past FROM u a LEFT JOIN u b ON b.series_id = a.series_id AND b.i BETWEEN a.i - 30 AND a.i - 1 AND b.n = a.n AND b.p = a.p GROUP BY ALL)
+SELECT series_id, day::VARCHAR AS day, round(coalesce(avg((z - past) ** 2), 0), 6) AS shape_dev FROM m GROUP BY 1, 2""")
 def wn13(spark, d):
+    """Every series; days are numbered for each of them, one row a day."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("day")
-    s = X.series(spark, d).where("series_id = 'click'").withColumn("day", F.to_date("ts"))
-    z = s.select("day", "ts", ((F.col("value") - F.avg("value").over(w)) / F.greatest(F.stddev_pop("value").over(w), F.lit(1e-6))).alias("z"))
+    w = Window.partitionBy("series_id", "day")
+    s = X.series(spark, d).withColumn("day", F.to_date("ts"))
+    z = s.select("series_id", "day", "ts", ((F.col("value") - F.avg("value").over(w)) / F.greatest(F.stddev_pop("value").over(w), F.lit(1e-6))).alias("z"))
     placed = z.withColumn("p", F.row_number().over(w.orderBy("ts"))).withColumn("n", F.count(F.lit(1)).over(w))
-    days = placed.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")))  # one row a day
-    u = placed.join(F.broadcast(days), "day")
-    past = u.select(F.explode(F.sequence(F.col("i") + 1, F.col("i") + 30)).alias("i"), "n", "p", F.col("z").alias("before")).groupBy("i", "n", "p").agg(F.avg("before").alias("past"))
-    return u.join(past, ["i", "n", "p"], "left").groupBy("day").agg(R(F.coalesce(F.avg((F.col("z") - F.col("past")) * (F.col("z") - F.col("past"))), F.lit(0.0))).alias("shape_dev")).select(F.col("day").cast("string").alias("day"), "shape_dev")
+    days = placed.select("series_id", "day").distinct().withColumn("i", F.row_number().over(Window.partitionBy("series_id").orderBy("day")))
+    u = placed.join(days, ["series_id", "day"])
+    later = F.explode(F.sequence(F.col("i") + 1, F.col("i") + 30)).alias("i")
+    past = u.select("series_id", later, "n", "p", F.col("z").alias("before")).groupBy("series_id", "i", "n", "p").agg(F.avg("before").alias("past"))
+    gap = F.col("z") - F.col("past")
+    found = u.join(past, ["series_id", "i", "n", "p"], "left").groupBy("series_id", "day").agg(R(F.coalesce(F.avg(gap * gap), F.lit(0.0))).alias("shape_dev"))
+    return found.select("series_id", F.col("day").cast("string").alias("day"), "shape_dev")
 
 
 @query("ag27_prompt_stats", "SELECT count(*) AS prompts, max(k) AS most, min(k) FILTER (k > 0) AS least, round(avg(k), 6) AS mean FROM (SELECT (props->>'k')::BIGINT AS k FROM events)")

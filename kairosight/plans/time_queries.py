@@ -154,7 +154,7 @@ def ops3(spark, d):
     return splits.by_time_keeping_sizes(e, "split", "ts", "event_id").select("event_id", "split")
 
 
-@query("ops4_probe")
+@query("ops4_probe", "SELECT event_id FROM events QUALIFY row_number() OVER (ORDER BY md5('42:' || event_id)) <= greatest(100, floor(count(*) OVER () * 0.05))")
 def ops4(spark, d):
     """OPS4 and OPS5: a fraction, with a least number of rows."""
     return splits.probe(table(spark, d, "events").select("event_id"), F.col("event_id"), 0.05, 100, 42)

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from kairosight.plans import bank_queries, control_queries, etl_queries, model_queries, registry, residual_queries, text_queries, time_queries  # noqa: F401
+from kairosight.plans import bank_queries, control_queries, etl_queries, model_queries, registry, residual_queries, run_queries, text_queries, time_queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kairosight.operators import bank, windows
+from kairosight.operators import bank, splits, windows
 from kairosight.operators.quantiles import quantiles
 from kairosight.sources import stored
 
@@ -88,3 +88,26 @@ def test_shared_folder_must_be_set_on_a_cluster():
 def test_quantile_plan_has_no_single_task_percentile(spark):
     plan = quantiles(spark.range(100).select(F.col("id").cast("double").alias("v")), "v", [0.5])._jdf.queryExecution().toString()
     assert "percentile" not in plan.lower()
+
+
+def test_smoothing_a_long_span_of_minutes(spark):
+    """More rows than a piece in one span, several keys; equals a loop."""
+    n = 3000
+    df = spark.range(n).select((F.col("id") % 2).alias("k"), F.timestamp_seconds(F.col("id") * 60).alias("t"), (F.pmod(F.col("id") * 37, F.lit(101)) - 50.0).alias("x"))
+    found = {(r.k, r.t): r.e for r in bank.ema(df, 0.07, ["k"], "t", "x", "e").collect()}
+    assert len(found) == n
+    carry = {}
+    for r in df.orderBy("t").collect():
+        carry[r.k] = 0.07 * r.x + 0.93 * carry[r.k] if r.k in carry else r.x
+        assert abs(found[r.k, r.t] - carry[r.k]) < 1e-9
+
+
+def test_probe_takes_whole_counts_with_ties_and_nulls(spark):
+    rows = [(i // 2 if i % 7 else None,) for i in range(100)]
+    df = spark.createDataFrame(rows, "digest long").repartition(5)
+    taken = splits.probe(df, F.col("digest"), 0.3, 10, 1).collect()
+    assert len(taken) == 30 and set(taken) <= set(df.collect())
+    assert splits.probe(df, F.col("digest"), 0.0, 200, 1).count() == 100
+    assert splits.probe(df.limit(0), F.col("digest"), 0.5, 3, 1).count() == 0
+    again = splits.probe(df.repartition(2), F.col("digest"), 0.3, 10, 1).collect()
+    assert sorted(map(str, again)) == sorted(map(str, taken))
