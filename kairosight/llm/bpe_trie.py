@@ -3,14 +3,16 @@
 The last token of the encoding of every prefix of a word fixes the whole encoding: it is the
 one token that ends there, and that BPE would leave standing after the last token of what lies
 before it.  Distinct words form a trie; walking it depth first (here: in sorted order, keeping
-the states of the current path) computes the state of a shared prefix once.
+the states of the current path) computes the state of a shared prefix once.  The tokens that end
+at a place are read off a trie of the reversed vocabulary, so a place costs no more steps than the
+longest match there, however long the text runs without a break.
 
 Two neighbouring tokens stay apart unless some merge joins a piece on the right edge of the
 first with a piece on the left edge of the second while both pieces are alive, that is before
 their own tokens consume them.  Equal merges happen from left to right, so at the same rank the
 first token keeps its edge and the second loses it.
 
-Defined cases: a null or empty text has no tokens; special token strings in a text become their
+Defined cases: a null or empty text has no tokens; very long texts are encoded whole; special token strings in a text become their
 ids, as the library does by default; repeated rows are encoded alike; other columns are ignored.
 """
 
@@ -58,7 +60,7 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.id = {bytes(alphabet[c] for c in s): i for s, i in vocab.items() if s not in self.special}
         self.bytes = {i: b for b, i in self.id.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.longest = max(map(len, self.id))
+        self.step, self.ending = self._backwards(self.id)
         rank, parts = {}, {}
         for r, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
@@ -69,6 +71,21 @@ class Encoder:
         self.left = {t: self._edge(t, parts, 0) for t in self.bytes}
         self.known_pairs: dict[tuple[int, int], bool] = {}
 
+    @staticmethod
+    def _backwards(tokens: dict[bytes, int]) -> tuple[dict[int, int], list[int]]:
+        """A trie over the reversed vocabulary: the step from node * 256 + byte, and the token that a node ends, or -1."""
+        step, ending = {}, [-1]
+        for body, token in tokens.items():
+            node = 0
+            for b in reversed(body):
+                at = node << 8 | b
+                node = step.get(at, 0)
+                if not node:
+                    node = step[at] = len(ending)
+                    ending.append(-1)
+            ending[node] = token
+        return step, ending
+
     @staticmethod
     def _edge(token: int, parts: dict, side: int) -> list[tuple[int, int]]:
         """Pieces on one edge of a token, each with the rank of the merge that consumes it."""
@@ -96,7 +113,7 @@ class Encoder:
 
     def walk(self, distinct: Iterable[bytes]) -> Iterable[tuple[bytes, list[int]]]:
         """Each word with its ids, in sorted order; the states of shared prefixes are computed once."""
-        ids, longest, apart = self.id, self.longest, self.apart
+        step, ending, apart, whole = self.step.get, self.ending, self.apart, self.whole
         path, state = b"", [(-1, 0)]  # per prefix length: last token, where it starts
         for word in sorted(distinct):
             n, shared = len(word), 0
@@ -105,9 +122,16 @@ class Encoder:
                 shared += 1
             del state[shared + 1 :]
             for end in range(shared + 1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is not None and (start == 0 or apart(state[start][0], token)) and (start > 0 or self.whole(token)):
+                node, start, found = 0, end, []
+                while start:
+                    node = step(node << 8 | word[start - 1], 0)
+                    if not node:
+                        break
+                    start -= 1
+                    if ending[node] >= 0:
+                        found.append((ending[node], start))
+                for token, start in reversed(found):  # the longest first
+                    if apart(state[start][0], token) if start else whole(token):
                         state.append((token, start))
                         break
                 else:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -43,3 +44,13 @@ def test_whole_small_table(spark, library):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in bpe_trie.encode(docs).collect():
         assert r.ids == library.encode(texts[r.doc_id], add_special_tokens=False).ids and r.decoded == texts[r.doc_id]
+
+
+def test_long_texts_without_a_break(library):
+    rng = random.Random(9)
+    texts = ["a" * 100_000, "é漢" * 25_000, " " * 70_000, "".join(rng.choices("abcdeth", k=100_000)), "=" * 50_000 + "x", "ha" * 40_000]
+    began = time.perf_counter()
+    found = list(bpe_trie.Codec(P.path("byte_bpe_50k.json")).encode(texts))
+    assert time.perf_counter() - began < 20
+    for t, (ids, decoded) in zip(texts, found, strict=True):
+        assert ids == ",".join(map(str, library.encode(t, add_special_tokens=False).ids)) and decoded == t
