@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import control, runs
-from ..sources import frontier, stored
+from ..sources import archives, feeds, frontier, stored
+from ..sources.shipping import ship
+from .model_queries import _run
 from .registry import query, table
 
 _MANIFESTS = """SELECT o_custkey, CASE WHEN o_orderkey % 16 < 2 THEN 'bank' WHEN o_orderkey % 16 < 4 THEN 'refined' ELSE 'news' END AS kind,
@@ -93,3 +95,19 @@ def src13(spark, d):
     links = text.page_links(F.col("html"), F.col("url"))
     found = frontier.crawl(seeds, lambda asked: replies.join(asked, "url"), links, F.rlike("url", F.lit(r"^https://site[0-6]\.example/p/[0-9]+$")), F.col("year") == 2024)
     return found.select("url", "depth", "answered")
+
+
+@query("src12_archive", """WITH RECURSIVE l AS (SELECT DISTINCT date_trunc('hour', ts) AS t FROM events WHERE ts < TIMESTAMP '2024-01-25'), r AS (SELECT min(t) AS t FROM l UNION ALL SELECT min(l.t) FROM r JOIN l ON l.t >= r.t + INTERVAL 36 HOUR HAVING min(l.t) IS NOT NULL),
+s AS (SELECT t, strftime(t, '%Y%m%d%H%M%S') AS stamp FROM r)
+SELECT stamp, link, strftime(t, '%Y-%m-%d %H:%M:%S') AS published FROM s, (VALUES (TRUE), (FALSE)) v(own), LATERAL (SELECT 'http://a.example/' || CASE WHEN own THEN stamp ELSE 'all' END AS link)""")
+def src12(spark, d):
+    """The hours that have events are snapshots of a feed; a stream reads those 36 hours apart, and their items are parsed."""
+    ship(spark)
+    spark.dataSource.register(archives.ArchiveSnapshots)
+    hours = table(spark, d, "events").select(F.date_trunc("HOUR", "ts").alias("t")).distinct()
+    stamps = sorted(r.s for r in hours.select(F.date_format("t", "yyyyMMddHHmmss").alias("s")).collect())  # the hours of the time axis
+    o = {"transport": "kairosight.sources.testing.archive", "url": ",".join(stamps), "target": "feed", "days": "1.5", "to": "20240125"}
+    sink = stored.place(spark, "snapshots")
+    _run(spark.readStream.format("archive_snapshots").options(**o).load(), sink, "append")
+    found = feeds.items(spark.read.option("basePath", sink).parquet(f"{sink}/batch=*"), "body", ["stamp"])
+    return found.select("stamp", "link", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"))

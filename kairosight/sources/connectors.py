@@ -79,6 +79,8 @@ class _Reader(DataSourceReader):
         return windows(self.o["start"], self.o["end"], int(self.o.get("days", "7")), chunked(keys, int(self.o.get("chunk", "25"))) or None)
 
     def read(self, partition) -> Iterator[tuple]:
+        if partition is None:  # what Spark passes where there are no partitions
+            return
         module, name = self.o["transport"].rsplit(".", 1)
         fetch = getattr(importlib.import_module(module), name)
         limit, least = int(self.o.get("limit", str(SATURATED))), self.o.get("least_minutes", "1")
@@ -150,6 +152,8 @@ class _MonthReader(DataSourceReader):
         return [Month(y, m, c) for y, m in months(self.o["start"], self.o["end"]) if wanted(y, m) for c in chunked(keys, int(self.o.get("chunk", "25"))) or [""]]
 
     def read(self, partition) -> Iterator[tuple]:
+        if partition is None:  # what Spark passes where there are no partitions
+            return
         module, name = self.o["transport"].rsplit(".", 1)
         fetch = getattr(importlib.import_module(module), name)
         y, m = partition.year, partition.month
@@ -163,7 +167,7 @@ class _MonthReader(DataSourceReader):
 class MonthlyService(DataSource):
     """Rows: year, month, keys, row (JSON text): one partition for each calendar month of [start, end) and chunk of keys.
 
-    With spark.sql.python.filterPushdown.enabled, filters on year and month leave out the months that they rule out.
+    Filters on year and month leave out the months that they rule out; spark.sql.python.filterPushdown.enabled must be true.
     """
 
     @classmethod

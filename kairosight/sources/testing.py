@@ -2,9 +2,9 @@
 
 import io
 import zipfile
-from xml.sax.saxutils import escape
-
 from datetime import datetime, timedelta
+from pathlib import Path
+from xml.sax.saxutils import escape
 
 
 def replies(url: str, parameters: dict) -> list[dict]:
@@ -28,6 +28,30 @@ def monthly(url: str, parameters: dict) -> list[dict]:
     return [{"key": k, "start": parameters["start"], "end": parameters["end"]} for k in parameters["keys"].split(",")]
 
 
+def feed_of(stamp: str) -> str:
+    """A feed with an item of the snapshot's hour and one that all snapshots share."""
+    at = datetime.strptime(stamp, "%Y%m%d%H%M%S").strftime("%a, %d %b %Y %H:%M:%S GMT")
+    item = lambda n: f"<item><title>T {n}</title><link>http://a.example/{n}</link><pubDate>{at}</pubDate><description>about {n}</description></item>"
+    return f"<rss><channel>{item(stamp)}{item('all')}</channel></rss>"
+
+
+def archive(url: str, parameters: dict):
+    """The address of the listing is the stamps themselves; a snapshot's ends with its stamp."""
+    if not parameters:
+        return feed_of(url.rsplit("/", 1)[-1])
+    return [{"timestamp": s, "url": f"archive/{s}"} for s in url.split(",") if s > parameters["after"]]
+
+
+def shelf(url: str, parameters: dict):
+    """A folder with a file for each stamp is the archive; what is asked for is noted in a file beside it."""
+    folder = Path(url)
+    if parameters:
+        return [{"timestamp": f.name, "url": str(f)} for f in folder.iterdir()]
+    with open(f"{folder.parent}.asked", "a") as f:
+        f.write(folder.name + "\n")
+    return folder.read_text()
+
+
 def workbook(tables: dict[str, list[list]]) -> bytes:
     """A workbook with these sheets; None is no cell, texts alternate between shared and inline ones."""
     shared: list[str] = []

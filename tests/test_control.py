@@ -59,3 +59,12 @@ def test_lenient_time(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "s string").select("s", times.lenient_time(F.col("s")).alias("t")).collect()
     assert {r.s: r.t for r in rows} == cases
     assert spark.createDataFrame([(None,)], "s string").select(times.lenient_time(F.col("s")).alias("t")).first().t is None
+
+
+def test_services_without_windows(spark):
+    spark.dataSource.register(connectors.WindowedService)
+    spark.dataSource.register(connectors.MonthlyService)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    o = {"transport": "kairosight.sources.testing.monthly", "url": "none", "start": "2024-02-01", "end": "2024-02-01", "keys": "a"}
+    assert spark.read.format("windowed_service").options(**o).load().count() == 0
+    assert spark.read.format("monthly_service").options(**o).load().count() == 0
