@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from . import scale
+from .quantiles import keyed_quantiles
 
 HOURS = [f"hour_{h:02d}" for h in range(24)]
 
@@ -115,7 +116,7 @@ def lag_aligned(bank: DataFrame, target: DataFrame, lags: tuple[int, ...], least
 
 def normalised_scores(df: DataFrame, score: str, keys: list[str]) -> DataFrame:
     """df with norm: the score less the keys' median, at least zero, over its peak (ones where nothing peaks)."""
-    m = df.groupBy(*keys).agg(F.percentile(score, F.lit(0.5)).alias("__m"))
-    above = df.join(m, keys).withColumn("__a", F.greatest(F.col(score) - F.col("__m"), F.lit(0.0)))
+    m = keyed_quantiles(df, keys, score, [0.5]).select(*keys, F.col("q")[0].alias("__m"))
+    above = df.join(m, keys, "left").withColumn("__a", F.greatest(F.col(score) - F.col("__m"), F.lit(0.0)))
     peak = above.groupBy(*keys).agg(F.max("__a").alias("__p"))
     return above.join(peak, keys).withColumn("norm", F.when(F.col("__p") > 1e-12, F.col("__a") / F.col("__p")).otherwise(1.0)).drop("__m", "__a", "__p")

@@ -30,37 +30,68 @@ def _finer(x: Column) -> Column:
     return F.when(F.isnan(x) | (x == 0), F.lit(0)).when(x > 0, size).otherwise(-size).cast("bigint")
 
 
-def _located(counts: DataFrame, by: list[str], order: str, targets: DataFrame) -> DataFrame:
-    """targets(rank, place, *by) with the value of `order` whose rows hold their place; place becomes that inside it."""
+def _located(counts: DataFrame, by: list[str], order: str, targets: DataFrame, few: bool = True) -> DataFrame:
+    """targets(rank, place, *by), few unless there are keys, with the value of `order` whose rows hold their place; place becomes that inside it."""
     w = Window.partitionBy(*by) if by else Window.partitionBy()
     before = F.sum("n").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     cut = counts.withColumn("before", before)
-    joined = cut.join(F.broadcast(targets), by) if by else cut.crossJoin(F.broadcast(targets))  # two rows a quantile
+    sent = F.broadcast(targets) if few else targets  # two rows a quantile
+    joined = cut.join(sent, by) if by else cut.crossJoin(sent)
     held = joined.where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("n")))
     return held.select("rank", (F.col("place") - F.col("before")).alias("place"), *by, order)
 
 
+def _ranks(probabilities: list[float]) -> Column:
+    """The ranks, from 0, of the values that n values' quantiles lie between."""
+    ranks = [F.floor(F.lit(float(p)) * (F.col("n") - 1)) + up for p in probabilities for up in (0, 1)]
+    return F.array_distinct(F.array(*(F.least(r, F.col("n") - 1).cast("bigint") for r in ranks)))
+
+
+def _interpolated(probabilities: list[float]) -> Column:
+    """The quantiles from n and `at`, the values by rank."""
+    at = lambda r: F.element_at("at", r.cast("bigint"))
+
+    def between(p: float) -> Column:
+        exact = F.lit(float(p)) * (F.col("n") - 1)
+        low = F.floor(exact)
+        high = F.least(low + 1, F.col("n") - 1)
+        return F.when(low == high, at(low)).otherwise((low + 1 - exact) * at(low) + (exact - low) * at(high))
+
+    return F.array(*(F.when(F.col("n") > 0, between(p)) for p in probabilities))
+
+
 def quantiles(df: DataFrame, value: str | Column, probabilities: list[float]) -> DataFrame:
     """One row, q: the quantiles with linear interpolation between neighbouring ranks; nulls do not count, no value gives nulls."""
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
     values = stored(df.select(x.alias("x")).where("x is not null"), "values")  # read three times
     rows = values.select("x", _bucket(F.col("x")).alias("b"), _finer(F.col("x")).alias("f"))
     buckets = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    ranks = [F.floor(F.lit(float(p)) * (F.col("n") - 1)) + up for p in probabilities for up in (0, 1)]
     total = buckets.agg(F.sum("n").alias("n"))
-    wanted = total.where("n > 0").select(F.explode(F.array_distinct(F.array(*(F.least(r, F.col("n") - 1).cast("bigint") for r in ranks)))).alias("rank"))
+    wanted = total.where("n > 0").select(F.explode(_ranks(probabilities)).alias("rank"))
     first = _located(buckets, [], "b", wanted.withColumn("place", F.col("rank")))
     inside = rows.join(F.broadcast(first.select("b").distinct()), "b")
     second = _located(inside.groupBy("b", "f").agg(F.count(F.lit(1)).alias("n")), ["b"], "f", first)
     last = inside.join(F.broadcast(second.select("b", "f").distinct()), ["b", "f"])
     found = _located(last.groupBy("b", "f", "x").agg(F.count(F.lit(1)).alias("n")), ["b", "f"], "x", second).select("rank", "x")
     one = total.crossJoin(F.broadcast(found.agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))))  # two values a quantile
-    at = lambda r: F.element_at("at", r.cast("bigint"))
+    return one.select(_interpolated(probabilities).alias("q"))
 
-    def between(p: float) -> Column:
-        exact = F.lit(float(p)) * (F.col("n") - 1)
-        low = F.floor(exact)
-        high = F.least(low + 1, F.col("n") - 1)
-        return F.when(low == high, at(low)).otherwise((low + 1 - exact) * at(low) + (exact - low) * at(high))
 
-    return one.select(F.array(*(F.when(F.col("n") > 0, between(p)) for p in probabilities)).alias("q"))
+def keyed_quantiles(df: DataFrame, keys: list[str], value: str | Column, probabilities: list[float]) -> DataFrame:
+    """keys, q: the quantiles of each key's values, as above; a key without values has no row.  Keys may be null.
+
+    Buckets of a key are counted before the shuffle, so a key that holds most rows is no single task.
+    """
+    x = (F.col(value) if isinstance(value, str) else value).cast("double")
+    values = stored(df.select(F.struct(*keys).alias("key"), x.alias("x")).where("x is not null"), "values")
+    rows = values.select("key", "x", _bucket(F.col("x")).alias("b"), _finer(F.col("x")).alias("f"))
+    count = F.count(F.lit(1)).alias("n")
+    buckets = rows.groupBy("key", "b").agg(count)
+    total = buckets.groupBy("key").agg(F.sum("n").alias("n"))
+    first = _located(buckets, ["key"], "b", total.select("key", F.explode(_ranks(probabilities)).alias("rank")).withColumn("place", F.col("rank")), False)
+    inside = rows.join(first.select("key", "b").distinct(), ["key", "b"])
+    second = _located(inside.groupBy("key", "b", "f").agg(count), ["key", "b"], "f", first, False)
+    last = inside.join(second.select("key", "b", "f").distinct(), ["key", "b", "f"])
+    found = _located(last.groupBy("key", "b", "f", "x").agg(count), ["key", "b", "f"], "x", second, False)
+    at = found.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))  # two values a quantile
+    return total.join(at, "key").select("key.*", _interpolated(probabilities).alias("q"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
+
+from .ranges import free
 
 #: Starts of windows that one task holds together, and days of a series that are numbered together.
 BLOCK, SPAN_DAYS = 4096, 30
@@ -96,10 +100,30 @@ def patches(a: Column, length: int, stride: int, pad: Column | None = None) -> C
     return F.transform(F.sequence(F.lit(0), n), lambda p: F.slice(full, p * stride + 1, length))
 
 
-def rolling(df: DataFrame, keys: list[str], order: list[str], rows: tuple[int, int], value: str, fn, least: int) -> Column:
-    """fn(value) over a row frame where it has at least so many values, else null."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*rows)
-    return F.when(F.count(value).over(w) >= least, fn(value).over(w))
+#: Rows of a part of a series; frames that reach over its start meet copies of the rows before it.
+PART = 8192
+
+
+def over_parts(rows: DataFrame, key: str, at: str, reach: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """rows with columns over a window of each key in the order of `at` whose frames go back `reach` rows at most (PART is more).
+
+    A series is cut into parts of PART rows, each with copies of the `reach` rows before it, so no task needs a whole one.
+    Times of a key are distinct; rows with a null key or time go.  rows has no column `start`.
+    """
+    part, copied = free("part", rows), free("copied", rows)
+    numbered = indexed(rows, key, at)
+    own = F.floor(F.col("start") / PART)
+    here, ahead = F.struct(own.alias(part), F.lit(False).alias(copied)), F.struct((own + 1).alias(part), F.lit(True).alias(copied))
+    spots = F.when(F.pmod("start", F.lit(PART)) >= PART - reach, F.array(here, ahead)).otherwise(F.array(here))
+    dealt = numbered.select(*rows.columns, F.inline(spots))
+    w = Window.partitionBy(key, part).orderBy(at)
+    return dealt.withColumns(columns(w)).where(~F.col(copied)).drop(part, copied)
+
+
+def rolling(rows: DataFrame, key: str, at: str, back: int, value: str, fn: Callable, least: int, out: str) -> DataFrame:
+    """rows with out: fn(value) over a row and the `back` rows before it where they have so many values, else null."""
+    framed = lambda w: w.rowsBetween(-back, 0)
+    return over_parts(rows, key, at, back, lambda w: {out: F.when(F.count(value).over(framed(w)) >= least, fn(value).over(framed(w)))})
 
 
 def seasonal_naive(daily: DataFrame, value: str = "value", day: str = "day") -> DataFrame:

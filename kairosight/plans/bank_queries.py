@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import bank, scale, windows
+from ..operators.quantiles import keyed_quantiles, quantiles
 from . import fixtures as X
 from .registry import query, table
 
@@ -315,9 +315,9 @@ SELECT q.day::VARCHAR AS day, round(avg(value), 6) AS mean, round(max(value), 6)
 count(*) FILTER (value > m + 3 * greatest(iqr, 1e-6)) AS spikes FROM events e JOIN q ON q.day = e.ts::DATE GROUP BY 1""")
 def ag23(spark, d):
     e = table(spark, d, "events").select(F.to_date("ts").alias("day"), "value")
-    q = e.groupBy("day").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = keyed_quantiles(e, ["day"], "value", [0.25, 0.5, 0.75, 0.95])
     limit = F.col("q")[1] + 3 * F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-6))
-    p = e.join(q, "day").groupBy("day").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.percentile("value", F.lit(0.95)).alias("p95"), F.stddev_samp("value").alias("std"), F.count_if(F.col("value") > limit).alias("spikes"))
+    p = e.join(q, "day").groupBy("day").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.any_value("q")[3].alias("p95"), F.stddev_samp("value").alias("std"), F.count_if(F.col("value") > limit).alias("spikes"))
     return p.select(F.col("day").cast("string").alias("day"), *(R(c).alias(c) for c in ("mean", "max", "p95", "std")), "spikes")
 
 
@@ -326,13 +326,13 @@ q AS (SELECT quantile_cont(vol, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) A
 SELECT series_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, CASE WHEN vol IS NULL THEN 0 ELSE least(len(list_filter(q, lambda x: x < vol)), 9) END AS bin FROM v, q""")
 def ag29(spark, d):
     s = X.series(spark, d)
-    v = s.select("series_id", "ts", windows.rolling(s, ["series_id"], ["ts"], (-11, 0), "value", F.stddev_samp, 12).alias("vol"))
-    q = v.agg(F.percentile("vol", F.array(*(F.lit(i / 10) for i in range(1, 10)))).alias("q"))
+    v = windows.rolling(s, "series_id", "ts", 11, "value", F.stddev_samp, 12, "vol")
+    q = quantiles(v, "vol", [i / 10 for i in range(1, 10)])
     bin_ = F.when(F.col("vol").isNull(), 0).otherwise(F.least(F.size(F.filter("q", lambda x: x < F.col("vol"))), F.lit(9)))
     return v.crossJoin(F.broadcast(q)).select("series_id", T("ts").alias("t"), bin_.cast("bigint").alias("bin"))  # one row of thresholds
 
 
 @query("wn15_time_gaps", f"WITH {X.SERIES} SELECT series_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, (epoch(ts) - epoch(lag(ts) OVER (PARTITION BY series_id ORDER BY ts))) / 60 AS minutes FROM series")
 def wn15(spark, d):
-    before = F.lag("ts").over(Window.partitionBy("series_id").orderBy("ts"))
-    return X.series(spark, d).select("series_id", T("ts").alias("t"), ((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(before.cast("timestamp"))) / 60.0).alias("minutes"))
+    gaps = windows.over_parts(X.series(spark, d), "series_id", "ts", 1, lambda w: {"before": F.lag("ts").over(w)})
+    return gaps.select("series_id", T("ts").alias("t"), ((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("before").cast("timestamp"))) / 60.0).alias("minutes"))

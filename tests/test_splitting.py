@@ -6,9 +6,10 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kairosight.operators import bank, splits, windows
-from kairosight.operators.quantiles import quantiles
+from kairosight.operators.quantiles import keyed_quantiles, quantiles
 from kairosight.sources import stored
 
 P = [0.0, 0.005, 0.25, 0.5, 0.9, 0.995, 1.0]
@@ -111,3 +112,24 @@ def test_probe_takes_whole_counts_with_ties_and_nulls(spark):
     assert splits.probe(df.limit(0), F.col("digest"), 0.5, 3, 1).count() == 0
     again = splits.probe(df.repartition(2), F.col("digest"), 0.3, 10, 1).collect()
     assert sorted(map(str, again)) == sorted(map(str, taken))
+
+
+def test_keyed_quantiles_with_null_keys_and_a_hot_one(spark):
+    rows = [("hot" if i % 3 else f"k{i % 5}", None if i % 11 == 0 else float((i * 37) % 101) / 7) for i in range(2000)] + [(None, 2.0), (None, 4.0), ("none", None), ("one", -1.5)]
+    df = spark.createDataFrame(rows, "key string, x double")
+    got = {r.key: r.q for r in keyed_quantiles(df, ["key"], "x", P).collect()}
+    assert set(got) == {"hot", "k0", "k1", "k2", "k3", "k4", None, "one"}
+    for k, q in got.items():
+        assert np.allclose(q, np.quantile([x for key, x in rows if key == k and x is not None], P))
+    assert keyed_quantiles(df.limit(0), ["key"], "x", P).count() == 0
+
+
+def test_frames_over_parts_equal_whole_windows(spark, monkeypatch):
+    monkeypatch.setattr(windows, "PART", 64)
+    df = spark.range(1500).select((F.col("id") % 7 % 3).alias("k"), F.timestamp_seconds(F.col("id") * 7919 % 1_000_000 * 13).alias("t"), F.when(F.col("id") % 10 > 0, F.sin("id")).alias("part"))
+    got = windows.rolling(df, "k", "t", 11, "part", F.sum, 9, "s")
+    assert got.columns == ["k", "t", "part", "s"]
+    w = Window.partitionBy("k").orderBy("t").rowsBetween(-11, 0)
+    whole = df.withColumn("s", F.when(F.count("part").over(w) >= 9, F.sum("part").over(w)))
+    tell = lambda x: sorted((r.k, r.t, None if r.s is None else round(r.s, 9)) for r in x.collect())
+    assert tell(got) == tell(whole) and got.count() == 1500
