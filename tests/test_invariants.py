@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kairosight.functions import text, times
-from kairosight.operators import bank, etl, evaluate, models, news, residual, scale, splits, windows
+from kairosight.operators import bank, etl, evaluate, information, models, news, residual, scale, splits, windows
 from kairosight.plans import fixtures as X
 from kairosight.sources import connectors
 from kairosight.streaming import bank_stream
@@ -119,13 +119,16 @@ def test_ridge_finds_a_line(spark):
     assert w.ravel() == pytest.approx([2, -1, 5], abs=1e-5)
 
 
-def test_mutual_information_tells_dependence():
+def test_mutual_information_tells_dependence(spark):
     import numpy as np
 
     rng = np.random.default_rng(0)
     x = rng.normal(size=300)
-    assert models.mutual_information(x, x + 0.1 * rng.normal(size=300)) > 1 > 0.2 > models.mutual_information(x, rng.normal(size=300))
-    assert np.isnan(models.mutual_information(x[:5], x[:5]))
+    pairs = {"joined": (x, x + 0.1 * rng.normal(size=300)), "apart": (x, rng.normal(size=300)), "few": (x[:5], x[:5])}
+    rows = [(g, float(a), float(b)) for g, (xs, ys) in pairs.items() for a, b in zip(xs, ys, strict=True)]
+    found = {r.g: r.mi for r in information.mutual(spark.createDataFrame(rows, "g string, x double, y double"), ["g"]).collect()}
+    assert found["joined"] > 1 > 0.2 > found["apart"]
+    assert np.isnan(found["few"])
 
 
 def replies(url, parameters):
@@ -137,7 +140,7 @@ def replies(url, parameters):
 
 def test_windowed_service(spark):
     spark.dataSource.register(connectors.WindowedService)
-    read = spark.read.format("windowed_service").option("start", "2024-01-01").option("end", "2024-01-10").option("days", "4").option("limit", "3").option("transport", "kairosight.sources.testing.replies")
+    read = spark.read.format("windowed_service").option("start", "2024-01-01").option("end", "2024-01-10").option("days", "4").option("limit", "3").option("least_minutes", "0").option("transport", "kairosight.sources.testing.replies")
     rows = read.option("url", "ok").load().collect()
     assert len(rows) == 9 and all(r.saturated for r in rows) and {r.window_end for r in rows} == {"2024-01-05T00:00:00", "2024-01-09T00:00:00", "2024-01-10T00:00:00"}
     assert json.loads(rows[0].row)["id"] == 0
