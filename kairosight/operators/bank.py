@@ -55,13 +55,24 @@ class Grid:
     def bounds(self) -> tuple[Column, Column]:
         """Start rounded down and end rounded up to the step; a daily grid takes both midnights."""
         a, b = (F.lit(x).cast("timestamp_ntz") for x in (self.start, self.end))
-        return (floor_to(a, self.minutes), F.date_trunc("DAY", b).cast("timestamp_ntz") if self.daily else ceil_to(b, self.minutes))
+        return self.rounded(a, b)
+
+    def rounded(self, start: Column, end: Column) -> tuple[Column, Column]:
+        """Any two times as bounds of a grid of this step."""
+        return (floor_to(start, self.minutes), F.date_trunc("DAY", end).cast("timestamp_ntz") if self.daily else ceil_to(end, self.minutes))
 
     def times(self, spark) -> DataFrame:
         a, b = self.bounds()
         return spark.range(1).select(F.explode(F.sequence(a, b, self.step)).alias("t"))
 
 
+def grids(df: DataFrame, keys: list[str], at: str, minutes: int) -> DataFrame:
+    """keys and t: the regular grid of each key, from its first time to its last; null times count for nothing."""
+    step, x = Grid("", "", minutes), F.col(at).cast("timestamp_ntz")
+    lo, hi = step.rounded(F.min(x), F.max(x))
+    return df.where(x.isNotNull()).groupBy(*keys).agg(F.struct(lo.alias("lo"), hi.alias("hi")).alias("t")).select(*keys, F.explode(F.sequence("t.lo", "t.hi", step.step)).alias("t"))
+
+
 def _seconds(ts: Column) -> Column:
     return F.unix_timestamp(ts.cast("timestamp"))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, times
+from .ranges import free
 
 
 def identity(date: Column, title: Column, url: Column) -> dict[str, Column]:
@@ -84,21 +88,21 @@ def distinct_values(records: DataFrame, columns: list[str]) -> DataFrame:
     return records.agg(*(F.array_sort(F.collect_set(F.trim(text.or_empty(F.col(c))))).alias(c) for c in columns))
 
 
-def manifest_matches(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row, matches: null without a manifest, else whether every expected key has an equal value (numbers to 1e-8).
+def manifests_match(banks: DataFrame, manifests: DataFrame, on: list[str], expected: dict[str, str | float]) -> DataFrame:
+    """banks with matches: null without a manifest, else whether every expected key has an equal value (numbers to 1e-8).
 
-    Both are (key, value text); expected has kind, number or text.
+    manifests has the columns on, key and value (text); a key that is there twice must be equal both times, a missing one is not.
     """
-    n = actual.agg(F.count(F.lit(1)).alias("__n"))
-    e = expected.join(actual.withColumnRenamed("value", "__v"), "key", "left")
-    a, b = F.col("__v").try_cast("double"), F.col("value").try_cast("double")
-    same = F.when(F.col("kind") == "number", F.coalesce(F.abs(a - b) <= 1e-8, F.lit(False))).otherwise(F.coalesce(F.col("__v") == F.col("value"), F.lit(False)))
-    return e.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("m")).crossJoin(n).select(F.when(F.col("__n") > 0, F.col("m")).alias("matches"))
+    key, value, n, found = (F.col("key"), F.col("value"), free("n", banks), free("found", banks))
+    near = lambda v: F.abs(value.try_cast("double") - v) <= 1e-8
+    same = {k: near(float(v)) if isinstance(v, (int, float)) else value == v for k, v in expected.items()}
+    equal = [F.coalesce(F.bool_and(F.when(key == k, F.coalesce(s, F.lit(False)))), F.lit(False)) for k, s in same.items()]
+    told = manifests.groupBy(*on).agg(F.count(F.lit(1)).alias(n), reduce(and_, equal, F.lit(True)).alias(found))
+    return banks.join(told, on, "left").withColumn("matches", F.when(F.col(n) > 0, F.col(found))).drop(n, found)
 
 
-def grid(spark, **axes: list) -> DataFrame:
-    """All combinations of named parameter values, a bounded sweep."""
-    out = spark.range(1).select()
+def swept(df: DataFrame, **axes: list) -> DataFrame:
+    """Each row of df with all combinations of named parameter values, a bounded sweep."""
     for name, values in axes.items():
-        out = out.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
-    return out
+        df = df.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return df

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import times
+from ..sources.shipping import ship
 from ..sources.stored import stored
 from .ranges import free, running
 
@@ -95,9 +101,14 @@ def by_time_keeping_sizes(df: DataFrame, split: str, at: str, tie: str) -> DataF
     return by_sizes(df.drop(split), [at, tie], n.get("train", 0), n.get("val", 0))
 
 
+def _digest(key: Column, seed: int) -> Column:
+    """md5 of seed and key, the same on any cluster; a null key counts as the empty text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+
+
 def shuffled(df: DataFrame, key: Column, seed: int) -> DataFrame:
-    """A column to order by for a repeatable shuffle."""
-    return df.withColumn("shuffle_key", F.xxhash64(key, F.lit(seed)))
+    """shuffle_key, a column to order by for a repeatable shuffle."""
+    return df.withColumn("shuffle_key", _digest(key, seed))
 
 
 def with_history(previous: DataFrame, current: DataFrame, key: str, at: str, history: int) -> DataFrame:
@@ -120,29 +131,57 @@ def probe(df: DataFrame, key: Column, fraction: float, least: int, seed: int) ->
     """
     digest, place = free("digest", df), free("place", df)
     k = max(least, int(df.count() * fraction))
-    said = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
-    marked = df.withColumn(digest, F.md5(said.cast("binary")))
+    marked = df.withColumn(digest, _digest(key, seed))
     return running(marked, [], [digest], F.lit(1), place).where(F.col(place) < k).select(*df.columns)
 
 
-def slices(spark, start: str, end: str, days: int) -> DataFrame:
-    """[start, end) cut into slices of so many days: lo, hi."""
-    a, b = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
+def slices(df: DataFrame, start: str, end: str, days: int) -> DataFrame:
+    """Each row's [start, end) cut into slices of so many days: the row with lo and hi; none where a bound is null or start is not before end."""
+    a, b = (F.col(x).cast("timestamp_ntz") for x in (start, end))
     step = F.make_dt_interval(F.lit(days))
-    return spark.range(1).select(F.explode(F.sequence(a, b, F.expr(f"interval {days} days"))).alias("lo")).where(F.col("lo") < b).select("lo", F.least(F.col("lo") + step, b).alias("hi"))
-
-
-def months(spark, year: int) -> DataFrame:
-    """month, first and last day of each month of a year."""
-    m = spark.range(1, 13).select(F.make_date(F.lit(year), F.col("id").cast("int"), F.lit(1)).alias("first"))
-    return m.select(F.month("first").alias("month"), "first", F.last_day("first").alias("last"))
+    cut = df.where(a < b).withColumn("lo", F.explode(F.sequence(a, b, F.expr(f"interval {days} days"))))
+    return cut.where(F.col("lo") < b).withColumn("hi", F.least(F.col("lo") + step, b))
+
+
+def months(df: DataFrame, year: str) -> DataFrame:
+    """Each row with month, first and last day of every month of its year."""
+    m = df.withColumn("first", F.explode(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.make_date(F.col(year), i, F.lit(1)))))
+    return m.select(*df.columns, F.month("first").alias("month"), "first", F.last_day("first").alias("last"))
+
+
+def _chain(batches: Iterator[pa.RecordBatch], gap: float) -> Iterator[pa.RecordBatch]:
+    """The times kept, of batches sorted by key columns and then by a last column of seconds: what is held is the last key and time kept."""
+    before, last = None, 0.0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        *keys, seconds = batch.columns
+        at = seconds.to_numpy(zero_copy_only=False)
+        new = np.zeros(len(at), bool)
+        for key in keys:
+            new[1:] |= pc.not_equal(key.slice(1), key.slice(0, len(at) - 1)).to_numpy(zero_copy_only=False)
+        starts, kept = np.append(np.flatnonzero(new), len(at)), []
+        i = 0
+        for stop in starts:
+            own = tuple(key[i].as_py() for key in keys)
+            if own != before:
+                before, last = own, -np.inf
+            while (i := i + int(np.searchsorted(at[i:stop], last + gap))) < stop:
+                kept.append(i)
+                last = at[i]
+        yield batch.take(pa.array(kept, pa.int64()))
 
 
 def thinned(df: DataFrame, at: str, days: float, keys: list[str]) -> DataFrame:
-    """Rows at least so many days after the last row kept, greedily in time order; the fold runs per key over its times."""
-    gap = float(days) * 86400
+    """Rows at least so many days after the last row kept, greedily in time order; rows of null keys or times are not kept.
+
+    A key's distinct seconds are sorted, spilling where they must, and read in batches; the chain holds one time, so its memory
+    does not grow with a key, and only distinct seconds of the time axis, not rows, meet in the task of a hot key.
+    """
+    gap, second = float(days) * 86400, free("second", df)
     seconds = F.unix_timestamp(F.col(at).cast("timestamp"))
-    empty = F.array().cast("array<bigint>")
-    kept = F.aggregate("__t", empty, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(t))).otherwise(acc))
-    chosen = df.where(F.col(at).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(seconds)).alias("__t")).select(*keys, F.explode(F.when(F.size("__t") > 0, kept)).alias("__s"))
-    return df.withColumn("__s", seconds).join(chosen, [*keys, "__s"], "left_semi").drop("__s")
+    ship(df.sparkSession)
+    known = df.select(*keys, seconds.alias(second)).dropna().distinct()
+    ordered = (known.repartition(*keys) if keys else known.repartition(1)).sortWithinPartitions(*keys, second)
+    chosen = ordered.mapInArrow(lambda batches: _chain(batches, gap), known.schema)
+    return df.withColumn(second, seconds).join(chosen, [*keys, second], "left_semi").select(*df.columns)

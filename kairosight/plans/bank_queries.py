@@ -71,9 +71,14 @@ def ma1(spark, d):
     return z.select("series_id", "start", F.posexplode(F.arrays_zip("z", "back")).alias("pos", "x")).select("series_id", F.col("start").cast("bigint").alias("start"), F.col("pos").cast("bigint").alias("pos"), R("x.z").alias("z"), R("x.back").alias("back"))
 
 
-@query("dt12_regular_grid", "SELECT strftime(unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-02 00:00:00', INTERVAL 30 MINUTE)), '%Y-%m-%d %H:%M:%S') AS t")
+_TO_HALF = "to_timestamp({f}(floor(epoch({a}(ts))) / 1800) * 1800) AT TIME ZONE 'UTC'"
+
+
+@query("dt12_regular_grid", f"""WITH b AS (SELECT user_id, {_TO_HALF.format(f="floor", a="min")} AS lo, {_TO_HALF.format(f="ceil", a="max")} AS hi FROM events GROUP BY 1)
+SELECT user_id, strftime(unnest(generate_series(lo, hi, INTERVAL 30 MINUTE)), '%Y-%m-%d %H:%M:%S') AS t FROM b""")
 def dt12(spark, d):
-    return bank.Grid("2024-01-01 00:10:00", "2024-01-01 23:40:00", 30).times(spark).select(T("t").alias("t"))
+    """The grid of half hours of each user, from the first event to the last."""
+    return bank.grids(table(spark, d, "events"), ["user_id"], "ts", 30).select("user_id", T("t").alias("t"))
 
 
 @query("dt11_align_bounds", """SELECT event_id, strftime(to_timestamp(floor(epoch(ts) / 1800) * 1800) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS lo,

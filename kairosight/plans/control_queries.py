@@ -81,12 +81,13 @@ def tx10(spark, d):
     return table(spark, d, "documents").select("doc_id", control.names_any(path, ["E1", "n2"]).alias("hinted"))
 
 
-@query("tx26_found_columns", "SELECT * FROM (VALUES ('orderdate', 'o_orderdate'), ('status', 'o_orderstatus'), ('nothing', NULL), ('price', 'o_totalprice')) t(field, found)")
+@query("tx26_found_columns", """SELECT event_id, CASE WHEN event_type = 'click' THEN 'click Time' WHEN event_type = 'error' THEN 'ERROR' WHEN user_id = 8 THEN 'User.8' WHEN event_id % 2 = 0 THEN 'event id' END AS found FROM events""")
 def tx26(spark, d):
-    """Names are compared without case and punctuation; the first wanted name that a column has decides."""
-    wanted = {"orderdate": ["date", "O Order-Date"], "status": ["O.OrderStatus"], "nothing": ["order"], "price": ["Total", "o/total price", "o_orderkey"]}
-    columns = table(spark, d, "orders").columns
-    return spark.createDataFrame([(k, text.find_column(columns, v)) for k, v in wanted.items()], "field string, found string")
+    """Each event has a header of its own; names are compared without case and punctuation, the first wanted one that is there decides, of names alike the last."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    ids = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("Event_ID"), F.lit("event id"))).otherwise(F.array(F.lit("id")))
+    names = F.concat(ids, F.array(F.concat(kind, F.lit(" Time")), F.concat(F.lit("User."), user), F.upper(kind)))
+    return table(spark, d, "events").select("event_id", text.find_name(names, ["click_time", "Error", "user 8", "EventId"]).alias("found"))
 
 
 _SWAPPED = "CASE WHEN day(ts) <= 12 THEN make_date(year(ts), day(ts), month(ts)) ELSE ts::DATE END"

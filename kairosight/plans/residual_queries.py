@@ -257,8 +257,12 @@ def ma15_patience(spark, d):
     return evaluate.patience(epochs(spark, d)).select("run", "epoch", R("best").alias("best"), "waited")
 
 
-@query("ma14_learning_rates", """SELECT s AS step, round(0.01 * (1 + cos(pi() * s / 100)) / 2, 9) AS cosine,
-round(CASE WHEN s < 10 THEN 0.01 * (0.001 + 0.999 * s / 10) ELSE 0.001 + 0.009 * (1 + cos(pi() * (s - 10) / 90)) / 2 END, 9) AS warm FROM (SELECT unnest(range(101)) AS s)""")
+@query("ma14_learning_rates", """WITH e AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS s, count(*) OVER () AS n, count(*) OVER () // 10 AS w FROM events)
+SELECT event_id, s AS step, round(0.01 * (1 + cos(pi() * s / n)) / 2, 9) AS cosine,
+round(CASE WHEN s < w THEN 0.01 * (0.001 + 0.999 * s / w) ELSE 0.001 + 0.009 * (1 + cos(pi() * (s - w) / (n - w))) / 2 END, 9) AS warm FROM e""")
 def ma14(spark, d):
-    s = F.col("id")
-    return spark.range(101).select(s.alias("step"), R(evaluate.learning_rate(s, 100, 0.01), 9).alias("cosine"), R(evaluate.learning_rate(s, 100, 0.01, "warmup_cosine", 0.1, 0.1), 9).alias("warm"))
+    """The rates of an epoch that takes the events one by one in time order."""
+    e, s = table(spark, d, "events").select("event_id", "ts"), F.col("step")
+    n = e.count()
+    placed = ranges.running(e, [], ["ts", "event_id"], F.lit(1), "step")
+    return placed.select("event_id", s.cast("bigint").alias("step"), R(evaluate.learning_rate(s, n, 0.01), 9).alias("cosine"), R(evaluate.learning_rate(s, n, 0.01, "warmup_cosine", 0.1, 0.1), 9).alias("warm"))

@@ -203,24 +203,22 @@ def ag20(spark, d):
     return x.select(*(F.array_join(c, "|").alias(c) for c in x.columns))
 
 
-def _kv(spark, rows):
-    return spark.createDataFrame(rows, "key string, value string")
-
-
-@query("ct1_manifest_match", "SELECT * FROM (VALUES ('equal', TRUE), ('missing', FALSE), ('near', TRUE), ('none', NULL), ('other', FALSE)) t(case_name, matches)")
+@query("ct1_manifest_match", """SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL
+ELSE o_orderpriority <> '1-URGENT' AND o_custkey % 3 = 1 AND o_orderstatus = 'F' END AS matches FROM orders""")
 def ct1(spark, d):
-    want = spark.createDataFrame([("tau", "5.0", "number"), ("variant", "load", "text")], "key string, value string, kind string")
-    cases = {"equal": [("tau", "5.0"), ("variant", "load")], "near": [("tau", "5.000000000001"), ("variant", "load")], "missing": [("tau", "5.0")], "other": [("tau", "5.1"), ("variant", "load")], "none": []}
-    out = None
-    for name, rows in cases.items():
-        one = news.manifest_matches(_kv(spark, rows), want).select(F.lit(name).alias("case_name"), "matches")
-        out = one if out is None else out.union(one)
-    return out
+    """Orders are banks: their manifests tell the decay and the variant, some lack the variant, some banks have none."""
+    o, urgent = table(spark, d, "orders"), F.col("o_orderpriority") == "1-URGENT"
+    decay = F.concat((F.col("o_custkey") % 3 + 4).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ".0").otherwise(".000000000001"))
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    entries = F.filter(F.array(entry("tau", decay), entry("variant", F.when(~urgent, F.col("o_orderstatus"))), entry("made", F.col("o_orderdate").cast("string"))), lambda e: e["value"].isNotNull())
+    manifests = o.where("o_orderpriority <> '5-LOW'").select("o_orderkey", F.inline(entries))
+    return news.manifests_match(o.select("o_orderkey"), manifests, ["o_orderkey"], {"tau": 5.0, "variant": "F"})
 
 
-@query("ct7_parameter_grid", "SELECT b AS backbone, l AS lr, h AS horizon FROM (SELECT unnest(['dlinear', 'mlp']) AS b), (SELECT unnest([0.001::DOUBLE, 0.0001::DOUBLE]) AS l), (SELECT unnest([48, 96, 192]) AS h)")
+@query("ct7_parameter_grid", "SELECT c_custkey, b AS backbone, l AS lr, h AS horizon FROM customer, (SELECT unnest(['dlinear', 'mlp']) AS b), (SELECT unnest([0.001::DOUBLE, 0.0001::DOUBLE]) AS l), (SELECT unnest([48, 96, 192]) AS h)")
 def ct7(spark, d):
-    return news.grid(spark, backbone=["dlinear", "mlp"], lr=[0.001, 0.0001], horizon=[48, 96, 192])
+    """Customers are datasets, each with all settings."""
+    return news.swept(table(spark, d, "customer").select("c_custkey"), backbone=["dlinear", "mlp"], lr=[0.001, 0.0001], horizon=[48, 96, 192])
 
 
 @query("jn12_merged_themes", f"""WITH {_ART}, t AS (SELECT url, lang, min(pos) AS o FROM art GROUP BY 1, 2), m AS (SELECT url, string_agg(lang, '|' ORDER BY o) AS themes FROM t GROUP BY 1) SELECT m.url, themes, a.pos FROM m JOIN (SELECT url, min(pos) AS pos FROM art GROUP BY 1) a USING (url)""")

@@ -122,14 +122,22 @@ def dt18(spark, d):
     return e.select("event_id", times.site_date(s).cast("string").alias("day"), times.year_in(s).cast("bigint").alias("year"))
 
 
-@query("dt20_window_slices", "SELECT lo::VARCHAR AS lo, least(lo + INTERVAL 7 DAY, TIMESTAMP '2024-03-01')::VARCHAR AS hi FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-29', INTERVAL 7 DAY)) AS lo)")
+@query("dt20_window_slices", """WITH s AS (SELECT user_id, date_trunc('day', min(ts))::TIMESTAMP AS a, date_trunc('second', max(ts)) AS b FROM events GROUP BY 1),
+x AS (SELECT user_id, b, unnest(generate_series(a, b, INTERVAL 7 DAY)) AS lo FROM s)
+SELECT user_id, strftime(lo, '%Y-%m-%d %H:%M:%S') AS lo, strftime(least(lo + INTERVAL 7 DAY, b), '%Y-%m-%d %H:%M:%S') AS hi FROM x WHERE lo < b""")
 def dt20(spark, d):
-    return splits.slices(spark, "2024-01-01 00:00:00", "2024-03-01 00:00:00", 7).select(T("lo").alias("lo"), T("hi").alias("hi"))
+    """Each user's time, from the day of the first event to the second of the last, cut into weeks."""
+    spans = table(spark, d, "events").groupBy("user_id").agg(F.date_trunc("DAY", F.min("ts")).alias("a"), F.date_trunc("SECOND", F.max("ts")).alias("b"))
+    return splits.slices(spans, "a", "b", 7).select("user_id", T("lo").alias("lo"), T("hi").alias("hi"))
 
 
-@query("dt20_months", "SELECT month(m) AS month, m::DATE::VARCHAR AS first, last_day(m)::VARCHAR AS last FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-12-01', INTERVAL 1 MONTH)) AS m)")
+@query("dt20_months", """WITH y AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS year FROM orders)
+SELECT o_custkey, year, month(m) AS month, m::DATE::VARCHAR AS first, last_day(m)::VARCHAR AS last FROM (SELECT *, make_date(year, unnest(range(1, 13)), 1) AS m FROM y)""")
 def dt20_months(spark, d):
-    return splits.months(spark, 2024).select(F.col("month").cast("bigint").alias("month"), F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"))
+    """The months of every year in which a customer ordered."""
+    years = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("year")).distinct()
+    m = splits.months(years, "year")
+    return m.select("o_custkey", *(F.col(c).cast("bigint").alias(c) for c in ("year", "month")), F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"))
 
 
 _ORDERED = "o AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events)"
@@ -140,7 +148,8 @@ def ops1(spark, d):
     return splits.by_ratio(table(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 767, 110, 219).select("event_id", "split")
 
 
-@query("ops2_shuffled_split")
+@query("ops2_shuffled_split", """WITH o AS (SELECT event_id, row_number() OVER (ORDER BY md5('42:' || event_id), event_id) - 1 AS i, count(*) OVER () AS n FROM events)
+SELECT event_id, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.7) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM o""")
 def ops2(spark, d):
     s = splits.shuffled(table(spark, d, "events").select("event_id"), F.col("event_id"), 42)
     return splits.by_ratio(s, ["shuffle_key", "event_id"], 0.7, 0.1, 0.2).select("event_id", "split")
