@@ -1,7 +1,7 @@
 """License scans with DataFrame functions alone.
 
-Lines (headers) and whole texts (licence files) are compared with templates by the cosine of sparse TF-IDF
-vectors; document frequencies are counted over all files.  A file without a match of its own inherits the
+Lines, windows of two and three lines (headers that are wrapped) and whole texts (licence files) are compared with
+templates, statements and whole licences, by the cosine of sparse TF-IDF vectors; document frequencies are counted over all files.  A file without a match of its own inherits the
 licence of the nearest directory above it that has a licence file: the directories' chains of ancestors are
 joined by path, then files join their own directory.
 
@@ -10,8 +10,10 @@ first, until the others hold less than the threshold's square of every template'
 line or text without an anchor can reach the threshold, so only files with one are looked at line by line.
 
 Defined cases: a null or empty text matches nothing and can still inherit; a null path lies in the root
-directory; repeated rows each get the same answer; among equal scores the template's name decides; several
-licence files in a directory: the best score, then the name; an empty table gives an empty result.
+directory; a null id is an id like any other, and rows that share an id are told apart by their texts; repeated rows
+each get the same answer; a very long text is looked at whole, by all its lines, and only if it has an anchor; among equal
+scores the licence's name decides; several licence files in a directory: the best score, then the name; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +41,31 @@ TEMPLATES = (
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: Whole licences, without the lines of years and owners.
+WHOLE = (
+    (
+        "BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "ISC",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "MIT",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+)
 THRESHOLD = 0.75
+#: Lines of a window, at most.
+LINES = 3
 #: Names of licence files.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying)([.-].*)?$"
 _BREAK = "[^a-z0-9]+"
@@ -52,7 +78,7 @@ def terms(text: Column) -> Column:
 
 def _template_terms() -> list[dict[str, int]]:
     out = []
-    for _, text in TEMPLATES:
+    for _, text in TEMPLATES + WHOLE:
         count: dict[str, int] = {}
         for t in re.split(_BREAK, text.lower()):
             if t:
@@ -87,16 +113,29 @@ def anchors(idf: dict[str, float], threshold: float) -> list[str]:
     return sorted(chosen)
 
 
+def windows(text: Column) -> Column:
+    """The lines of a text, its windows of two and more lines (null where the text ends before), and the whole text."""
+    lines = F.split(text, "\n")
+    found, own = [lines], lines
+    for k in range(1, LINES):  # each line is joined to the line k below it: linear in the text
+        own = F.zip_with(own, F.slice(lines, F.lit(k + 1), F.size(lines)), lambda above, line: F.concat(above, F.lit(" "), line))
+        found.append(own)
+    return F.concat(*found, F.array(text))
+
+
 def matches(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """id, own_license, own_score: the best match of any line or of the whole text, for files(id, text) that have one."""
+    """id, own_license, own_score: the best match of any line, window of lines or of the whole text, for files(id, text) that have one.
+
+    Rows of an id that repeat a text multiply all its counts alike, which changes no cosine.
+    """
     spark = files.sparkSession
     idf, rarest = weights(files)
     needed = F.array(*map(F.lit, anchors(idf, threshold)))
-    rows = [(k, name, t, float(c * idf[t]), idf[t], math.sqrt(sum((n * idf[x]) ** 2 for x, n in count.items()))) for k, ((name, _), count) in enumerate(zip(TEMPLATES, _template_terms(), strict=True)) for t, c in count.items()]
+    rows = [(k, name, t, float(c * idf[t]), idf[t], math.sqrt(sum((n * idf[x]) ** 2 for x, n in count.items()))) for k, ((name, _), count) in enumerate(zip(TEMPLATES + WHOLE, _template_terms(), strict=True)) for t, c in count.items()]
     template = spark.createDataFrame(rows, "template int, license string, term string, weight double, idf double, norm double")
     idfs = F.broadcast(template.select("term", "idf").distinct())  # a fixed number of rows
     likely = files.where(F.arrays_overlap(terms("text"), needed))
-    units = likely.select("id", F.posexplode(F.concat(F.split("text", "\n"), F.array("text"))).alias("unit", "line"))
+    units = likely.select("id", F.posexplode(windows(F.col("text"))).alias("unit", "line"))
     line = units.select("id", "unit", terms("line").alias("t")).where(F.arrays_overlap("t", needed))
     tf = line.select("id", "unit", F.explode("t").alias("term")).groupBy("id", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = tf.join(idfs, "term", "left")
@@ -110,14 +149,13 @@ def matches(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """id, path, own_license, own_score, license and licensed_by (header, file or the directory it comes from) of files(id, path, text).
-
-    Rows with the same id must have the same text.
-    """
-    found = matches(files.select("id", "text"), threshold)
+    """id, path, own_license, own_score, license and licensed_by (header, file or the directory it comes from) of files(id, path, text)."""
+    # a file is its id and text; 128 bits tell them apart, with or without an id
+    file = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
+    found = matches(files.select(file.alias("id"), "text"), threshold).withColumnRenamed("id", "file")
     path = F.coalesce("path", F.lit(""))
-    placed = files.select("id", path.alias("path"), F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract(path, "([^/]*)$", 1).alias("name"))
-    own = placed.join(found, "id", "left")
+    placed = files.select("id", file.alias("file"), path.alias("path"), F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract(path, "([^/]*)$", 1).alias("name"))
+    own = placed.join(found, "file", "left")
     by_file = own.where(F.col("own_license").isNotNull() & F.col("name").rlike(LICENCE_FILE))
     of_dir = by_file.groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("order"), "own_license")).alias("best")).select(F.col("dir").alias("ancestor"), F.col("best.own_license").alias("inherited"))
     part = F.split("dir", "/")
@@ -146,7 +184,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The same scan of documents in DuckDB's SQL, without anchors."""
-    values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+    values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES + WHOLE))
+    more = "".join(f", list_transform(range(1, len(l) - {n} + 2), lambda i: array_to_string(l[i:i + {n} - 1], ' '))" for n in range(2, LINES + 1))
     words = lambda x: f"unnest(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda t: t <> ''))"
     return f"""
 WITH template(k, license, words) AS (VALUES {values}),
@@ -159,7 +198,8 @@ total AS (SELECT count(*) AS n FROM documents),
 idf AS (SELECT term, ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), total),
 rarest AS (SELECT ln(1 + n) + 1 AS idf FROM total),
 norm AS (SELECT k, sqrt(sum((c * idf) ** 2)) AS norm FROM tt JOIN idf USING (term) GROUP BY k),
-units AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), [text])) AS line, generate_subscripts(list_concat(string_split(text, chr(10)), [text]), 1) AS unit FROM documents),
+lines AS (SELECT doc_id, flatten([l{more}, [text]]) AS u FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)),
+units AS (SELECT doc_id, unnest(u) AS line, generate_subscripts(u, 1) AS unit FROM lines),
 tf AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, {words("line")} AS term FROM units) GROUP BY ALL),
 size AS (SELECT doc_id, unit, sqrt(sum((tf * coalesce(idf.idf, rarest.idf)) ** 2)) AS size FROM tf LEFT JOIN idf USING (term), rarest GROUP BY ALL),
 dot AS (SELECT doc_id, unit, license, k, sum(tf * idf * c * idf) AS dot FROM tf JOIN tt USING (term) JOIN idf USING (term) GROUP BY ALL),
