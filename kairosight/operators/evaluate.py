@@ -97,12 +97,19 @@ def diagnostics(s: DataFrame, scale: float = 1.0, lambda_max: float = 0.6) -> Da
     )
 
 
-def histogram(df: DataFrame, value: str, bins: int = 8) -> DataFrame:
-    """bin, low, high, n of equal-width bins from the least to the greatest value; the last one includes its end.  A single value gets +-0.5 around it."""
-    b = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).select(F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    at = F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
+def histogram(df: DataFrame, value: str, bins: int = 8, widened: bool = True) -> DataFrame:
+    """bin, low, high, n of equal-width bins from the least to the greatest value; the last one includes its end.
+
+    A single value gets +-0.5 around it; unless widened, it is in the last of bins without width, and without values the edges are null.
+    """
+    b = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    if widened:
+        one = F.col("lo") == F.col("hi")
+        b = b.where("lo is not null").select(F.when(one, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(one, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    share = F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo"))  # null without width, which least() passes over
+    at = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
     counts = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(b)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    edges = b.where("lo is not null").select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    edges = b.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
     return edges.join(counts, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
