@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,8 +73,31 @@ SITE = ("yyyy-MM-dd", "d MMMM yyyy", "MMMM d, yyyy", "d MMM yyyy", "MMM d, yyyy"
 COLUMN_FIXES = ("d/M/yyyy H:mm", "d/M/yyyy", "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm", "yyyy-M-d", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy-d-M H:mm")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _shape(form: str) -> str:
+    """What every text of a format looks like: numbers, words, and what stands between them.  Two shapes that differ have no text in common."""
+    kind = lambda t: t if not t[0].isalpha() else "W" if t[0] in "aE" or t.startswith("MMM") else "N"
+    marks = re.sub("N+", "N", "".join(kind(t[0]) for t in re.finditer(r"([A-Za-z])\1*|[^A-Za-z]", form)))
+    return "^" + "".join({"N": r"[+-]?\d+", "W": r"\p{L}+"}.get(m) or re.escape(m) for m in marks) + "$"
+
+
 def _first(text: Column, formats) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats))
+    """The reading of the first format that fits.  Only formats of the text's shape are tried: a failed try costs far more than a look at the shape."""
+    of_shape: dict[str, list[str]] = {}
+    for f in formats:
+        of_shape.setdefault(_shape(f), []).append(f)
+
+    def read(t: Column) -> Column:
+        found = F  # F.when begins the chain
+        for shape, own in of_shape.items():
+            found = found.when(t.rlike(shape), F.coalesce(*(F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in own)))
+        return found
+
+    return _once(text, read)
 
 
 def _squeezed(text: Column) -> Column:
@@ -89,18 +115,24 @@ def _iso(t: Column) -> Column:
     return F.when(like_iso, t.try_cast("timestamp_ntz"))
 
 
+def _article(t: Column) -> Column:
+    return F.coalesce(_iso(F.regexp_replace(t, r"\s*(Z|[+-]\d{2}:?\d{2})$", "")), _first(t, ARTICLE))
+
+
 def article_time(text: Column) -> Column:
     """ISO 8601 first, whose offset is dropped without conversion, then the article formats."""
-    t = _squeezed(text)
-    return F.coalesce(_iso(F.regexp_replace(t, r"\s*(Z|[+-]\d{2}:?\d{2})$", "")), _first(t, ARTICLE))
+    return _once(_squeezed(text), _article)
+
+
+def _plain(t: Column) -> Column:
+    t = F.regexp_replace(t, r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? ", "")
+    t = F.regexp_replace(t, r"(?i)(?<=\d)(st|nd|rd|th)\b( of\b)?", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i) ?(GMT|UTC|UT|Z)$", ""), r",", ""))
 
 
 def lenient_time(text: Column) -> Column:
     """The article's time, else a day-first reading without weekday, ordinals, commas and zone names; month first where the day fits no month."""
-    t = F.regexp_replace(_squeezed(text), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? ", "")
-    t = F.regexp_replace(t, r"(?i)(?<=\d)(st|nd|rd|th)\b( of\b)?", "")
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i) ?(GMT|UTC|UT|Z)$", ""), r",", ""))
-    return F.coalesce(article_time(text), _first(t, LENIENT))
+    return _once(_squeezed(text), lambda t: F.coalesce(_article(t), _first(_plain(t), LENIENT)))
 
 
 def article_time_text(text: Column) -> Column:
