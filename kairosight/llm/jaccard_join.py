@@ -47,6 +47,8 @@ LARGE = 600
 COMMON, COMMON_HITS, SAMPLE = 1 << 17, 5, 20_000
 #: Members of a block that is compared at once.
 BLOCK = 1024
+#: Bytes of a sharp sketch that blocks compare: all of it up to 16,384 shingles; larger ones are folded.
+BLOCK_SHARP = 8192
 #: Bits of the filter that spares most texts of the second reading; it never decides.
 FILTER_BITS = 1 << 23
 #: Bits of a signature.  Signatures that are equal by chance only add candidates; each byte fewer is one less to shuffle for every signature.
@@ -300,10 +302,34 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _across(groups: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+def _folded(m: np.ndarray, width: int) -> np.ndarray:
+    """Sharp sketches, a row each, folded to a width in words."""
+    while m.shape[1] > width:
+        m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+    return m
+
+
+def _levels(bodies: list[bytes]) -> list[tuple[int, np.ndarray]]:
+    """(width, sketches folded to it) from 16 words to the widest; rows of narrower sketches stay empty."""
+    own = np.array([len(b) // 8 for b in bodies])
+    out, width = [], int(own.max(initial=0))
+    wider = np.zeros((len(own), 2 * width), np.uint64)
+    while width >= 16:
+        level = _folded(wider, width)
+        at = np.flatnonzero(own == width)
+        if len(at):
+            level[at] = np.frombuffer(b"".join(bodies[i] for i in at.tolist()), np.uint64).reshape(len(at), width)
+        out.append((width, level))
+        wider, width = level, width // 2
+    return out[::-1]
+
+
+def _across(groups: DataFrame, nodes: DataFrame, sharp: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) that share a signature, lie in different components and may link; compared block by block.
 
-    groups: signature, key; nodes: key, rep, component, n and sketch.  Groups within one component go before sketches are joined.
+    groups: signature, key; nodes: key, rep, component, n and sketch; sharp: key, body.  Groups within one component go before sketches are joined.
+    Sketches of 512 bits tell large sets apart badly: what they leave is compared by sharp ones inside the block, folded ones first,
+    so that texts which only share a passage never leave it as pairs.
     Blocks of a group's largest component come first and meet the others' blocks only, so a large group of near copies
     with a few strangers costs as many comparisons as it has members, for each block of strangers.
     """
@@ -314,10 +340,16 @@ def _across(groups: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     sizes = sizes.select("signature", F.col("top.component").alias("largest"), blocks(F.col("top.g")).alias("cl"), blocks(F.col("g") - F.col("top.g")).alias("cs"))
     inside, spread = F.col("component") == F.col("largest"), F.xxhash64("rep")
     own = F.when(inside, F.pmod(spread, F.col("cl"))).otherwise(F.col("cl") + F.pmod(spread, F.col("cs"))).cast("int")
-    cut = groups.join(sizes, "signature").join(nodes, "key").withColumn("own", own)
+
+    def bounded(batch: pa.RecordBatch):
+        bodies = (np.frombuffer(b, np.uint64, offset=8)[None, :] for b in batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_folded(b, BLOCK_SHARP // 8).tobytes() for b in bodies], pa.binary())], names=["key", "sharp"])
+
+    body = runtime.map_batches(sharp.select("key", "body"), bounded, "key bigint, sharp binary")
+    cut = groups.join(sizes, "signature").join(nodes, "key").join(body, "key").withColumn("own", own)
     meets = F.sequence(F.when(inside, F.col("cl")).otherwise(F.lit(0)), F.col("cl") + F.col("cs") - 1)
     dealt = cut.withColumn("other", F.explode(meets)).select(
-        "signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "component", "n", *SKETCH
+        "signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "component", "n", *SKETCH, "sharp"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +361,9 @@ def _across(groups: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
         for t in _runs(batches, 3):
-            col = {c: np.asarray(t.column(c)) for c in t.column_names}
+            col = {c: np.asarray(t.column(c)) for c in t.column_names if c != "sharp"}
+            bodies = t.column("sharp").to_pylist()
+            width, levels = np.array([len(b) // 8 for b in bodies]), _levels(bodies)
             first = np.flatnonzero(col["own"] == col["i"][0])
             second = np.flatnonzero(col["own"] == col["j"][0])
             words_ = np.column_stack([col[w] for w in SKETCH]).view(np.uint64)
@@ -344,7 +378,15 @@ def _across(groups: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
                 i, j = np.nonzero(may)
                 i, j = first[at + i], second[j]
                 near = np.bitwise_count(words_[i] ^ words_[j]).sum(1).astype(np.int64) <= rule.most(n[i] + n[j])
-                a, b = rep[i[near]], rep[j[near]]
+                i, j = i[near], j[near]
+                for wide, sketch in levels:
+                    near = np.minimum(width[i], width[j]) < wide  # told by narrower ones already
+                    told = np.flatnonzero(~near)
+                    for part in np.array_split(told, 1 + len(told) * wide // (1 << 20)):
+                        p, q = i[part], j[part]
+                        near[part] = np.bitwise_count(sketch[p] ^ sketch[q]).sum(1, dtype=np.int64) <= rule.most(n[p] + n[q])
+                    i, j = i[near], j[near]
+                a, b = rep[i], rep[j]
                 found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
             if len(found) > 500_000:
                 yield out()
@@ -462,7 +504,7 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     found = components.components(links)
     labelled = nodes.drop("sharp", "popularity").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = runtime.durable(labelled, "labelled")
-    more = _across(groups, labelled, rule).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = _across(groups, labelled, sharp, rule).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     keys = nodes.select("rep", "key")
     more = runtime.durable(more.join(keys.select(F.col("rep").alias("a"), F.col("key").alias("key_a")), "a").join(keys.select(F.col("rep").alias("b"), F.col("key").alias("key_b")), "b"), "across")
     runtime.drop(groups, labelled, pairs)

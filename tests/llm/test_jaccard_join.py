@@ -99,3 +99,30 @@ def test_small_table(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in J.query(docs).collect()}
     assert found == brute(rows, J.Rule())
+
+
+@pytest.mark.parametrize("widest", [J.BLOCK_SHARP, 256] if hasattr(J, "BLOCK_SHARP") else [0])
+def test_large_texts_with_one_passage_stay_no_pairs(spark, monkeypatch, widest):
+    """60 texts of 1,500 words share 900 of them: signatures meet, sets do not link; two near copies of one pair still do."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(900)]
+    rows = [(i, " ".join([*passage, *(word() for _ in range(600))])) for i in range(60)]
+    far = rows[7][1].split(" ")
+    for at in range(905, 1500, 50):
+        far[at] = word()
+    rows += [(60, " ".join(far)), (61, rows[8][1] + " end"), (62, " ".join(word() for _ in range(700)))]
+    monkeypatch.setattr(J, "COMMON_HITS", 1 << 40)  # the passage stays in the domain
+    monkeypatch.setattr(J, "BLOCK_SHARP", widest, raising=False)
+    counts, verify = [], J._verify
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(J, "_verify", counted)
+    rule = J.Rule(5, 80)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()}
+    assert found == brute(rows, rule)
+    assert found[60][1] == 7 and found[61][1] == 8
+    assert sum(counts[1:]) <= 10
