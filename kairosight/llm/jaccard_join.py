@@ -14,7 +14,10 @@ loses no pair, because m + 1 good partitions cannot all be explained by m of the
 
 Candidates that share a signature are never expanded into all pairs.  Members of a group are first
 compared with one hub of the group (the one in most groups).  Only where a group still falls into
-several components, members of different components are compared, in blocks of bounded size.
+several components, members of different components are compared, in blocks of bounded size; groups with
+the same members are one.  Such a block returns no pairs, only which members hang together by what their
+sketches leave; each cluster of those is then compared once, on whole sets, again in blocks, which return
+the links that join components.  So rows grow with members, not with pairs.
 Parity sketches give a lower bound of the difference, which drops candidates without loss: first one of
 512 bits, then a sharp one of at least four bits a shingle.  What remains is verified on whole sets.  Sketches
 and sets of the members stream past those of the hub.
@@ -49,6 +52,8 @@ COMMON, COMMON_HITS, SAMPLE = 1 << 17, 5, 20_000
 BLOCK = 1024
 #: Bytes of a sharp sketch that blocks compare: all of it up to 16,384 shingles; larger ones are folded.
 BLOCK_SHARP = 8192
+#: Shingles of a block of whole sets, about.
+BLOCK_SETS = 1 << 20
 #: Bits of the filter that spares most texts of the second reading; it never decides.
 FILTER_BITS = 1 << 23
 #: Bits of a signature.  Signatures that are equal by chance only add candidates; each byte fewer is one less to shuffle for every signature.
@@ -310,11 +315,11 @@ def _folded(m: np.ndarray, width: int) -> np.ndarray:
 
 
 def _levels(bodies: list[bytes]) -> list[tuple[int, np.ndarray]]:
-    """(width, sketches folded to it) from 16 words to the widest; rows of narrower sketches stay empty."""
+    """(width, sketches folded to it) from 8 words to the widest; rows of narrower sketches stay empty."""
     own = np.array([len(b) // 8 for b in bodies])
     out, width = [], int(own.max(initial=0))
     wider = np.zeros((len(own), 2 * width), np.uint64)
-    while width >= 16:
+    while width >= 8:
         level = _folded(wider, width)
         at = np.flatnonzero(own == width)
         if len(at):
@@ -324,76 +329,164 @@ def _levels(bodies: list[bytes]) -> list[tuple[int, np.ndarray]]:
     return out[::-1]
 
 
-def _across(groups: DataFrame, nodes: DataFrame, sharp: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) that share a signature, lie in different components and may link; compared block by block.
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels once the pairs (i, j) hang together: the least place of each cluster."""
+    while True:
+        a, b = label[i], label[j]
+        new = a != b
+        if not new.any():
+            return label
+        i, j, a, b = i[new], j[new], a[new], b[new]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _blocks(parts: DataFrame, group: str, most: dict[str, int], *same: str) -> DataFrame:
+    """group, largest, cl, cs of groups of several components: the largest component, and how many blocks it and the others have.
+
+    parts: a row for each group and component with g members; most: of columns that add up over members, how much a block may hold.
+    Groups that agree in the columns `same`, each a bit_xor over members, have the same members; one of them stays.
+    """
+    weights = [w for w in most if w != "g"]
+    total = parts.groupBy(group).agg(
+        F.max(F.struct("g", "component", *weights)).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("g").alias("g"), *(F.sum(w).alias(w) for w in weights), *(F.bit_xor(x).alias(x) for x in same)
+    )
+    blocks = lambda of: F.greatest(F.lit(1), *(F.ceil(of(w) / k).cast("int") for w, k in most.items()))
+    cl, cs = blocks(lambda w: F.col(f"top.{w}")), blocks(lambda w: F.col(w) - F.col(f"top.{w}"))
+    found = total.where("parts > 1").select(group, "g", *same, F.col("top.component").alias("largest"), cl.alias("cl"), cs.alias("cs"))
+    if same:
+        found = found.groupBy(*same, "g", "largest", "cl", "cs").agg(F.min(group).alias(group))
+    return found.select(group, "largest", "cl", "cs")
+
+
+def _dealt(members: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Members (with largest, cl and cs) dealt to pairs (i, j) of blocks of their group, sorted by them and rep.
 
-    groups: signature, key; nodes: key, rep, component, n and sketch; sharp: key, body.  Groups within one component go before sketches are joined.
-    Sketches of 512 bits tell large sets apart badly: what they leave is compared by sharp ones inside the block, folded ones first,
-    so that texts which only share a passage never leave it as pairs.
     Blocks of a group's largest component come first and meet the others' blocks only, so a large group of near copies
     with a few strangers costs as many comparisons as it has members, for each block of strangers.
     """
-    members = groups.join(nodes.select("key", "component"), "key")
-    parts = members.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("g"))
-    sizes = parts.groupBy("signature").agg(F.max(F.struct("g", "component")).alias("top"), F.sum("g").alias("g"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    sizes = sizes.select("signature", F.col("top.component").alias("largest"), blocks(F.col("top.g")).alias("cl"), blocks(F.col("g") - F.col("top.g")).alias("cs"))
     inside, spread = F.col("component") == F.col("largest"), F.xxhash64("rep")
     own = F.when(inside, F.pmod(spread, F.col("cl"))).otherwise(F.col("cl") + F.pmod(spread, F.col("cs"))).cast("int")
+    meets = F.sequence(F.when(inside, F.col("cl")).otherwise(F.lit(0)), F.col("cl") + F.col("cs") - 1)
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(meets))
+    dealt = dealt.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "component", "n", *columns)
+    return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "rep")
+
+
+def _left(t: pa.Table, bodies: list[bytes], rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of members of a pair of blocks that lie in different components and whose sharp sketches allow a link."""
+    n, rep, comp, own = (np.asarray(t.column(c)) for c in ("n", "rep", "component", "own"))
+    low, high = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    width, levels = np.array([len(b) // 8 for b in bodies]), _levels(bodies)
+    first, second = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    step = max(1, (1 << 18) // max(1, len(second)))
+    for at in range(0, len(first), step):
+        x, y = first[at : at + step, None], second[None, :]
+        may = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= rule.percent * np.maximum(n[x], n[y]))
+        if low == high:
+            may &= rep[x] < rep[y]
+        i, j = np.nonzero(may)
+        i, j = first[at + i], second[j]
+        for wide, sketch in levels:
+            near = np.minimum(width[i], width[j]) < wide  # told by narrower ones already
+            told = np.flatnonzero(~near)
+            for part in np.array_split(told, 1 + len(told) * wide // (1 << 20)):
+                p, q = i[part], j[part]
+                near[part] = np.bitwise_count(sketch[p] ^ sketch[q]).sum(1, dtype=np.int64) <= rule.most(n[p] + n[q])
+            i, j = i[near], j[near]
+        yield i, j
+
+
+def _edges(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+    found.clear()
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
+
+
+def _across(groups: DataFrame, nodes: DataFrame, sharp: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (u, v) that tie together the reps of all pairs that share a signature, lie in different components and may link.
+
+    groups: signature, key; nodes: key, rep, component and n; sharp: key, body.  Groups within one component go before sketches are joined.
+    A pair of blocks returns an edge for each member that is tied to one before it, not its pairs, of which near copies that
+    just fail to link have as many as the square of their number.
+    """
+    members = groups.join(nodes.select("key", "component"), "key")
+    parts = members.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    sizes = _blocks(parts, "signature", {"g": BLOCK}, "x", "y")
 
     def bounded(batch: pa.RecordBatch):
         bodies = (np.frombuffer(b, np.uint64, offset=8)[None, :] for b in batch.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_folded(b, BLOCK_SHARP // 8).tobytes() for b in bodies], pa.binary())], names=["key", "sharp"])
 
     body = runtime.map_batches(sharp.select("key", "body"), bounded, "key bigint, sharp binary")
-    cut = groups.join(sizes, "signature").join(nodes, "key").join(body, "key").withColumn("own", own)
-    meets = F.sequence(F.when(inside, F.col("cl")).otherwise(F.lit(0)), F.col("cl") + F.col("cs") - 1)
-    dealt = cut.withColumn("other", F.explode(meets)).select(
-        "signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "component", "n", *SKETCH, "sharp"
-    )
+    cut = groups.join(sizes, "signature").join(nodes, "key").join(body, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
+        for t in _runs(batches, 3):
+            label = np.arange(t.num_rows)
+            for i, j in _left(t, t.column("sharp").to_pylist(), rule):
+                label = _joined(label, i, j)
+            rep = np.asarray(t.column("rep"))
+            tied = np.flatnonzero(label != np.arange(len(label)))
+            found.update(zip(rep[label[tied]].tolist(), rep[tied].tolist(), strict=True))
+            if len(found) > 500_000:
+                yield _edges(found)
+        if found:
+            yield _edges(found)
 
-        def out():
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+    return runtime.map_tasks(_dealt(cut, "signature", ["sharp"]), run, "u bigint, v bigint").distinct()
 
+
+def _between(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(u, v): links that join the components of each cluster as all links between its members do.
+
+    clusters: node, component (here: the cluster); nodes: key, rep, component and n.  Whole sets meet in blocks, each pair of them once.
+    """
+    members = nodes.join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("shingles"))
+    content = _sets(docs, members.select("rep").distinct(), rule)
+    cut = members.join(_blocks(parts, "cluster", {"g": BLOCK, "shingles": BLOCK_SETS}), "cluster").join(content, ["rep", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
         for t in _runs(batches, 3):
-            col = {c: np.asarray(t.column(c)) for c in t.column_names if c != "sharp"}
-            bodies = t.column("sharp").to_pylist()
-            width, levels = np.array([len(b) // 8 for b in bodies]), _levels(bodies)
-            first = np.flatnonzero(col["own"] == col["i"][0])
-            second = np.flatnonzero(col["own"] == col["j"][0])
-            words_ = np.column_stack([col[w] for w in SKETCH]).view(np.uint64)
-            n, rep, comp = col["n"], col["rep"], col["component"]
-            same = col["i"][0] == col["j"][0]
-            step = max(1, (1 << 18) // max(1, len(second)))
-            for at in range(0, len(first), step):
-                x, y = first[at : at + step, None], second[None, :]
-                may = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= rule.percent * np.maximum(n[x], n[y]))
-                if same:
-                    may &= rep[x] < rep[y]
-                i, j = np.nonzero(may)
-                i, j = first[at + i], second[j]
-                near = np.bitwise_count(words_[i] ^ words_[j]).sum(1).astype(np.int64) <= rule.most(n[i] + n[j])
-                i, j = i[near], j[near]
-                for wide, sketch in levels:
-                    near = np.minimum(width[i], width[j]) < wide  # told by narrower ones already
-                    told = np.flatnonzero(~near)
-                    for part in np.array_split(told, 1 + len(told) * wide // (1 << 20)):
-                        p, q = i[part], j[part]
-                        near[part] = np.bitwise_count(sketch[p] ^ sketch[q]).sum(1, dtype=np.int64) <= rule.most(n[p] + n[q])
-                    i, j = i[near], j[near]
-                a, b = rep[i], rep[j]
-                found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+            sets = [np.frombuffer(b, np.uint64) for b in t.column("body").to_pylist()]
+            size = np.array([len(x) for x in sets])
+            bodies = []
+            for x in sets:
+                sharp = np.frombuffer(sharp_sketches(np.zeros(len(x), np.int64), x, np.array([len(x)]))[0], np.uint64)
+                bodies.append(_folded(sharp[None, :], BLOCK_SHARP // 8).tobytes())
+            rep = np.asarray(t.column("rep"))
+            label = np.unique(np.asarray(t.column("component")), return_inverse=True)[1]  # of components
+            top = np.arange(label.max(initial=0) + 1)
+            for i, j in _left(t, bodies, rule):
+                for x, start, stop in zip(*_spans(i), strict=True):
+                    y = j[start:stop]
+                    y = y[top[label[y]] != top[label[x]]]
+                    if not len(y):
+                        continue
+                    flat = np.concatenate([sets[k] for k in y.tolist()])
+                    at = np.searchsorted(sets[x], flat)
+                    at[at == len(sets[x])] = 0
+                    both = np.add.reduceat((sets[x][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[y])[:-1]]))
+                    for k in y[100 * both >= rule.percent * (size[x] + size[y] - both)].tolist():
+                        if top[label[x]] != top[label[k]]:
+                            top = _joined(top, label[[x]], label[[k]])
+                            found.add((int(rep[x]), int(rep[k])))
             if len(found) > 500_000:
-                yield out()
+                yield _edges(found)
         if found:
-            yield out()
+            yield _edges(found)
 
-    return runtime.map_tasks(dealt.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j"), run, "a bigint, b bigint").distinct()
+    return runtime.map_tasks(_dealt(cut, "cluster", ["body"]), run, "u bigint, v bigint").distinct()
+
+
+def _spans(at: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Each value of a sorted array, and where its run starts and stops."""
+    value, start = np.unique(at, return_index=True)
+    return value.tolist(), start.tolist(), np.append(start, len(at))[1:].tolist()
 
 
 def _past_hubs(pairs: DataFrame, bodies: DataFrame, fits, first: str, second: str) -> DataFrame:
@@ -438,12 +531,10 @@ def _sharpened(pairs: DataFrame, sharp: DataFrame, rule: Rule) -> DataFrame:
     return _past_hubs(pairs, sharp, fits, "a", "b")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, sharp: DataFrame, rule: Rule) -> DataFrame:
-    """(u, v) of the pairs (a, b) of ids whose texts link, from whole sets."""
+def _sets(docs: DataFrame, needed: DataFrame, rule: Rule) -> DataFrame:
+    """(rep, key, body) of the texts of the ids in needed (rep, distinct): their whole sets as sorted hashes."""
     spark = docs.sparkSession
-    likely = runtime.durable(_sharpened(pairs, sharp, rule), "likely")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    needed = likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct()
     from_one = place("rep") + 1  # bitmap functions count from 1
     marks = needed.groupBy(F.bitmap_bucket_number(from_one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(from_one)).alias("bits")).collect()
     filled = np.zeros(FILTER_BITS, bool)  # a fixed number of bits, whatever the corpus
@@ -463,6 +554,16 @@ def _verify(pairs: DataFrame, docs: DataFrame, sharp: DataFrame, rule: Rule) ->
             first = np.concatenate([[0], np.cumsum(size)])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(class_keys(doc, h, size).view(np.int64)), pa.array([h[first[i] : first[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], names=["rep", "key", "body"])
 
+    read = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", place(F.col("doc_id").cast("bigint")).alias("place"))
+    content = runtime.map_batches(read, sets, "rep bigint, key bigint, body binary")
+    return content.join(needed, "rep", "left_semi").dropDuplicates(["rep", "key"])
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, sharp: DataFrame, rule: Rule) -> DataFrame:
+    """(u, v) of the pairs (a, b) of ids whose texts link, from whole sets."""
+    likely = runtime.durable(_sharpened(pairs, sharp, rule), "likely")
+    content = _sets(docs, likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), rule)
+
     def fits(x: bytes, y: bytes) -> bool:
         own, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         at = np.searchsorted(own, other)
@@ -470,9 +571,6 @@ def _verify(pairs: DataFrame, docs: DataFrame, sharp: DataFrame, rule: Rule) ->
         both = int((own[at] == other).sum())
         return 100 * both >= rule.percent * (len(own) + len(other) - both)
 
-    read = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", place(F.col("doc_id").cast("bigint")).alias("place"))
-    content = runtime.map_batches(read, sets, "rep bigint, key bigint, body binary")
-    content = content.join(needed, "rep", "left_semi").dropDuplicates(["rep", "key"])
     links = runtime.durable(_past_hubs(likely, content, fits, "u", "v").select("u", "v"), "links")
     runtime.drop(likely)
     return links
@@ -502,19 +600,18 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     links = _verify(pairs, docs, sharp, rule)
 
     found = components.components(links)
-    labelled = nodes.drop("sharp", "popularity").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = nodes.select("key", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = runtime.durable(labelled, "labelled")
-    more = _across(groups, labelled, sharp, rule).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    keys = nodes.select("rep", "key")
-    more = runtime.durable(more.join(keys.select(F.col("rep").alias("a"), F.col("key").alias("key_a")), "a").join(keys.select(F.col("rep").alias("b"), F.col("key").alias("key_b")), "b"), "across")
-    runtime.drop(groups, labelled, pairs)
-    if not more.isEmpty():
-        others = _verify(more, docs, sharp, rule)
+    near = runtime.durable(_across(groups, labelled, sharp, rule), "across")
+    runtime.drop(groups, pairs)
+    if not near.isEmpty():
+        clusters = components.components(near)
+        others = runtime.durable(_between(clusters, labelled, docs, rule), "between")
         if not others.isEmpty():
             before, found = found, components.components(links.union(others))
             runtime.drop(before)
-        runtime.drop(others)
-    runtime.drop(links, more, nodes)
+        runtime.drop(clusters, others)
+    runtime.drop(links, near, labelled, nodes)
 
     labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = prepared.select("doc_id", "n", "key").join(labels, "key", "left")

@@ -126,3 +126,34 @@ def test_large_texts_with_one_passage_stay_no_pairs(spark, monkeypatch, widest):
     assert found == brute(rows, rule)
     assert found[60][1] == 7 and found[61][1] == 8
     assert sum(counts[1:]) <= 10
+
+
+@pytest.mark.parametrize(("block", "shingles"), [(1024, 1 << 20), (16, 1 << 13)])
+def test_near_copies_that_just_fail_leave_no_square_of_pairs(spark, monkeypatch, block, shingles):
+    """289 texts change words of one base at places that are lines of a plane: two of them differ in 114 or 124 shingles of 512 each, 113 would link."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = [word() for _ in range(516)]
+    rows = []
+    for slope in range(17):
+        for start in range(17):
+            text = list(base)
+            for at in (*(4 + 5 * (17 * x + (slope * x + start) % 17) for x in range(6)), 514):
+                text[at] = word()
+            rows.append((len(rows), " ".join(text)))
+    rows += [(289, rows[5][1] + " end"), (290, rows[200][1] + " end")]
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "BLOCK_SETS", shingles, raising=False)
+    counts, durable = {}, runtime.durable
+
+    def counted(df, label):
+        out = durable(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(runtime, "durable", counted)
+    rule = J.Rule(5, 80)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()}
+    assert found == brute(rows, rule)
+    assert len({c for _, c in found.values()}) == 289
+    assert 0 < counts["across"] < 2000
